@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .components import components
 from .shared import WorkTables
@@ -203,7 +204,7 @@ def _need(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return -(-PERCENT * (n_a.astype(np.int64) + n_b) // (100 + PERCENT))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _bins_allow(n_a: pd.Series, n_b: pd.Series, bins_a: pd.Series, bins_b: pd.Series) -> pd.Series:
     if not len(n_a):
         return pd.Series([], dtype=bool)
@@ -211,7 +212,7 @@ def _bins_allow(n_a: pd.Series, n_b: pd.Series, bins_a: pd.Series, bins_b: pd.Se
     return pd.Series(np.minimum(a, b).sum(1, dtype=np.int64) >= _need(n_a.to_numpy(), n_b.to_numpy()))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _verified(n_a: pd.Series, n_b: pd.Series, shared_a: pd.Series, shared_b: pd.Series) -> pd.Series:
     overlap = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(shared_a, shared_b)]
     return pd.Series(np.array(overlap, np.int64) >= _need(n_a.to_numpy(), n_b.to_numpy()), dtype=bool)
