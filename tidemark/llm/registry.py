@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, ngram_join, oracles, quality, secrets
+from . import byte_bpe, decontaminate, embedding_dedup, language_id, ngram_join, oracles, quality, secrets
 from .shared import held_out, table
 
 #: The rank file of op8 and of the pipeline; a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
