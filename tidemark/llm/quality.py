@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .shared import held_out
 
@@ -144,20 +145,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs, and quality_score and quality_predicted."""
+    """All columns of docs, and quality_score (double) and quality_predicted (int)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, schema = docs.columns, docs.schema
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame[text_col].tolist()
-            parts = [shared.value.score(np.array([count_terms(t) for t in texts[k : k + BLOCK_DOCS]])) for k in range(0, len(texts), BLOCK_DOCS)]
-            s = np.concatenate(parts) if parts else np.zeros(0)
-            yield frame[names].assign(quality_score=s, quality_predicted=(s >= threshold).astype(np.int32))
-
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
+    @F.pandas_udf(DoubleType())
+    def scored(texts: pd.Series) -> pd.Series:
+        texts = texts.tolist()
+        parts = [shared.value.score(np.array([count_terms(t) for t in texts[k : k + BLOCK_DOCS]])) for k in range(0, len(texts), BLOCK_DOCS)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.mapInPandas(rows, StructType([*schema.fields]).add("quality_score", DoubleType()).add("quality_predicted", IntegerType()))
+    return docs.withColumn("quality_score", scored(F.col(text_col).cast("string"))).withColumn("quality_predicted", (F.col("quality_score") >= threshold).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
