@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, oracles, quality, repeats, secrets
+from . import byte_bpe, decontaminate, embedding_dedup, language_id, licenses, line_dedup, ngram_join, oracles, quality, repeats, secrets
 from .shared import held_out, table
 
 #: The rank file of op8 and of the pipeline; a parameter of the operator.
@@ -33,6 +33,13 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a folder for each source, below it one for 1000 ids, below that one for 20."""
+    folder = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("none")), folder(1000), folder(20), F.col("doc_id").cast("string")).alias("path"))
+    return licenses.scan(docs).withColumn("own_score", F.round("own_score", 6))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "lines_total", "lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
