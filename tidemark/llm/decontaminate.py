@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .shared import WorkTables, ascii_lower
 
-#: Words as the contract defines them, after A-Z is lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SPAN, GRAM = 13, 5
+#: What lies between words once A-Z is lower-cased: ASCII other than digits and a-z.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SPAN, GRAM = 13, 3
 #: A kept hash is one long: 35 bits of hash above 28 bits of place, so that the least hash carries its place.
 PLACE_BITS = 28
 #: The benchmark's kept hashes are broadcast up to so many rows (about 500 bytes each); beyond, both sides are shuffled.
@@ -28,7 +28,7 @@ BROADCAST_PRINTS = 100_000
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), BETWEEN), "")
 
 
 def gram_hashes(words: Column, n: int) -> Column:
@@ -36,24 +36,33 @@ def gram_hashes(words: Column, n: int) -> Column:
     return F.when(
         F.size(words) >= n,
         F.transform(
-            F.sequence(F.lit(0), F.size(words) - n),
-            lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.slice(words, i + 1, n)), 29), PLACE_BITS).bitwiseOR(i.cast("long")),
+            F.slice(words, 1, F.size(words) - n + 1),
+            lambda w, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(w, *(F.get(words, i + k) for k in range(1, n))), 29), PLACE_BITS).bitwiseOR(i.cast("long")),
         ),
     ).otherwise(F.array().cast("array<long>"))
 
 
-def winnow(hashes: Column, window: int) -> Column:
-    """The least hash of every window of adjacent hashes, each place once."""
-    return F.when(
-        F.size(hashes) >= window,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hashes) - window + 1), lambda i: F.array_min(F.slice(hashes, i, window)))),
-    ).otherwise(F.array().cast("array<long>"))
+def _least_with(hashes: Column, step: int) -> Column:
+    """Each element, or the one step places on where that is less."""
+    return F.transform(hashes, lambda x, i: F.least(x, F.get(hashes, i + step)))
+
+
+def with_hashes(df: DataFrame, words: str, window: int = SPAN - GRAM + 1) -> DataFrame:
+    """Adds h: the least hash of every window of adjacent hashes, each place once. Spans double from step to step."""
+    out, size = df.withColumn("h", gram_hashes(F.col(words), GRAM)).withColumn("grams", F.size("h")), 1
+    while size < window:
+        step = min(size, window - size)
+        out, size = out.withColumn("h", _least_with(F.col("h"), step)), size + step
+    return out.withColumn("h", F.array_distinct(F.slice(F.col("h"), 1, F.greatest(F.col("grams") - window + 1, F.lit(0))))).drop("grams")
 
 
 def _prints(words: Column, hashes: Column, short: list[int]) -> Column:
     """Kept hashes as (gram, print): gram is the number of words hashed; SPAN-word spans use GRAM, short items their length."""
-    kept = [F.transform(winnow(hashes, SPAN - GRAM + 1), lambda x: F.struct(F.lit(0).alias("span"), x.alias("print")))]
-    kept += [F.transform(gram_hashes(words, n), lambda x, n=n: F.struct(F.lit(n).alias("span"), x.alias("print"))) for n in short]
+
+    def marked(prints: Column, span: int) -> Column:
+        return F.transform(prints, lambda x: F.struct(F.lit(span).alias("span"), x.alias("print")))
+
+    kept = [marked(hashes, 0), *(marked(gram_hashes(words, n), n) for n in short)]
     return F.concat(*kept) if short else kept[0]
 
 
@@ -80,21 +89,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     )
     short = sorted(r[0] for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < SPAN).distinct().collect())  # at most SPAN - 1 numbers
     ilong, ishort = F.size("item_words") >= SPAN, F.size("item_words")
+    by_length = F.lit(None).cast("array<long>")
+    for n in short:
+        by_length = F.when(ishort == n, gram_hashes(F.col("item_words"), n)).otherwise(by_length)
+    short_item = F.transform(by_length, lambda x: F.struct(ishort.alias("span"), x.alias("print")))
     of_item = F.when(ilong, _prints(F.col("item_words"), F.col("h"), [])).otherwise(
-        F.transform(F.array(F.xxhash64("item_words")), lambda x: F.struct(ishort.alias("span"), F.shiftleft(F.shiftrightunsigned(x, 29), PLACE_BITS).alias("print")))
+        short_item
     )
     place = F.col("p.print").bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
     gram = F.when(F.col("p.span") <= 0, GRAM).otherwise(F.col("p.span"))
     key = [F.col("p.span").alias("span"), F.shiftrightunsigned("p.print", PLACE_BITS).alias("print")]
     prints = work.keep(
-        items.withColumn("h", gram_hashes(F.col("item_words"), GRAM))
+        with_hashes(items, "item_words")
         .select("item", "item_words", F.explode(of_item).alias("p"))
         .select("item", *(c.alias(f"item_{c_name}") for c_name, c in zip(("key_span", "key_print"), key)), *(c.alias(f"item_{part}") for part, c in zip(("before", "in", "after"), _around(F.col("item_words"), place, gram))))
     )
     small = prints.limit(broadcast_prints + 1).count() <= broadcast_prints
     # A first print (span -1) stands for the document itself, so that one pass gives its word count too.
     own = F.array(F.struct(F.lit(-1).alias("span"), F.lit(0).cast("long").alias("print")))
-    base = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")).withColumn("h", gram_hashes(F.col("words"), GRAM))
+    base = with_hashes(docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words")), "words")
     exploded = base.select("id", "words", F.explode(F.concat(own, _prints(F.col("words"), F.col("h"), short))).alias("p"))
     around = [c.alias(f"doc_{part}") for part, c in zip(("before", "in", "after"), _around(F.col("words"), place, gram))]
     on = [F.col("span") == F.col("item_key_span"), F.col("print") == F.col("item_key_print")]

@@ -7,8 +7,8 @@ this order. Since a shingle of one document only can't be shared, a document who
 1. Each batch of documents is cut into shingle hashes; hashes go, packed by range of hash, to the task that counts this
    range. What a batch holds twice is sent once with its count, so a very frequent shingle is a few numbers per batch.
 2. The shared hashes go back to their batch, and each document keeps its shared hashes if its prefix holds any.
-3. Documents with equal sets are one from here on. The prefixes' hashes are joined: first to the least document of each
-   hash, then (components of these links being known) between different components only. Length, positional and suffix
+3. Documents with equal sets are one from here on. The prefixes' hashes are joined: first to one leading
+   document of each hash, then (components of these links being known) between different components only. Length, positional and suffix
    (histogram) filters bound the overlap; pairs left are verified once with their whole sets.
 
 Null, empty or wordless texts have no shingles and link with nothing; fewer words than five are one shingle. Repeated
@@ -163,7 +163,7 @@ def _count(bits: int, hot: int):
     return group
 
 
-_SETS = "id long, n int, digest binary, shared binary, prefix array<long>, at array<int>, bins binary"
+_SETS = "id long, n int, own float, digest binary, shared binary, prefix array<long>, at array<int>, bins binary"
 
 
 def _keep_five(bits: int, h: np.ndarray) -> np.ndarray:
@@ -193,7 +193,7 @@ def _sets(bits: int, hot_hashes):
                 data = own.tobytes()
                 digest = hashlib.blake2b(data if u == 0 else str(ids[i]).encode(), digest_size=16).digest()
                 bins = np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.uint16).tobytes()
-                out.append((int(ids[i]), n, digest, data, own[: length - u].astype(np.int64).tolist(), list(range(u, length)), bins))
+                out.append((int(ids[i]), n, u / n, digest, data, own[: length - u].astype(np.int64).tolist(), list(range(u, length)), bins))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _SETS.split(", ")])
 
     return group
@@ -259,12 +259,13 @@ def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     copies = sets.select("id", "digest").join(same, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     entries = work.keep(
         sets.join(same, "digest").where("id = rep")
-        .select("id", "n", F.explode(F.arrays_zip("prefix", "at")).alias("p"))
-        .select("id", "n", F.col("p.prefix").alias("h"), F.col("p.at").alias("at"))
+        .select("id", "n", "own", F.explode(F.arrays_zip("prefix", "at")).alias("p"))
+        .select("id", "n", "own", F.col("p.prefix").alias("h"), F.col("p.at").alias("at"))
         .repartition("h")
     )
-    leader = entries.groupBy("h").agg(F.min(F.struct("id", "n", "at")).alias("l"), F.count("*").alias("m")).where("m > 1")
-    star = entries.join(leader, "h").where("id <> l.id").where(_possible(F.col("n"), F.col("l.n"), F.col("at"), F.col("l.at"))).select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct()
+    # The document with the smallest share of shingles of its own leads: of a text and its edited copies, this is the text.
+    leader = entries.groupBy("h").agg(F.min(F.struct("own", "id", "n", "at")).alias("l"), F.count("*").alias("m")).where("m > 1")
+    star = entries.join(leader, "h").where("id <> l.id").where(_possible(F.col("n"), F.col("l.n"), F.col("at"), F.col("l.at"))).select(F.least("l.id", "id").alias("a"), F.greatest("l.id", "id").alias("b")).distinct()
     found = work.keep(_links(star, sets).union(copies))
     parts = work.keep(components(found, work))
     # Between components: hashes that only one component has need no more work.
