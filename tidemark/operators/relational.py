@@ -13,6 +13,14 @@ def optional_filter(df: DataFrame, **equal) -> DataFrame:
     return reduce(lambda d, kv: d if kv[1] is None else d.where(F.col(kv[0]) == F.lit(kv[1])), equal.items(), df)
 
 
+def half_open(df: DataFrame, column: str, start: str | None, end: str | None) -> DataFrame:
+    """Rows from start on and before end; None leaves a side open."""
+    at = lambda x: F.lit(x).cast(df.schema[column].dataType)
+    if start is not None:
+        df = df.where(F.col(column) >= at(start))
+    return df if end is None else df.where(F.col(column) < at(end))
+
+
 def narrow(df: DataFrame, key: list[str], *keeps: Column) -> DataFrame:
     """Applies each condition in turn to the rows of a key, but only where something survives it."""
     for keep in keeps:
@@ -30,6 +38,11 @@ def top_per(df: DataFrame, key: list[str], k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def numbered_top(df: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k rows of all, numbered. The limit comes first, so the one task that numbers them sees k rows only."""
+    return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def pick_if_unique(df: DataFrame, key: list[str], *choices: str) -> DataFrame:
     """The only value of the first column that has exactly one within the key; null if none has."""
     value = reduce(lambda rest, c: F.when(F.countDistinct(c) == 1, F.min(c)).otherwise(rest), reversed(choices), F.lit(None))

@@ -97,17 +97,17 @@ def insert_ignore_on_key(spark, sf_dir):
     return insert_ignore(least(df.where("event_id % 3 = 0")), least(df), ["user_id", "event_type"])
 
 
-_MINUTES = """up AS (SELECT date_trunc('minute', ts) AS at, event_type AS title FROM events), st AS (SELECT date_trunc('minute', ts) AS at, event_type AS title FROM events WHERE event_id % 17 <> 0
+_MINUTES = """up AS (SELECT date_trunc('minute', ts) AS minute, event_type AS title FROM events), st AS (SELECT date_trunc('minute', ts) AS minute, event_type AS title FROM events WHERE event_id % 17 <> 0
   UNION ALL SELECT date_trunc('minute', ts), CASE WHEN event_id % 2 = 0 THEN 'other' ELSE event_type END FROM events WHERE event_id % 23 = 0),
-j AS (SELECT coalesce(a.at, b.at) AS at, coalesce(u, 0) AS u, coalesce(s, 0) AS s FROM (SELECT at, title, count(*) AS u FROM up GROUP BY ALL) a FULL JOIN (SELECT at, title, count(*) AS s FROM st GROUP BY ALL) b ON a.at = b.at AND a.title = b.title),
-k AS (SELECT at, CAST(sum(u) AS BIGINT) AS u, CAST(sum(s) AS BIGINT) AS s, CAST(sum(CASE WHEN u = 0 THEN s ELSE 0 END) AS BIGINT) AS un FROM j GROUP BY at)"""
+j AS (SELECT coalesce(a.minute, b.minute) AS minute, coalesce(u, 0) AS u, coalesce(s, 0) AS s FROM (SELECT minute, title, count(*) AS u FROM up GROUP BY ALL) a FULL JOIN (SELECT minute, title, count(*) AS s FROM st GROUP BY ALL) b ON a.minute = b.minute AND a.title = b.title),
+k AS (SELECT minute, CAST(sum(u) AS BIGINT) AS u, CAST(sum(s) AS BIGINT) AS s, CAST(sum(CASE WHEN u = 0 THEN s ELSE 0 END) AS BIGINT) AS un FROM j GROUP BY minute)"""
 
 
-@query("WITH " + _MINUTES + " SELECT at, greatest(s - u, 0) AS surplus, greatest(u - s, 0) AS missing, s > u AND s - u <> un AS ambiguous FROM k")
+@query("WITH " + _MINUTES + " SELECT minute, greatest(s - u, 0) AS surplus, greatest(u - s, 0) AS missing, s > u AND s - u <> un AS ambiguous FROM k")
 def reconcile_minutes(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select("event_id", F.date_trunc("minute", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("at"), F.col("event_type").alias("title"))
+    df = table(spark, sf_dir, "events").select("event_id", F.date_trunc("minute", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("minute"), F.col("event_type").alias("title"))
     twice = df.where("event_id % 23 = 0").withColumn("title", F.when(F.col("event_id") % 2 == 0, "other").otherwise(F.col("title")))
-    return relational.reconcile(df, df.where("event_id % 17 <> 0").unionByName(twice), "at", "title", "event_id")
+    return relational.reconcile(df, df.where("event_id % 17 <> 0").unionByName(twice), "minute", "title", "event_id")
 
 
 @query("""SELECT user_id AS touched, 'event' AS kind FROM events WHERE ts >= TIMESTAMP '2024-01-29' UNION SELECT o_custkey, 'order' FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01' UNION SELECT c_custkey, 'customer' FROM customer WHERE c_acctbal < 0""")
@@ -135,7 +135,7 @@ def json_unnest(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.get_json_object("props", "$.missing").isNotNull().alias("has_missing"))
 
 
-@query("""SELECT event_id, CAST(epoch(ts) AS BIGINT) AS at_epoch, CAST(date_trunc('week', ts - INTERVAL 6 HOUR) AS DATE) AS local_week, CAST(year(ts) // 10 * 10 AS INTEGER) AS decade,
+@query("""SELECT event_id, epoch_us(ts) // 1000000 AS at_epoch, CAST(date_trunc('week', ts - INTERVAL 6 HOUR) AS DATE) AS local_week, CAST(floor(year(ts) / 10) * 10 AS INTEGER) AS decade,
 round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400000000.0, 5) AS days_ago FROM events""")
 def date_functions(spark, sf_dir):
     """Chicago is six hours behind UTC in all of these events."""
