@@ -63,3 +63,9 @@ def role_weight(role: Column) -> Column:
         .when(role.rlike(r"\b(master(ing|ed)?|artwork|photo(graphy)?)\b"), 0.3)
         .otherwise(0.6)
     )
+
+
+def mentioned_near(body: Column, a: str, b: str, within: int) -> Column:
+    """Whether two words stand within so many characters of each other, in either order, not overlapping."""
+    gap = rf"[\s\S]{{0,{within}}}"
+    return F.coalesce(body.rlike(rf"\b{a}\b{gap}\b{b}\b|\b{b}\b{gap}\b{a}\b"), F.lit(False))

@@ -52,3 +52,23 @@ def related_pairs(tags: DataFrame, item: str, tag: str) -> DataFrame:
     """How often two tags stand on one item."""
     a, b = tags.select(item, F.col(tag).alias("tag_a")).distinct(), tags.select(item, F.col(tag).alias("tag_b")).distinct()
     return a.join(b, item).where("tag_a < tag_b").groupBy("tag_a", "tag_b").agg(F.count("*").alias("n"))
+
+
+def walk_back(dated: DataFrame, is_seed: Column, seeds: int, factor: float, keep: int) -> DataFrame:
+    """Scores of older albums one and two steps from the seeds. dated: src (node), dst (album), weight, yr."""
+    young = dated.select("src", F.col("dst").alias("young"), F.col("weight").alias("w_young"), F.col("yr").alias("yr_young"))
+    both = young.join(dated, "src").where((F.col("yr") < F.col("yr_young")) & (F.col("young") != F.col("dst")))
+    hop = both.groupBy("young", F.col("dst").alias("album")).agg(F.round(F.sum(F.round(F.col("w_young") * F.col("weight"), 4)), 4).alias("w"))
+    first = hop.where(is_seed).groupBy("album").agg(F.round(F.sum("w"), 5).alias("score"))
+    top = first.orderBy(F.desc("score"), "album").limit(seeds).select(F.col("album").alias("young"))
+    second = hop.join(F.broadcast(top), "young").groupBy("album").agg(F.round(F.lit(factor) * F.sum("w"), 5).alias("score"))  # a few seeds
+    summed = first.union(second).groupBy("album").agg(F.round(F.sum("score"), 5).alias("score"))
+    return summed.orderBy(F.desc("score"), "album").limit(keep)
+
+
+def duplicate_pairs(entities: DataFrame, key: list[str], id_col: str, contexts: DataFrame, context_id: str, context: str) -> DataFrame:
+    """Pairs of entities with equal keys that stand in one context; each pair once, the lesser id kept."""
+    a, b = entities.select(*key, F.col(id_col).alias("keep")), entities.select(*key, F.col(id_col).alias("merge"))
+    pairs = a.join(b, key).where("keep < merge").select("keep", "merge")
+    of = lambda name: contexts.select(F.col(context_id).alias(name), F.col(context).alias("context"))
+    return pairs.join(of("keep"), "keep").join(of("merge"), ["merge", "context"]).select("keep", "merge").distinct()

@@ -51,7 +51,7 @@ def text_predicates(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS flags, list_sort(list(DISTINCT l_linestatus)) AS statuses FROM lineitem GROUP BY l_orderkey)
-SELECT l_orderkey, list_contains(flags, 'R') AS has_r, list_has_any(flags, ['A', 'N']) AS overlaps, list_has_all(['A', 'R'], flags) AS contained, CAST(len(flags) AS INTEGER) AS n, array_to_string(list_filter(flags, x -> x <> 'N'), ',') AS without_n FROM a""")
+SELECT l_orderkey, list_contains(flags, 'R') AS has_r, list_has_any(flags, ['A', 'N']) AS overlaps, list_has_all(['A', 'R'], flags) AS contained, CAST(len(flags) AS INTEGER) AS n, array_to_string(list_filter(flags, lambda x: x <> 'N'), ',') AS without_n FROM a""")
 def array_predicates(spark, sf_dir):
     flags = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"))
     lits = lambda *x: F.array(*map(F.lit, x))
