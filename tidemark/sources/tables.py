@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, a local one."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tidemark").rstrip("/")
+
+
 def read_csv(spark: SparkSession, path: str, required: list[str], optional: list[str] = ()) -> DataFrame:
     """A CSV file with a header: all strings, trimmed, missing values empty. Columns beyond those named become the map `facets`."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
