@@ -31,12 +31,11 @@ def stream_windows(spark, sf_dir):
     return streams.run_to_end(streams.windows(_stream(spark, sf_dir), "event_type", "2 days", "1 day", "1 day"))
 
 
-@query("""WITH r AS (SELECT user_id, event_id, ts, event_type = 'purchase' AS hit FROM events), h AS (SELECT user_id, max(ts) FILTER (hit) AS at FROM r GROUP BY 1)
-SELECT r.user_id, count(*) FILTER (at IS NULL OR ts > at) AS missed, count(*) FILTER (at IS NULL OR ts > at) >= 3 AS cancelled FROM r JOIN h USING (user_id) GROUP BY 1""")
+@query("""WITH r AS (SELECT user_id, event_id, ts, event_type = 'purchase' AS hit FROM events), h AS (SELECT user_id, max(ts) FILTER (hit) AS last_hit FROM r GROUP BY 1)
+SELECT r.user_id, count(*) FILTER (last_hit IS NULL OR ts > last_hit) AS missed, count(*) FILTER (last_hit IS NULL OR ts > last_hit) >= 3 AS cancelled FROM r JOIN h USING (user_id) GROUP BY 1""")
 def stream_state(spark, sf_dir):
     """The counter after all events; with more than one batch, each batch gives a row and the last one counts."""
-    found = streams.run_to_end(streams.count_misses(_stream(spark, sf_dir), "user_id", "event_type = 'purchase'", 3))
-    return found
+    return streams.run_to_end(streams.count_misses(_stream(spark, sf_dir), "user_id", "event_type = 'purchase'", 3))
 
 
 @query("""WITH x AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000 THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))

@@ -18,9 +18,10 @@ from ..sources.tables import shared_folder, write_groups
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
-    """A stream over the files of a table, with the table's schema and event time as a timestamp."""
+    """A stream over the files of a table (a folder or one file), with the table's schema and event time as a timestamp."""
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    head, last = path[:-1], path[-1]
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{head}[{last}]")  # a glob may name a file
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
