@@ -7,9 +7,10 @@ this order. Since a shingle of one document only can't be shared, a document who
 1. Each batch of documents is cut into shingle hashes; hashes go, packed by range of hash, to the task that counts this
    range. What a batch holds twice is sent once with its count, so a very frequent shingle is a few numbers per batch.
 2. The shared hashes go back to their batch, and each document keeps its shared hashes if its prefix holds any.
-3. Documents with equal sets are one from here on. The prefixes' hashes are joined: first to one leading
-   document of each hash, then (components of these links being known) between different components only. Length, positional and suffix
-   (histogram) filters bound the overlap; pairs left are verified once with their whole sets.
+3. Documents with equal sets are one from here on. The prefixes' hashes are joined: first to one leading document of
+   each hash, then to another one drawn by hash, then (components of these links being known) between different
+   components only. Length, positional and suffix (histogram) filters bound the overlap; pairs left are verified once
+   with their whole sets.
 
 Null, empty or wordless texts have no shingles and link with nothing; fewer words than five are one shingle. Repeated
 rows of one id count as one document (the union of their shingles does not matter: the first by text order is taken).
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -228,10 +229,19 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return kept.where(_verified("n_a", "n_b", "shared_a", "shared_b")).select("a", "b")
 
 
-def _possible(n_x, n_y, at_x, at_y):
-    """Length filter, and positional filter: what is left after these places bounds the overlap."""
+def _possible(x: str, y: str) -> Column:
+    """Length filter, and positional filter: a pair is only wanted at the first hash that both have (in the common order),
+    and from there on at most what stands behind it on either side can be shared."""
+    (n_x, at_x), (n_y, at_y) = ([F.col(f"{side}{c}") for c in ("n", "at")] for side in (x, y))
     need = F.ceil(PERCENT * (n_x + n_y) / (100 + PERCENT))
-    return (100 * F.least(n_x, n_y) >= PERCENT * F.greatest(n_x, n_y)) & (F.lit(1) + F.least(n_x - at_x - 1, n_y - at_y - 1) + F.least(at_x, at_y) >= need)
+    return (100 * F.least(n_x, n_y) >= PERCENT * F.greatest(n_x, n_y)) & (F.least(n_x - at_x, n_y - at_y) >= need)
+
+
+def _mixed_entries(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """Entries with their component c, only of hashes that several components have: others need no more work."""
+    labelled = entries.join(parts, entries.id == parts.node, "left").select("id", "n", "h", "at", F.coalesce("component", "id").alias("c"))
+    mixed = labelled.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
+    return labelled.join(mixed, "h", "left_semi")
 
 
 def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,20 +275,26 @@ def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
     # The document with the smallest share of shingles of its own leads: of a text and its edited copies, this is the text.
     leader = entries.groupBy("h").agg(F.min(F.struct("own", "id", "n", "at")).alias("l"), F.count("*").alias("m")).where("m > 1")
-    star = entries.join(leader, "h").where("id <> l.id").where(_possible(F.col("n"), F.col("l.n"), F.col("at"), F.col("l.at"))).select(F.least("l.id", "id").alias("a"), F.greatest("l.id", "id").alias("b")).distinct()
+    star = entries.join(leader, "h").where("id <> l.id").where(_possible("", "l.")).select(F.least("l.id", "id").alias("a"), F.greatest("l.id", "id").alias("b")).distinct()
     found = work.keep(_links(star, sets).union(copies))
     parts = work.keep(components(found, work))
-    # Between components: hashes that only one component has need no more work.
-    labelled = entries.join(parts, entries.id == parts.node, "left").select("id", "n", "h", "at", F.coalesce("component", "id").alias("c"))
-    mixed = labelled.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
-    labelled = work.keep(labelled.join(mixed, "h", "left_semi"))
+    # Of a large group of edited copies some are not near the first leader. Each hash gets another leader, drawn by hash, so
+    # a document meets many of its group, and most of the group is one component before the rest is compared in pairs.
+    labelled = work.keep(_mixed_entries(entries, parts))
+    drawn = labelled.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", "h"), "id", "n", "at", "c")).alias("l"))
+    again = labelled.join(drawn, "h").where(F.col("c") != F.col("l.c")).where(_possible("", "l.")).select(F.least("l.id", "id").alias("a"), F.greatest("l.id", "id").alias("b")).distinct()
+    again = work.keep(again.join(star, ["a", "b"], "left_anti"))
+    closer = work.keep(_links(again, sets))
+    if closer.limit(1).count():
+        found = found.union(closer)
+        parts = work.keep(components(found, work))
+        labelled = work.keep(_mixed_entries(labelled.drop("c"), parts))
     x, y = labelled.alias("x"), labelled.alias("y")
     across = (
-        x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _possible(F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")))
+        x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _possible("x.", "y."))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        .join(found, ["a", "b"], "left_anti")
+        .join(star.union(again), ["a", "b"], "left_anti")
     )
-    across = across.join(star, ["a", "b"], "left_anti")
     more = work.keep(_links(across, sets))
     if more.limit(1).count():
         parts = work.keep(components(found.union(more), work))
