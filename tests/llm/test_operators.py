@@ -161,6 +161,23 @@ def test_lines_edges(edges):
     assert line_dedup.dedup_lines(edges.limit(0)).count() == 0
 
 
+def test_lines_families(spark):
+    """Lines that share boilerplate meet in hot bands: each has one near partner, and all others there are not near."""
+    rng, rows = random.Random(11), []
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    for _ in range(6):
+        boilerplate = letters(160)
+        for _ in range(40):
+            own = letters(18)
+            rows += [boilerplate + own + letters(14), boilerplate + own + letters(14)]
+    rng.shuffle(rows)
+    texts = list(enumerate(rows))
+    got = {r.doc_id: r.lines_removed for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = {k: len(gone) for k, (_, gone) in brute.lines(texts).items()}
+    assert sum(want.values()) == 240
+    assert sum(got.values()) >= 0.99 * 240 and all(got[k] <= want[k] for k in got)
+
+
 def test_secrets(spark, sf_dir, texts):
     got = _by_id(registry.op7_secrets(spark, sf_dir), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     for key, text in texts:

@@ -3,10 +3,11 @@
 A line's set is its shingles of SHINGLE bytes (UTF-8; a shorter line is one shingle). Two lines are near if the Jaccard
 similarity of their sets is 0.8 or more. Signatures of BANDS * ROWS minima are cut into bands; lines that share a band
 are candidates (found with probability 0.995 at a similarity of 0.8, 0.99999 at 0.9). Equal lines are one line from the
-start. Of the lines of a band the most central one (that shares most bands, then the least hash) is compared with all others; where
-a band still holds several components, the same is done once more with the most central line outside the first one's
-component. Similarities are exact; links make components by distributed union-find. The first line of a component, by
-document id and place, stays; all others go.
+start. Of the lines of a band the most central one (that shares most bands, then the greatest hash) is compared with all
+others; where a band still holds several components, so is one line drawn by hash. What is left after that, lines of one
+band but of different components, is compared to the last pair: directly in bands of up to FEW lines, in larger ones by
+an exact join on the rarest shingles, of which near lines must share one. Similarities are exact; links make components by
+distributed union-find. The first line of a component, by document id and place, stays; all others go.
 
 Null and empty texts have no lines. Blank lines stay and are never compared. Ties go to the least id and place. Repeated
 rows of one id share their places: lines removed go from each. Other columns are kept as they are; clashing names do
@@ -24,6 +25,8 @@ from .shared import WorkTables, broadcast_if_small
 SHINGLE, BANDS, ROWS, PERCENT = 9, 10, 4, 80
 #: Up to so many candidate lines (two longs each) are sent to all executors; beyond, lines are shuffled to them.
 BROADCAST_LINES = 500_000
+#: Bands of up to so many lines are compared in pairs; the lines of larger ones first by their rarest shingles.
+FEW = 32
 _BREAK = "\n"
 
 
@@ -62,16 +65,59 @@ def _set(line: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(data) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(data, i, F.lit(SHINGLE)))))
 
 
-def _links(pairs: DataFrame, lines: DataFrame, firsts: DataFrame, work: WorkTables) -> DataFrame:
+def _texts(keys: DataFrame, lines: DataFrame, firsts: DataFrame, work: WorkTables) -> DataFrame:
+    """key, line: the lines of these keys, one each."""
+    wanted = work.keep(keys.distinct().join(firsts, "key").select("key", "first.id", "first.place"))
+    return work.keep(lines.select("id", "place", "line").join(broadcast_if_small(wanted, BROADCAST_LINES), ["id", "place"]).dropDuplicates(["key"]).select("key", "line"))
+
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of keys whose sets are near, compared exactly."""
-    wanted = work.keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(firsts, "key").select("key", "first.id", "first.place"))
-    texts = work.keep(lines.select("id", "place", "line").join(broadcast_if_small(wanted, BROADCAST_LINES), ["id", "place"]).dropDuplicates(["key"]).select("key", "line"))
     sets = texts.select("key", _set(F.col("line")).alias("set"))
     side = lambda k: sets.select(F.col("key").alias(k), F.col("set").alias(f"set_{k}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     return pairs.join(side("b"), "b").join(side("a"), "a").where(100 * both >= PERCENT * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
+
+
+def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """band, key, c: rows with their component, only of bands that hold several components."""
+    labelled = rows.join(parts, rows.key == parts.node, "left").select("band", "key", F.coalesce("component", "key").alias("c"))
+    mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
+    return labelled.join(mixed, "band", "left_semi")
+
+
+def _across(rows: DataFrame, sized: DataFrame, texts: DataFrame, work: WorkTables) -> DataFrame:
+    """Pairs (a, b) from different components that may be near: all pairs of a band that can be.
+
+    rows: band, key, c. sized: key, n shingles. texts: key, line. Pairs of large bands come from a join on shingles, rarest
+    first: of n shingles near lines share one among the first n - ceil(0.8 n) + 1, and at the first one they share, enough
+    must stand behind it. This join doesn't ask for a common band, so it may find pairs that no band has.
+    """
+    counts = work.keep(rows.groupBy("band").agg(F.count("*").alias("m")))
+    alike = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
+    apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & alike
+    pair = (F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    few = work.keep(rows.join(counts.where(F.col("m") <= FEW), "band", "left_semi").join(sized, "key"))
+    direct = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & apart).select(*pair)
+    crowd = work.keep(rows.join(counts.where(F.col("m") > FEW), "band", "left_semi").select("key", "c").distinct())
+    if not crowd.limit(1).count():
+        return direct.distinct()
+    shingles = work.keep(texts.join(crowd, "key").select("key", "c", F.explode(_set(F.col("line"))).alias("h")))
+    ordered = shingles.join(shingles.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("key", "c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    n = F.size("hs").cast("long")
+    prefix = F.slice("hs", 1, (n - F.ceil(n * PERCENT / 100) + 1).cast("int"))
+    entries = work.keep(ordered.select("key", "c", n.alias("n"), F.posexplode(prefix).alias("at", "e")).select("key", "c", "n", "at", F.col("e.h").alias("h")))
+    several = entries.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
+    entries = work.keep(entries.join(several, "h", "left_semi"))
+    enough = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= F.ceil(PERCENT * (F.col("x.n") + F.col("y.n")) / (100 + PERCENT))
+    rarest = entries.alias("x").join(entries.alias("y"), (F.col("x.h") == F.col("y.h")) & apart & enough).select(*pair)
+    return direct.union(rarest).distinct()
+
+
 def line_components(docs: DataFrame, work: WorkTables) -> tuple[DataFrame, DataFrame]:
     """Lines (id, place, key) and components (key, first): the first place of the component of every different line."""
     lines = _lines(docs)
@@ -87,16 +133,24 @@ def line_components(docs: DataFrame, work: WorkTables) -> tuple[DataFrame, DataF
     lead = rows.groupBy("band").agg(F.max(F.struct("degree", "key")).alias("l")).select("band", F.col("l.key").alias("lead"))
     star = lambda df: df.where("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
     pairs = work.keep(star(rows.join(lead, "band")))
-    links = work.keep(_links(pairs, lines, firsts, work))
+    links = work.keep(_links(pairs, _texts(_ends(pairs), lines, firsts, work)))
     parts = work.keep(components(links, work))
-    labelled = rows.join(parts, rows.key == parts.node, "left").select("band", "key", "degree", F.coalesce("component", "key").alias("c"))
-    of_lead = lead.join(parts, lead.lead == parts.node, "left").select("band", F.coalesce("component", "lead").alias("lead_c"))
-    rest = labelled.join(of_lead, "band").where("c <> lead_c").select("band", "key", "degree", "c")
-    second = rest.groupBy("band").agg(F.max(F.struct("degree", "key", "c")).alias("l"), F.count("*").alias("m")).where("m > 1").select("band", F.col("l.key").alias("lead"), F.col("l.c").alias("lead_c"))
-    more = work.keep(star(rest.join(second, "band").where("c <> lead_c")).join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = work.keep(links.union(_links(more, lines, firsts, work)))
+    # Each band draws another leader, by hash: a line meets many of its group before the rest is compared in pairs.
+    rows = work.keep(_mixed(rows, parts))
+    drawn = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", "band"), "key", "c")).alias("l")).select("band", F.col("l.key").alias("lead"), F.col("l.c").alias("lead_c"))
+    again = work.keep(star(rows.join(drawn, "band").where("c <> lead_c")).join(pairs, ["a", "b"], "left_anti"))
+    closer = work.keep(_links(again, _texts(_ends(again), lines, firsts, work)))
+    if closer.limit(1).count():
+        links = links.union(closer)
         parts = work.keep(components(links, work))
+        rows = work.keep(_mixed(rows.select("band", "key"), parts))
+    if rows.limit(1).count():
+        texts = _texts(rows.select("key"), lines, firsts, work)
+        sized = work.keep(texts.select("key", F.size(_set(F.col("line"))).cast("long").alias("n")))
+        across = work.keep(_across(rows, sized, texts, work).join(pairs.union(again), ["a", "b"], "left_anti"))
+        more = work.keep(_links(across, texts))
+        if more.limit(1).count():
+            parts = work.keep(components(links.union(more), work))
     named = firsts.join(parts, firsts.key == parts.node, "left").select("key", "first", F.coalesce("component", "key").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("kept"))
     return lines.select("id", "place", "key"), work.keep(named.join(least, "c").select("key", "kept"))
