@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 
 import public_tokenizers
@@ -136,6 +137,23 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_common_words(spark):
+    """Common words beside a notice weigh little, in a large table too; repeated rows change nothing."""
+    rng = random.Random(12)
+    shares = [("under", 5), ("see", 3), ("below", 2), ("the", 60), ("version", 1)]
+    line = lambda: " ".join([_prose(5, rng.random()), *(w for w, share in shares if rng.random() * 100 < share)])
+    rows = [(i, f"r{i}/x", "\n".join(line() for _ in range(1000))) for i in range(10)]
+    notice = "Licensed under the Apache License, Version 2.0. See below."
+    rows += [(20, "s/x", notice + "\n" + _prose(900, 13)), (21, "t/x", _prose(20, 14)), (22, "u/x", notice), (22, "u/x", notice)]
+    got = {r.doc_id: (r.own_license, round(r.own_score or 0, 2)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    words = {w: sum(w in l.lower().split() for _, _, t in rows for l in t.replace(".", " ").replace(",", " ").split("\n")) for w in ("licensed", "under", "the", "apache", "license", "version", "see", "below")}
+    weight = lambda df: (math.log((1 + 10_005) / (1 + df)) + 1) ** 2
+    own = {w: weight(df) for w, df in words.items()} | {"2.0": weight(3)}
+    share = sum(v for w, v in own.items() if w not in ("see", "below")) / sum(own.values())
+    assert got[20] == got[22] == ("Apache-2.0", round(share**0.5, 2)) and share**0.5 >= 0.75
+    assert {v[0] for k, v in got.items() if k not in (20, 22)} == {None}
+
+
 def test_licenses_whole_table(spark, sf_dir, docs):
     got = registry.op5_licenses(spark, sf_dir)
     assert got.count() == docs.count()

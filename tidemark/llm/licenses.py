@@ -1,28 +1,32 @@
 """License scans: TF-IDF cosine of passages to templates, then inheritance from the nearest directory; DataFrame functions only.
 
 A passage is a line of a file, or the whole file if it has no more than FILE_WORDS different words. Its vector holds each
-different word once, weighted by inverse document frequency over all lines of all files; words of no template weigh as
-much as a word that occurs once. A passage whose cosine with a template is COSINE or more carries the template's
+different word once, weighted by its inverse document frequency over all lines of all files, whether a template has it or not. A passage whose cosine with a template is COSINE or more carries the template's
 license; the best passage (then the first license by name) decides a file's own license. A file at least half of
 whose words stand in such passages is a license file and covers its directory and all below it. A file without a
 license of its own gets that of the nearest directory above it that has a license file (ties: the first path).
 
-A passage is only scored if enough of its words are words of templates that the cosine could be reached: with a share s
-of such words the cosine is at most sqrt(s). Null and empty texts have no license of their own but may inherit one. A
+A passage is only scored if the cosine could be reached were all its words that no template has as light as the lightest
+word of all. Lines are compared one by one: in a file of more than FILE_WORDS words a notice broken over lines is not
+found. Null and empty texts have no license of their own but may inherit one. A
 null path is a file outside of all directories. Repeated rows of one id are one file (their best passage). Extra columns
 are not read. An empty table gives an empty result. Lines of any length are passages.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WorkTables
+from .shared import WorkTables, broadcast_if_small
 
 COSINE, FILE_WORDS = 0.75, 400
+#: Weights of up to so many words are sent to all executors; beyond, words are shuffled to them.
+BROADCAST_WORDS = 500_000
 _BETWEEN = r"[^\p{L}\p{N}.]+"
 
 # Short notices by which files declare well-known licenses.
@@ -47,7 +51,7 @@ def words_of(text: Column) -> Column:
 
 
 def _passages(files: DataFrame) -> DataFrame:
-    """id, place (0: the whole file), n words, the words that templates have."""
+    """id, place (counted from 1), words: one row per line that has words."""
     lines = files.select("id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     return lines.select("id", (F.col("place") + 1).alias("place"), words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
 
@@ -63,25 +67,38 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *, id_c
     vocabulary = sorted(r[0] for r in of_template.select("word").distinct().collect())  # the templates' words: a parameter's size
     passages = _passages(named)
     known = F.array_intersect("words", F.array(*map(F.lit, vocabulary))) if vocabulary else F.array().cast("array<string>")
-    # Texts are cut into words twice in all, by line and whole; both results are written and read again from there.
-    counted = work.keep(passages.select("id", "place", F.size("words").alias("n"), known.alias("known")))
-    # Frequencies over all lines; only words of templates need counting. '' counts the lines.
-    frequency = dict(counted.select(F.explode(F.concat("known", F.array(F.lit("")))).alias("word")).groupBy("word").count().collect())
-    n_lines = frequency.get("", 0)
-    idf = lambda df: math.log((1 + n_lines) / (1 + df)) + 1
-    rare = idf(1) ** 2
-    weights = spark.createDataFrame([(w, idf(frequency.get(w, 1)) ** 2) for w in vocabulary], "word string, weight double")
+    # Texts are cut into words twice in all, by line and whole; both results are written, so that no filter cuts them again.
+    passages = work.keep(passages.select("id", "place", "words", known.alias("known")))
+    # Frequencies of all words over all lines; '' counts the lines.
+    frequency = work.keep(passages.select(F.explode(F.concat("words", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
+    of_vocabulary = dict(frequency.where(F.col("word").isin(["", *vocabulary])).collect())
+    n_lines = of_vocabulary.get("", 0)
+    most = frequency.where("word <> ''").agg(F.max("df")).first()[0] or 1
+    weight = lambda df: (math.log((1 + n_lines) / (1 + df)) + 1) ** 2
+    given = {w: weight(of_vocabulary.get(w, 1)) for w in vocabulary}
+    weights = spark.createDataFrame(list(given.items()), "word string, weight double")
     weighed = work.keep(of_template.join(F.broadcast(weights), "word").select("template", "name", "word", "weight"))
     norms = weighed.groupBy("template").agg(F.sum("weight").alias("norm"))
     # Whole files only where they are short; their words are those of their lines.
-    in_words = named.select("id", "path", words_of(F.coalesce("text", F.lit(""))).alias("words"))
-    of_file = work.keep(in_words.select("id", "path", F.size("words").alias("n_words"), F.when(F.size("words").between(1, FILE_WORDS), known).alias("known")))
-    whole = of_file.where("known is not null").select("id", F.lit(0).alias("place"), F.col("n_words").alias("n"), "known")
-    possible = work.keep(counted.union(whole).where(F.size("known") >= COSINE * COSINE * F.col("n")))
-    terms = possible.select("id", "place", "n", F.size("known").alias("m"), F.explode("known").alias("word"))
-    own_norm = terms.join(F.broadcast(weights), "word").groupBy("id", "place", "n", "m").agg(F.sum("weight").alias("s")).select("id", "place", "n", (F.col("s") + (F.col("n") - F.col("m")) * F.lit(rare)).alias("own_norm"))
-    dots = terms.join(F.broadcast(weighed), "word").groupBy("id", "place", "template", "name").agg(F.sum("weight").alias("dot"))
-    scored = dots.join(own_norm, ["id", "place"]).join(F.broadcast(norms), "template")
+    of_file = work.keep(named.select("id", "path", words_of(F.coalesce("text", F.lit(""))).alias("words")).select("id", "path", F.size("words").alias("n_words"), F.when(F.size("words").between(1, FILE_WORDS), F.col("words")).alias("words")))
+    whole = of_file.where("words is not null").select("id", F.lit(0).alias("place"), "words", known.alias("known"))
+    table = F.create_map(*(F.lit(x) for pair in given.items() for x in pair)) if given else F.create_map().cast("map<string,double>")
+    heavy = lambda words: F.aggregate(words, F.lit(0.0), lambda acc, w: acc + F.element_at(table, w))
+    # No own norm is below this one; with it the cosine can only be too high.
+    low = heavy(F.col("known")) + (F.size("words") - F.size("known")) * F.lit(weight(most))
+    reach = [
+        F.pow(heavy(F.array_intersect("known", F.array(*map(F.lit, r["words"])))), F.lit(2)) >= F.lit((COSINE - 1e-6) ** 2 * sum(given[w] for w in r["words"])) * F.col("low")
+        for r in forms.collect() if r["words"]
+    ]
+    possible = passages.union(whole).where(F.size("known") > 0).withColumn("low", low).where(functools.reduce(operator.or_, reach, F.lit(False)))
+    possible = work.keep(possible.select("id", "place", "words").distinct())
+    passage = ["id", "place", "words"]
+    terms = possible.select(*passage, F.explode("words").alias("word"))
+    needed = work.keep(terms.select("word").distinct().join(frequency, "word").select("word", F.pow(F.log(F.lit(1.0 + n_lines) / (1 + F.col("df"))) + 1, F.lit(2)).alias("weight")))
+    # A whole file may have words of no line only where a full stop ends a line; such words count as rare.
+    own_norm = terms.join(broadcast_if_small(needed, BROADCAST_WORDS), "word", "left").groupBy(*passage).agg(F.sum(F.coalesce("weight", F.lit(weight(1)))).alias("own_norm"))
+    dots = terms.join(F.broadcast(weighed), "word").groupBy(*passage, "template", "name").agg(F.sum("weight").alias("dot"))
+    scored = dots.join(own_norm, passage).join(F.broadcast(norms), "template").withColumn("n", F.size("words"))
     scored = scored.withColumn("cosine", F.least(F.lit(1.0), F.col("dot") / F.sqrt(F.col("own_norm") * F.col("norm")))).where(F.round("cosine", 9) >= COSINE)
     best = scored.groupBy("id", "place", "n").agg(F.min(F.struct((-F.round("cosine", 9)).alias("less"), "name")).alias("b"))
     own = best.groupBy("id").agg(F.min("b").alias("b"), F.sum(F.when(F.col("place") > 0, F.col("n"))).alias("in_lines"), F.max((F.col("place") == 0).cast("int")).alias("is_whole"))
