@@ -78,8 +78,7 @@ def repeats(docs, length=50):
 def lines(docs, size=9, percent=80):
     """{id: (lines_total, removed places)}: exact, over all pairs of different lines."""
     def shingles(line):
-        d = line.encode()
-        return frozenset(d[i : i + size] for i in range(max(1, len(d) - size + 1)))
+        return frozenset(line[i : i + size] for i in range(max(1, len(line) - size + 1)))
 
     places, sets = {}, {}
     for key, text in docs:

@@ -1,17 +1,19 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only: one line of each component of near-equal lines stays.
 
-A line's set is its shingles of SHINGLE bytes (UTF-8; a shorter line is one shingle). Two lines are near if the Jaccard
+A line's set is its shingles of SHINGLE characters (a shorter line is one shingle). Two lines are near if the Jaccard
 similarity of their sets is 0.8 or more. Signatures of BANDS * ROWS minima are cut into bands; lines that share a band
-are candidates (found with probability 0.995 at a similarity of 0.8, 0.99999 at 0.9). Equal lines are one line from the
+are candidates (found with probability 0.993 at a similarity of 0.8, 0.9999 at 0.9). Equal lines are one line from the
 start. Of the lines of a band the most central one (that shares most bands, then the greatest hash) is compared with all
 others; where a band still holds several components, so is one line drawn by hash. What is left after that, lines of one
 band but of different components, is compared to the last pair: directly in bands of up to FEW lines, in larger ones by
-an exact join on the rarest shingles, of which near lines must share one. Similarities are exact; links make components by
-distributed union-find. The first line of a component, by document id and place, stays; all others go.
-
-Null and empty texts have no lines. Blank lines stay and are never compared. Ties go to the least id and place. Repeated
-rows of one id share their places: lines removed go from each. Other columns are kept as they are; clashing names do
-not matter, work columns have names of their own. An empty table gives an empty result.
+an exact join on the rarest shingles, of which near lines must share one. Similarities are exact over the hashes of all
+shingles (64 bits); links make components by distributed union-find. The first line of a component, by document id and
+place, stays; all others go.
+
+Null and empty texts have no lines, rows with a null id keep all of theirs. Blank lines stay and are never compared. Ties
+go to the least id and place. Repeated rows of one id share their places: lines removed go from each. A very long text is
+many lines like any other; a single very long line is held whole, as one value of one row. Other columns are kept as they
+are, but a column named lines_total or lines_removed is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import WorkTables, broadcast_if_small
+from .shared import WorkTables, broadcast_if_small, looked_up
 
-SHINGLE, BANDS, ROWS, PERCENT = 9, 10, 4, 80
+SHINGLE, BANDS, ROWS, PERCENT = 9, 7, 3, 80
 #: Up to so many candidate lines (two longs each) are sent to all executors; beyond, lines are shuffled to them.
 BROADCAST_LINES = 500_000
 #: Bands of up to so many lines are compared in pairs; the lines of larger ones first by their rarest shingles.
 FEW = 32
+#: A line or band that holds more than one row in so many is looked up by broadcast: there are at most as many of these.
+HOT_SHARE, HOT_LEAST = 1000, 1000
 _BREAK = "\n"
 
 
@@ -36,21 +40,25 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.where(F.trim("line") != "").withColumn("key", F.xxhash64("line"))
 
 
+def _shingles(lines: DataFrame, *carried: str) -> DataFrame:
+    """One row for every shingle, within the task: carried columns, i (the shingle's place), h (its hash).
+
+    Four bytes hold a character here, so a shingle is found by its place, however long the line.
+    """
+    wide = lines.select(*carried, F.encode("line", "UTF-32").alias("data"), F.length("line").alias("n"))
+    placed = wide.select(*carried, "data", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - SHINGLE, F.lit(0)))).alias("i"))
+    return placed.select(*carried, "i", F.xxhash64(F.substring("data", F.col("i") * 4 + 1, F.lit(4 * SHINGLE))).alias("h"))
+
+
 def _signatures(lines: DataFrame) -> DataFrame:
-    """key, first place (id, place), and the minima of every permutation: one row per different line.
+    """key, id (of the first document that has it), lines (how many are equal), bands: one row per different line.
 
-    Each shingle is a row only within its task: minima are taken, by hashing, before anything is shuffled. First places
-    are structs, which Spark can only aggregate by sorting; so they are taken over lines, not over shingles.
+    Minima are taken, by hashing, before anything is shuffled.
     """
-    firsts = lines.groupBy("key").agg(F.min(F.struct("id", "place")).alias("first"))
-    data = F.col("line").cast("binary")
-    shingles = (
-        lines.select("key", data.alias("data"))
-        .select("key", "data", F.explode(F.sequence(F.lit(1), F.greatest(F.length("data") - SHINGLE + 1, F.lit(1)))).alias("i"))
-        .select("key", F.xxhash64(F.substring("data", F.col("i"), F.lit(SHINGLE))).alias("h"))
-    )
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(_mask(n)))).alias(f"m{n}") for n in range(BANDS * ROWS)]
-    return shingles.groupBy("key").agg(*minima).join(firsts, "key")
+    signed = _shingles(lines, "key", "id").groupBy("key").agg(F.min("id").alias("id"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("lines"), *minima)
+    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
+    return signed.select("key", "id", "lines", bands.alias("bands"))
 
 
 def _mask(n: int) -> int:
@@ -60,53 +68,51 @@ def _mask(n: int) -> int:
     return (x ^ x >> 29) - (1 << 63)
 
 
-def _set(line: Column) -> Column:
-    data = line.cast("binary")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(data) - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(data, i, F.lit(SHINGLE)))))
-
+def _sets(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """key, set: the different shingles of the lines wanted (id, key), one row each."""
+    found = lines.select("id", "key", "line").join(broadcast_if_small(wanted.select("id", "key"), BROADCAST_LINES), ["id", "key"]).dropDuplicates(["key"])
+    return _shingles(found, "key").groupBy("key").agg(F.collect_set("h").alias("set"))
 
-def _texts(keys: DataFrame, lines: DataFrame, firsts: DataFrame, work: WorkTables) -> DataFrame:
-    """key, line: the lines of these keys, one each."""
-    wanted = work.keep(keys.distinct().join(firsts, "key").select("key", "first.id", "first.place"))
-    return work.keep(lines.select("id", "place", "line").join(broadcast_if_small(wanted, BROADCAST_LINES), ["id", "place"]).dropDuplicates(["key"]).select("key", "line"))
 
-
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of keys whose sets are near, compared exactly."""
-    sets = texts.select("key", _set(F.col("line")).alias("set"))
     side = lambda k: sets.select(F.col("key").alias(k), F.col("set").alias(f"set_{k}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").where(100 * both >= PERCENT * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
+    alike = PERCENT * F.greatest(F.size("set_a"), F.size("set_b")) <= 100 * F.least(F.size("set_a"), F.size("set_b"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(alike).where(100 * both >= PERCENT * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
 def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """band, key, c: rows with their component, only of bands that hold several components."""
-    labelled = rows.join(parts, rows.key == parts.node, "left").select("band", "key", F.coalesce("component", "key").alias("c"))
+    labelled = rows.select("band", "key").join(parts, F.col("key") == parts.node, "left").select("band", "key", F.coalesce("component", "key").alias("c"))
     mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
     return labelled.join(mixed, "band", "left_semi")
 
 
-def _across(rows: DataFrame, sized: DataFrame, texts: DataFrame, work: WorkTables) -> DataFrame:
+def _star(rows: DataFrame, leaders: DataFrame, apart: Column | None = None) -> DataFrame:
+    """Every row of a band with the band's leader: pairs (a, b), a < b."""
+    met = looked_up(rows, "band", leaders).where(F.col("key") != F.col("lead"))
+    met = met if apart is None else met.where(apart)
+    return met.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
+
+
+def _across(rows: DataFrame, sets: DataFrame, work: WorkTables) -> DataFrame:
     """Pairs (a, b) from different components that may be near: all pairs of a band that can be.
 
-    rows: band, key, c. sized: key, n shingles. texts: key, line. Pairs of large bands come from a join on shingles, rarest
-    first: of n shingles near lines share one among the first n - ceil(0.8 n) + 1, and at the first one they share, enough
-    must stand behind it. This join doesn't ask for a common band, so it may find pairs that no band has.
+    rows: band, key, c. sets: key, set. Pairs of large bands come from a join on shingles, rarest first: of n shingles
+    near lines share one among the first n - ceil(0.8 n) + 1, and at the first one they share, enough must stand behind
+    it. This join doesn't ask for a common band, so it may find pairs that no band has.
     """
     counts = work.keep(rows.groupBy("band").agg(F.count("*").alias("m")))
     alike = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
     apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & alike
     pair = (F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    few = work.keep(rows.join(counts.where(F.col("m") <= FEW), "band", "left_semi").join(sized, "key"))
+    few = work.keep(rows.join(counts.where(F.col("m") <= FEW), "band", "left_semi").join(sets.select("key", F.size("set").cast("long").alias("n")), "key"))
     direct = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & apart).select(*pair)
     crowd = work.keep(rows.join(counts.where(F.col("m") > FEW), "band", "left_semi").select("key", "c").distinct())
     if not crowd.limit(1).count():
         return direct.distinct()
-    shingles = work.keep(texts.join(crowd, "key").select("key", "c", F.explode(_set(F.col("line"))).alias("h")))
+    shingles = work.keep(sets.join(crowd, "key").select("key", "c", F.explode("set").alias("h")))
     ordered = shingles.join(shingles.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("key", "c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
     n = F.size("hs").cast("long")
     prefix = F.slice("hs", 1, (n - F.ceil(n * PERCENT / 100) + 1).cast("int"))
@@ -118,57 +124,78 @@ def _across(rows: DataFrame, sized: DataFrame, texts: DataFrame, work: WorkTable
     return direct.union(rarest).distinct()
 
 
-def line_components(docs: DataFrame, work: WorkTables) -> tuple[DataFrame, DataFrame]:
-    """Lines (id, place, key) and components (key, first): the first place of the component of every different line."""
-    lines = _lines(docs)
-    signed = _signatures(lines)
-    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
-    signed = work.keep(signed.select("key", "first", bands.alias("bands")))
-    firsts = signed.select("key", "first")
-    rows = signed.select("key", F.explode("bands").alias("band"))
+def _merged(parts: DataFrame, links: DataFrame, work: WorkTables) -> DataFrame:
+    """parts (node, component) after more links: only the components that these join are looked at again."""
+    of = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    joined = work.keep(components(ends, work))
+    moved = parts.join(joined.withColumnRenamed("node", "c").withColumnRenamed("component", "to"), F.col("component") == F.col("c"), "left")
+    # A line that was alone until now is its own component and has no row in parts.
+    alone = joined.join(parts.select("node"), "node", "left_anti")
+    return work.keep(moved.select("node", F.coalesce("to", "component").alias("component")).union(alone.select("node", "component")))
+
+
+def line_components(lines: DataFrame, work: WorkTables) -> tuple[DataFrame, DataFrame]:
+    """Of every different line: key, id, lines; and the components of near ones: node, component (both keys)."""
+    signed = work.keep(_signatures(lines))
+    rows = signed.select("key", "id", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    rows = work.keep(rows.join(shared, "band"))
     # Of a line and its edited copies, the line itself shares the most bands.
-    rows = work.keep(rows.join(rows.groupBy("key").agg(F.count("*").alias("degree")), "key"))
-    lead = rows.groupBy("band").agg(F.max(F.struct("degree", "key")).alias("l")).select("band", F.col("l.key").alias("lead"))
-    star = lambda df: df.where("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-    pairs = work.keep(star(rows.join(lead, "band")))
-    links = work.keep(_links(pairs, _texts(_ends(pairs), lines, firsts, work)))
-    parts = work.keep(components(links, work))
-    # Each band draws another leader, by hash: a line meets many of its group before the rest is compared in pairs.
+    near = work.keep(rows.join(shared, "band").groupBy("key", "id").agg(F.collect_list("band").alias("bands")))
+    sets = work.keep(_sets(near, lines))
+    rows = work.keep(near.select("key", F.size("bands").alias("degree"), F.explode("bands").alias("band")))
+    hot = F.count("*") > F.lit(max(HOT_LEAST, rows.count() // HOT_SHARE))
+    leaders = rows.groupBy("band").agg(F.max(F.struct("degree", "key")).alias("l"), hot.alias("hub")).select(F.col("band").alias("v"), F.col("l.key").alias("lead"), "hub")
+    pairs = work.keep(_star(rows, work.keep(leaders)))
+    parts = work.keep(components(work.keep(_links(pairs, sets)), work))
+    # Each band that still has several components draws another leader, by hash: a line meets many of its group before
+    # the rest is compared in pairs.
     rows = work.keep(_mixed(rows, parts))
-    drawn = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", "band"), "key", "c")).alias("l")).select("band", F.col("l.key").alias("lead"), F.col("l.c").alias("lead_c"))
-    again = work.keep(star(rows.join(drawn, "band").where("c <> lead_c")).join(pairs, ["a", "b"], "left_anti"))
-    closer = work.keep(_links(again, _texts(_ends(again), lines, firsts, work)))
+    if not rows.limit(1).count():
+        return signed, parts
+    drawn = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", "band"), "key", "c")).alias("l"), hot.alias("hub")).select(F.col("band").alias("v"), F.col("l.key").alias("lead"), F.col("l.c").alias("lead_c"), "hub")
+    again = work.keep(_star(rows, work.keep(drawn), F.col("c") != F.col("lead_c")).join(pairs, ["a", "b"], "left_anti"))
+    closer = work.keep(_links(again, sets))
     if closer.limit(1).count():
-        links = links.union(closer)
-        parts = work.keep(components(links, work))
-        rows = work.keep(_mixed(rows.select("band", "key"), parts))
-    if rows.limit(1).count():
-        texts = _texts(rows.select("key"), lines, firsts, work)
-        sized = work.keep(texts.select("key", F.size(_set(F.col("line"))).cast("long").alias("n")))
-        across = work.keep(_across(rows, sized, texts, work).join(pairs.union(again), ["a", "b"], "left_anti"))
-        more = work.keep(_links(across, texts))
-        if more.limit(1).count():
-            parts = work.keep(components(links.union(more), work))
-    named = firsts.join(parts, firsts.key == parts.node, "left").select("key", "first", F.coalesce("component", "key").alias("c"))
-    least = named.groupBy("c").agg(F.min("first").alias("kept"))
-    return lines.select("id", "place", "key"), work.keep(named.join(least, "c").select("key", "kept"))
+        parts = _merged(parts, closer, work)
+        rows = work.keep(_mixed(rows, parts))
+    across = work.keep(_across(rows, sets, work).join(pairs.union(again), ["a", "b"], "left_anti"))
+    more = work.keep(_links(across, sets))
+    if more.limit(1).count():
+        parts = _merged(parts, more, work)
+    return signed, parts
+
+
+def _gone(lines: DataFrame, work: WorkTables) -> DataFrame:
+    """id, n, mask: for every document that loses lines, how many, and a text with 1 at the places of these, 0 before."""
+    signed, parts = line_components(lines, work)
+    keyed = signed.join(parts, signed.key == parts.node, "left").select("key", "id", "lines", F.coalesce("component", "key").alias("c"))
+    several = keyed.groupBy("c").agg(F.min("id").alias("kept"), F.sum("lines").alias("total")).where("total > 1").select("c", "kept")
+    total = signed.agg(F.sum("lines")).first()[0] or 0
+    hub = F.col("lines") > max(HOT_LEAST, total // HOT_SHARE)
+    values = work.keep(keyed.join(several, "c").select(F.col("key").alias("v"), "c", "kept", hub.alias("hub")))
+    crowd = work.keep(looked_up(lines.select("id", "place", "key"), "key", values).select("id", "place", "c", F.col("id").eqNullSafe(F.col("kept")).alias("first")))
+    first = crowd.where("first").groupBy("c").agg(F.min("place").alias("first_place"))
+    stays = crowd.where("first").join(first, "c").where(F.col("place") == F.col("first_place")).select("id", "place").distinct()
+    places = crowd.select("id", "place").join(stays, ["id", "place"], "left_anti").groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    gap = lambda p, k: p - F.when(k > 0, F.get("places", k - 1)).otherwise(F.lit(-1)) - 1
+    marks = F.transform("places", lambda p, k: F.concat(F.repeat(F.lit("0"), gap(p, k)), F.lit("1")))
+    return work.keep(places.select("id", F.size("places").cast("long").alias("n"), F.array_join(marks, "").cast("binary").alias("mask")))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs with text shortened, and lines_total, lines_removed (long). A null text stays null."""
     work = WorkTables(docs.sparkSession, "line_dedup")
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    lines, parts = line_components(named, work)
-    gone = lines.join(parts, "key").where(F.struct("id", "place") != F.col("kept"))
-    gone = work.keep(gone.groupBy(F.col("id").alias("_removed_id")).agg(F.collect_set("place").alias("_removed_places")))
+    docs = docs.drop("lines_total", "lines_removed")
+    lines = _lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    gone = _gone(lines, work).alias("gone")
     split = F.split(F.col(text_col).cast("string"), _BREAK)
-    left = F.filter(split, lambda _, i: ~F.array_contains("_removed_places", i))
-    some = F.col("_removed_places").isNotNull()
-    joined = docs.join(gone, docs[id_col] == gone["_removed_id"], "left")
+    some = F.col("gone.n").isNotNull()
+    left = F.filter(split, lambda _, i: F.substring(F.col("gone.mask"), i + 1, F.lit(1)) != F.lit(b"1"))
+    joined = docs.alias("docs").join(gone, F.col(f"docs.{id_col}") == F.col("gone.id"), "left")
+    whole = lambda c: F.col(f"docs.`{c}`")
     return joined.select(
-        *(F.when(some, F.array_join(left, _BREAK)).otherwise(docs[text_col]).alias(text_col) if c == text_col else docs[c] for c in docs.columns),
+        *(F.when(some, F.array_join(left, _BREAK)).otherwise(whole(c)).alias(c) if c == text_col else whole(c) for c in docs.columns),
         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("lines_total"),
-        F.coalesce(F.size("_removed_places"), F.lit(0)).cast("long").alias("lines_removed"),
+        F.coalesce("gone.n", F.lit(0)).cast("long").alias("lines_removed"),
     )

@@ -59,6 +59,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def looked_up(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """rows with values' columns of their `key`, one row each, inner. values: v (the key), hub (boolean), other columns.
+
+    Keys marked as hubs, of which there must be a bounded number, are broadcast, so that their many rows stay where they
+    are; the rows of all other keys are joined by a shuffle.
+    """
+    hubs, others = (values.where(c).drop("hub").withColumnRenamed("v", key) for c in ("hub", "not hub"))
+    return rows.join(F.broadcast(hubs), key).unionByName(rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(others, key))
+
+
 def held_out(key: str | Column = "doc_id") -> Column:
     """Rows whose crc32(key as text) is divisible by 5: no labels are learnt from them."""
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % 5 == 0
