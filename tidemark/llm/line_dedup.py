@@ -2,7 +2,7 @@
 
 A line's set is its shingles of SHINGLE characters (a shorter line is one shingle). Two lines are near if the Jaccard
 similarity of their sets is 0.8 or more. Signatures of BANDS * ROWS minima are cut into bands; lines that share a band
-are candidates (found with probability 0.993 at a similarity of 0.8, 0.9999 at 0.9). Equal lines are one line from the
+are candidates (found with probability 0.995 at a similarity of 0.8, 0.99999 at 0.9). Equal lines are one line from the
 start. Of the lines of a band the most central one (that shares most bands, then the greatest hash) is compared with all
 others; where a band still holds several components, so is one line drawn by hash. What is left after that, lines of one
 band but of different components, is compared to the last pair: directly in bands of up to FEW lines, in larger ones by
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import WorkTables, broadcast_if_small, looked_up
 
-SHINGLE, BANDS, ROWS, PERCENT = 9, 7, 3, 80
+SHINGLE, BANDS, ROWS, PERCENT = 9, 10, 4, 80
 #: Up to so many candidate lines (two longs each) are sent to all executors; beyond, lines are shuffled to them.
 BROADCAST_LINES = 500_000
 #: Bands of up to so many lines are compared in pairs; the lines of larger ones first by their rarest shingles.
@@ -116,9 +116,11 @@ def _across(rows: DataFrame, sets: DataFrame, work: WorkTables) -> DataFrame:
     ordered = shingles.join(shingles.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("key", "c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
     n = F.size("hs").cast("long")
     prefix = F.slice("hs", 1, (n - F.ceil(n * PERCENT / 100) + 1).cast("int"))
-    entries = work.keep(ordered.select("key", "c", n.alias("n"), F.posexplode(prefix).alias("at", "e")).select("key", "c", "n", "at", F.col("e.h").alias("h")))
-    several = entries.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
-    entries = work.keep(entries.join(several, "h", "left_semi"))
+    prefixes = work.keep(ordered.select("key", "c", n.alias("n"), F.posexplode(prefix).alias("at", "e")).select("key", "c", "n", "at", F.col("e.h").alias("h")))
+    work.drop(shingles)
+    several = prefixes.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
+    entries = work.keep(prefixes.join(several, "h", "left_semi"))
+    work.drop(prefixes)
     enough = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= F.ceil(PERCENT * (F.col("x.n") + F.col("y.n")) / (100 + PERCENT))
     rarest = entries.alias("x").join(entries.alias("y"), (F.col("x.h") == F.col("y.h")) & apart & enough).select(*pair)
     return direct.union(rarest).distinct()
@@ -144,6 +146,7 @@ def line_components(lines: DataFrame, work: WorkTables) -> tuple[DataFrame, Data
     near = work.keep(rows.join(shared, "band").groupBy("key", "id").agg(F.collect_list("band").alias("bands")))
     sets = work.keep(_sets(near, lines))
     rows = work.keep(near.select("key", F.size("bands").alias("degree"), F.explode("bands").alias("band")))
+    work.drop(near)
     hot = F.count("*") > F.lit(max(HOT_LEAST, rows.count() // HOT_SHARE))
     leaders = rows.groupBy("band").agg(F.max(F.struct("degree", "key")).alias("l"), hot.alias("hub")).select(F.col("band").alias("v"), F.col("l.key").alias("lead"), "hub")
     pairs = work.keep(_star(rows, work.keep(leaders)))
