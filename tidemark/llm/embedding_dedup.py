@@ -10,8 +10,9 @@ not pairs. Components of the forests are the groups.
 
 Cosines are exact in double precision; within 1e-9 of the threshold a pair is summed again term by term.
 Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do vectors with a null label
-or of different lengths. Repeated rows of one id count as one vector (the first by its components). Ties between
-representatives go to the least id. Extra columns are not read. An empty table gives an empty result.
+or of different lengths. Repeated rows of one id count as one vector (the first by its components). Rows without an id link
+with nothing and are kept, one row each. Ties between representatives go to the least id. Extra columns are not read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import WorkTables
+from .shared import WorkTables, least_hashed
 
 SIMILARITY = 0.98
 #: Vectors per centroid aimed at; the most centroids of a group; sampled vectors per group for k-means.
-CELL, MOST_CENTROIDS, SAMPLE = 2000, 512, 20_000
+CELL, MOST_CENTROIDS, SAMPLE = 2000, 2048, 20_000
 BLOCK = 1024
 
 
@@ -116,7 +117,8 @@ def dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col:
     spark = vectors.sparkSession
     work = WorkTables(spark, "embedding_dedup")
     label = F.col(label_col).cast("string") if label_col else F.lit("")
-    named = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("embedding")).where("id is not null")
+    every = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    named = every.where("id is not null")
     everyone = named.select("id").distinct()
     usable = named.where("label is not null").mapInPandas(_prepared, "id long, label string, size int, digest binary, vector binary")
     once = usable.groupBy("id").agg(F.min(F.struct("label", "size", "digest", "vector")).alias("v")).select("id", "v.*")
@@ -126,7 +128,7 @@ def dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col:
     reps = once.join(same.select(F.col("rep").alias("id"), "weight"), "id").select("id", "label", "size", "vector", "weight")
     reps = work.keep(reps)
     # k-means on a bounded sample of every group
-    ranked = reps.select("id", "label", "size").withColumn("rank", F.row_number().over(Window.partitionBy("label", "size").orderBy(F.xxhash64("id"), "id"))).where(F.col("rank") <= SAMPLE)
+    ranked = least_hashed(reps.select("id", "label", "size"), ["label", "size"], "id", SAMPLE)
     totals = reps.groupBy("label", "size").count()
 
     def centroids(frame: pd.DataFrame) -> pd.DataFrame:
@@ -166,11 +168,10 @@ def dedup_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col:
     found = work.keep(keyed.groupBy("g_label", "g_size", "g_cell", "low", "high").applyInPandas(_compare(similarity), "id long, n long, other long"))
     copies = once.join(same, ["label", "size", "digest"]).select("id", "rep", "weight")
     counts = found.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "rep")
-    links = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).union(copies.where("id <> rep").select("id", "rep"))
-    parts = components(links, work)
-    linked = copies.join(counts, "rep", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    component = F.coalesce("component", "id")
-    return (
-        everyone.join(linked, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-        .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
-    )
+    # Copies hang on their representative, the least id of them, outside of the graph.
+    parts = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), work)
+    linked = copies.join(counts, "rep", "left").select("id", "rep", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    component = F.coalesce("component", "rep", "id")
+    result = everyone.join(linked, "id", "left").join(parts, F.col("rep") == parts.node, "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    nameless = every.where("id is null").select("id", F.lit(0).cast("long"), "id", F.lit(True))
+    return result.union(nameless).withColumnRenamed("id", id_col)

@@ -1,20 +1,24 @@
 """N-gram Jaccard join: which documents share 80 % of their five-word shingles, and the components of these links.
 
-Shingles are ordered rare first: those of one document only, then shared ones, then very frequent ones (each class by
-hash, so the order is the same everywhere). Two sets that are similar enough share a shingle within their prefixes in
-this order. Since a shingle of one document only can't be shared, a document whose prefix holds no other drops out.
+Shingles are ordered rare first: by the number of documents that have them, then by hash. Two sets that are similar
+enough share a shingle within their prefixes in this order. Since a shingle of one document only can't be shared, a
+document whose prefix holds no other drops out.
 
 1. Each batch of documents is cut into shingle hashes; hashes go, packed by range of hash, to the task that counts this
    range. What a batch holds twice is sent once with its count, so a very frequent shingle is a few numbers per batch.
-2. The shared hashes go back to their batch, and each document keeps its shared hashes if its prefix holds any.
+2. The shared hashes go back to their batch with their counts, and each document keeps its shared hashes, rarest first,
+   if its prefix holds any.
 3. Documents with equal sets are one from here on. The prefixes' hashes are joined: first to one leading document of
    each hash, then to another one drawn by hash, then (components of these links being known) between different
-   components only. Length, positional and suffix (histogram) filters bound the overlap; pairs left are verified once
-   with their whole sets.
-
-Null, empty or wordless texts have no shingles and link with nothing; fewer words than five are one shingle. Repeated
-rows of one id count as one document (the union of their shingles does not matter: the first by text order is taken).
-Extra columns are not read. An empty table gives an empty result.
+   components only. Length, positional and suffix filters bound the overlap; pairs left are verified once with their
+   whole sets. The suffix filter parts the sets by fixed ranges of hash rather than by pivots, and adds up the smaller
+   part of every range: an upper bound of the overlap from 256 bytes a document.
+
+Sets are compared by the 64-bit hashes of their shingles; two different shingles of a pair of documents of 600 shingles
+are equal with a probability of 2e-14. Null, empty or wordless texts have no shingles and link with nothing; fewer words
+than five are one shingle. Very long texts are batches of their own. Rows without an id give rows without a component and
+link with nothing. Of a repeated id each row's set counts: what any of them links to is linked to the id, and n_shingles
+is the largest. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +37,6 @@ from .shared import WorkTables
 
 WORDS, PERCENT = 5, 80
 BATCH_BYTES, BATCH_DOCS = 8_000_000, 60_000
-#: Hashes of shingles in one of so many documents, or more, are ordered last. At most 640 * HOT_SHARE such hashes exist for documents of 640 shingles.
-HOT_SHARE = 1000
 BINS = 128
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -92,22 +94,11 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], np.bincount(doc[new], minlength=len(texts))
 
 
-def _pack(hashes: np.ndarray) -> bytes:
-    """Five bytes of each hash."""
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
-_SENT = "bucket long, batch long, kind int, hashes binary, extra binary"
+_SENT = "bucket long, batch long, kind int, hashes binary, extra binary, df binary"
 
 
 def _cut(bits: int):
-    """Batches of documents to packed hashes by range. Kind 0: hashes once in the batch, with document numbers; 1: more often, with counts; 2: the same for the way back, by document; 3: the batch's documents (ids and numbers of shingles)."""
+    """Batches of documents to packed hashes by range. Kind 0: hashes once in the batch, with document numbers; 1: more often, with counts; 4: the same, by document, for the batch itself; 3: the batch's documents (ids and numbers of shingles)."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -129,75 +120,73 @@ def _cut(bits: int):
         new = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, int)
         times = np.diff(np.append(new, len(hashes)))
         once = np.repeat(times == 1, times)
-        out = [(-1 - name, name, 3, ids.tobytes(), counts.astype(np.int32).tobytes()), (-1 - name, name, 2, hashes[~once].tobytes(), doc[~once].tobytes())]
+        out = [(-1 - name, name, 3, ids.tobytes(), counts.astype(np.int32).tobytes(), b""), (-1 - name, name, 4, hashes[~once].tobytes(), doc[~once].tobytes(), b"")]
         for kind, h, extra in ((0, hashes[once], doc[once]), (1, hashes[new[times > 1]], times[times > 1].astype(np.uint16))):
             bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(h)]]) if len(h) else []
-            out += [(int(bucket[a]), name, kind, _pack(h[a:b]), extra[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-        return pd.DataFrame(out, columns=["bucket", "batch", "kind", "hashes", "extra"])
+            out += [(int(bucket[a]), name, kind, h[a:b].tobytes(), extra[a:b].tobytes(), b"") for a, b in zip(cuts[:-1], cuts[1:])]
+        return pd.DataFrame(out, columns=["bucket", "batch", "kind", "hashes", "extra", "df"])
 
     return rows
 
 
-def _count(bits: int, hot: int):
-    """Counts one range. Back go, by batch, the shared hashes with their documents (kind 2), and very frequent hashes (kind 4)."""
-
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        if frame["bucket"].iloc[0] < 0:
-            return frame
-        packed = [_unpack(x) for x in frame["hashes"]]
-        top = np.uint64(int(frame["bucket"].iloc[0]) << (64 - bits) if bits else 0)
-        h = np.concatenate(packed)
-        weight = np.concatenate([np.ones(len(p), np.int64) if kind == 0 else np.frombuffer(x, np.uint16).astype(np.int64) for p, kind, x in zip(packed, frame["kind"], frame["extra"])])
-        values, where = np.unique(h, return_inverse=True)
-        df = np.bincount(where, weight)
-        out, at = [], 0
-        for p, kind, batch, extra in zip(packed, frame["kind"], frame["batch"], frame["extra"]):
-            mine = df[where[at : at + len(p)]] > 1
-            at += len(p)
-            if kind == 0 and mine.any():
-                out.append((-1 - batch, batch, 2, (p[mine] | top).tobytes(), np.frombuffer(extra, np.uint16)[mine].tobytes()))
-        if (df >= hot).any():
-            out.append((0, 0, 4, (values[df >= hot] | top).tobytes(), b""))
-        return pd.DataFrame(out, columns=["bucket", "batch", "kind", "hashes", "extra"])
-
-    return group
+def _count(frame: pd.DataFrame) -> pd.DataFrame:
+    """Counts one range. Back go, by batch, the shared hashes with their counts: with documents (kind 2), or those that the batch has several times (kind 5)."""
+    if frame["bucket"].iloc[0] < 0:
+        return frame
+    held = [np.frombuffer(x, np.uint64) for x in frame["hashes"]]
+    times = [np.ones(len(h), np.int64) if kind == 0 else np.frombuffer(x, np.uint16).astype(np.int64) for h, kind, x in zip(held, frame["kind"], frame["extra"])]
+    _, where = np.unique(np.concatenate(held), return_inverse=True)
+    df = np.bincount(where, np.concatenate(times))[where].astype(np.uint32)
+    out, at = [], 0
+    for h, kind, batch, extra in zip(held, frame["kind"], frame["batch"], frame["extra"]):
+        own = df[at : at + len(h)]
+        at += len(h)
+        mine = own > 1
+        if mine.any():
+            docs = np.frombuffer(extra, np.uint16)[mine].tobytes() if kind == 0 else b""
+            out.append((-1 - batch, batch, 2 if kind == 0 else 5, h[mine].tobytes(), docs, own[mine].tobytes()))
+    return pd.DataFrame(out, columns=["bucket", "batch", "kind", "hashes", "extra", "df"])
 
 
 _SETS = "id long, n int, own float, digest binary, shared binary, prefix array<long>, at array<int>, bins binary"
 
 
-def _keep_five(bits: int, h: np.ndarray) -> np.ndarray:
-    """Hashes as they are after the way through a range: its leading bits and five bytes."""
-    top = (h >> np.uint64(64 - bits)) << np.uint64(64 - bits) if bits else np.uint64(0)
-    return top | (h & np.uint64((1 << 40) - 1))
-
-
-def _sets(bits: int, hot_hashes):
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        known = np.frombuffer(hot_hashes.value, np.uint64)
-        head = frame[frame["kind"] == 3].iloc[0]
-        ids, sizes = np.frombuffer(head["hashes"], np.int64), np.frombuffer(head["extra"], np.int32)
-        mine = frame[frame["kind"] == 2]
-        h = _keep_five(bits, np.concatenate([np.frombuffer(x, np.uint64) for x in mine["hashes"]]))
-        doc = np.concatenate([np.frombuffer(x, np.uint16) for x in mine["extra"]])
-        order = np.lexsort((h, np.isin(h, known), doc))
-        h, doc = h[order], doc[order]
-        shared = np.bincount(doc, minlength=len(ids))
-        ends = np.cumsum(shared)
-        out = []
-        for i in np.flatnonzero(shared):
-            n, u = int(sizes[i]), int(sizes[i] - shared[i])
-            length = n - (PERCENT * n + 99) // 100 + 1
-            own = h[ends[i] - shared[i] : ends[i]]
-            if u < length:
-                data = own.tobytes()
-                digest = hashlib.blake2b(data if u == 0 else str(ids[i]).encode(), digest_size=16).digest()
-                bins = np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.uint16).tobytes()
-                out.append((int(ids[i]), n, u / n, digest, data, own[: length - u].astype(np.int64).tolist(), list(range(u, length)), bins))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _SETS.split(", ")])
-
-    return group
+def _sets(frame: pd.DataFrame) -> pd.DataFrame:
+    """The documents of one batch whose prefix holds a shared hash."""
+    join = lambda kind, column, t: np.frombuffer(b"".join(frame[column][frame["kind"] == kind]), t)
+    ids, sizes = join(3, "hashes", np.int64), join(3, "extra", np.int32)
+    several, counts, inner = join(5, "hashes", np.uint64), join(5, "df", np.uint32), join(4, "hashes", np.uint64)
+    order = np.argsort(several)
+    h = np.concatenate([join(2, "hashes", np.uint64), inner])
+    df = np.concatenate([join(2, "df", np.uint32), counts[order][np.searchsorted(several[order], inner)]])
+    doc = np.concatenate([join(2, "extra", np.uint16), join(4, "extra", np.uint16)])
+    order = np.lexsort((h, df, doc))
+    h, doc = h[order], doc[order]
+    shared = np.bincount(doc, minlength=len(ids))
+    ends = np.cumsum(shared)
+    out = []
+    for i in np.flatnonzero(shared):
+        n, u = int(sizes[i]), int(sizes[i] - shared[i])
+        length = n - (PERCENT * n + 99) // 100 + 1
+        own = h[ends[i] - shared[i] : ends[i]]
+        if u < length:
+            data = own.tobytes()
+            digest = hashlib.blake2b(data if u == 0 else str(ids[i]).encode(), digest_size=16).digest()
+            bins = np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.uint16).tobytes()
+            out.append((int(ids[i]), n, u / n, digest, data, own[: length - u].astype(np.int64).tolist(), list(range(u, length)), bins))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _SETS.split(", ")])
+
+
+def _sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for ids, n in zip(frame["hashes"], frame["extra"]):
+            yield pd.DataFrame({"id": np.frombuffer(ids, np.int64), "n": np.frombuffer(n, np.int32).astype(np.int64)})
+
+
+def _nameless(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"n": shingle_sets(frame["text"].tolist())[1].astype(np.int64)})
 
 
 def _need(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -248,25 +237,20 @@ def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: n_shingles, component_id (the least id reachable by links, itself included)."""
     spark = docs.sparkSession
     work = WorkTables(spark, "ngram_join")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = every.where("id is not null")
     n_docs = texts.select("id").count()
     bits = max(4, int(np.ceil(np.log2(max(n_docs, 1) / 512))) if n_docs > 512 else 4)
-    hot = max(50, n_docs // HOT_SHARE)
     sent = texts.mapInPandas(_cut(bits), _SENT)
-    back = work.keep(sent.groupBy("bucket").applyInPandas(_count(bits, hot), _SENT))
-    hot_rows = back.where("kind = 4").select("hashes").collect()  # bounded: shingles in a thousandth of all documents
-    hot_hashes = spark.sparkContext.broadcast(np.unique(_keep_five(bits, np.frombuffer(b"".join(bytes(r[0]) for r in hot_rows), np.uint64))).tobytes())
-    sets = work.keep(back.where("kind in (2, 3)").groupBy("batch").applyInPandas(_sets(bits, hot_hashes), _SETS))
-    sizes = work.keep(
-        back.where("kind = 3").mapInPandas(
-            lambda frames: (pd.DataFrame({"id": np.frombuffer(h, np.int64), "n": np.frombuffer(x, np.int32).astype(np.int64)}) for f in frames for h, x in zip(f["hashes"], f["extra"])), "id long, n long"
-        )
-        .groupBy("id")
-        .agg(F.max("n").alias("n"))
-    )
+    back = work.keep(sent.groupBy("bucket").applyInPandas(_count, _SENT))
+    sets = work.keep(back.where("kind > 1").where("kind <> 3 or length(hashes) > 0").groupBy("batch").applyInPandas(_sets, _SETS))
+    sizes = work.keep(back.where("kind = 3").mapInPandas(_sizes, "id long, n long").groupBy("id").agg(F.max("n").alias("n")))
     work.drop(back)
     same = sets.groupBy("digest").agg(F.min("id").alias("rep"))
-    copies = sets.select("id", "digest").join(same, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    # Documents with equal sets hang on their representative outside of the graph; only a repeated id can have several.
+    stands = sets.select("id", "digest").join(same, "digest").select("id", "rep")
+    lowest = work.keep(stands.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")))
+    copies = lowest.where("rep <> last").select("id", F.col("rep").alias("a")).join(stands.select("id", F.col("rep").alias("b")), "id").where("a <> b").select("a", "b")
     entries = work.keep(
         sets.join(same, "digest").where("id = rep")
         .select("id", "n", "own", F.explode(F.arrays_zip("prefix", "at")).alias("p"))
@@ -298,7 +282,7 @@ def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     more = work.keep(_links(across, sets))
     if more.limit(1).count():
         parts = work.keep(components(found.union(more), work))
-    return (
-        sizes.join(parts, sizes.id == parts.node, "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    )
+    found = sizes.join(lowest.select("id", "rep"), "id", "left").withColumn("rep", F.coalesce("rep", "id")).join(parts, F.col("rep") == parts.node, "left")
+    named = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    none = F.lit(None).cast("long")
+    return named.union(every.where("id is null").mapInPandas(_nameless, "n long").select(none, "n", none))

@@ -8,9 +8,10 @@ labels, weighted by similarity.
 
 The sample: the PER_LABEL labelled documents of each label with the least hash of their id; rows that are held out are
 never used. Score: weighted share of label 1 (labels above 0 count as 1). Texts that are null or empty, or all texts if
-nothing was learnt, get the share of label 1 among the rows learnt from (0.5 without any). Repeated rows are scored each
-for itself; repeated labels of one id count once, by the larger label. Extra columns are not read. An empty table gives
-an empty result. Whole texts are read, however long.
+nothing was learnt, get the share of label 1 among the rows learnt from (0.5 without any); so do texts of one byte, which
+have no terms. Repeated rows are scored each for itself; repeated labels of one id count once, by the larger label. Of
+neighbours that are equally near at the last place any may vote. Extra columns are kept; columns named quality_score or
+quality_predicted are replaced. An empty table gives an empty result. Whole texts are read, however long.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .shared import held_out
+from .shared import held_out, least_hashed
 
 PER_LABEL, NEIGHBOURS, DIMENSIONS, BLOCK_DOCS = 1500, 15, 64, 1024
 CLASSES, REPEAT_TERMS, TWICE_TERMS = 64, 16, 8
@@ -56,8 +57,9 @@ def count_terms(text: str | None) -> np.ndarray:
     c = _CLASS[raw]
     out[: CLASSES * CLASSES] = np.bincount(c[:-1] * np.uint16(CLASSES) + c[1:], minlength=CLASSES * CLASSES)
     if len(raw) >= 16:  # how many of the eight-byte passages are new, in sixteenths
-        passages = np.lib.stride_tricks.sliding_window_view(raw, 8)[::3]
-        keys = np.ascontiguousarray(passages).view(np.uint64).ravel()
+        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view(np.uint64).ravel()
+        some = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62) == 0  # a quarter of the passages, chosen by what they hold
+        keys = keys[some] if some.any() else keys
         out[CLASSES * CLASSES + min(REPEAT_TERMS - 1, int(REPEAT_TERMS * len(np.unique(keys)) / len(keys)))] = len(raw) / 4
     words = text.split()
     if len(words) >= 4:  # how many words only repeat the one before, in eighths
@@ -130,8 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     marked = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label")).where(F.col("label").isNotNull() & ~F.coalesce(held_out("id"), F.lit(True)))
     marked = marked.groupBy("id").agg(F.max("label").alias("label"))
     totals = dict(marked.groupBy("label").count().collect())
-    w = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = marked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= PER_LABEL).select("id", "label")
+    chosen = least_hashed(marked, ["label"], "id", PER_LABEL).select("id", "label")
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

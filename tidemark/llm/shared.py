@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Set while a work table is written: Spark then removes the shuffle files of that write as soon as it has ended.
@@ -69,6 +69,19 @@ def looked_up(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(hubs), key).unionByName(rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(others, key))
 
 
+def least_hashed(rows: DataFrame, groups: list[str], key: str, k: int) -> DataFrame:
+    """Of every group the k rows with the least hashes of `key` (ties by key), numbered by `rank` from 1: a bounded sample.
+
+    From the groups' counts follows a bound below which about 4 k rows of each lie (fewer than k with a probability under
+    1e-9 if keys differ and k is 24 or more); only these are dealt out by group.
+    """
+    counts = rows.groupBy(*groups).agg(F.count("*").alias("_n"))
+    share = F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
+    few = rows.join(counts, groups).where(share * F.col("_n") <= 4 * k).drop("_n")
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(share, key)))
+    return ranked.where(F.col("rank") <= k)
+
+
 def held_out(key: str | Column = "doc_id") -> Column:
     """Rows whose crc32(key as text) is divisible by 5: no labels are learnt from them."""
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % 5 == 0
