@@ -89,7 +89,15 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "page.md").write_text("---\nurl: http://x\ntitle: T\n---\nBody\n")
     page = tables.read_pages(spark, str(tmp_path / "page.md")).first()
     assert (page.url, page.title, page.body) == ("http://x", "T", "Body\n")
-    with pytest.raises(ValueError):
-        tables.read_only(spark, "DROP TABLE x")
+    (tmp_path / "more.csv").write_text("artist,album\nX,Y\n")
+    (tmp_path / "registry.csv").write_text("slug,file\none,list.csv\ntwo,more.csv\n")
+    listed = tables.read_registry(spark, str(tmp_path / "registry.csv"), str(tmp_path), ["artist", "album"])
+    assert sorted((r.slug, r.artist) for r in listed.collect()) == [("one", "A"), ("one", "C"), ("two", "X")]
+    (tmp_path / "claims.jsonl").write_text('{"id": 1, "roles": ["a", "b"]}\n{"id": 2}\n')
+    assert sorted((r.id, r.roles) for r in tables.read_json_lines(spark, str(tmp_path / "claims.jsonl"), "id int, roles array<string>").collect()) == [(1, ["a", "b"]), (2, None)]
+    for refused in ("DROP TABLE x", "WITH x AS (SELECT 1 AS a) INSERT INTO t SELECT * FROM x", "FROM t INSERT INTO u SELECT *", "SET a = 1"):
+        with pytest.raises(ValueError):
+            tables.read_only(spark, refused)
+    assert tables.read_only(spark, "SELECT 'a;b' AS x")[0].first().x == "a;b"
     found, more = tables.read_only(spark, "SELECT * FROM range(5)", 3)
     assert found.count() == 3 and more

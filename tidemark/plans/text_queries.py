@@ -145,7 +145,7 @@ def best_spelling(spark, sf_dir):
 def norm_keys(spark, sf_dir):
     """Keys of every distinct name; rows join back by name."""
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).union(table(spark, sf_dir, "customer").select("c_name")).distinct()
-    return names.select("name", keys.name_key_udf("name").alias("name_key"), keys.album_key_udf("name").alias("album_key"), keys.title_key_udf("name").alias("title_key"), keys.artist_parts_udf("name").alias("parts"))
+    return names.withColumn("k", keys.all_keys_udf("name")).select("name", "k.*")
 
 
 @query()

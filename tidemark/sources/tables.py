@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from datetime import datetime, timezone
 from functools import reduce
+from threading import Timer
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,7 +40,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Markdown pages with front matter between lines of three dashes: path, url, title, body."""
-    whole = spark.read.option("wholetext", True).text(folder).select(F.input_file_name().alias("path"), "value")
+    whole = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), "value")
     head = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
     field = lambda k: F.nullif(F.trim(F.regexp_extract(head, rf"(?m)^{k}:\s*(.*)$", 1)), F.lit(""))
     return whole.select("path", field("url").alias("url"), field("title").alias("title"), F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", "").alias("body"))
@@ -80,6 +84,42 @@ def write_groups(df: DataFrame, path: str, group: str, buckets: int = 64) -> Non
     df.withColumn("bucket", F.pmod(F.xxhash64(group), F.lit(buckets))).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def rebuild(df: DataFrame, path: str) -> None:
+    """Writes a table anew; nothing of the one before is left."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+LEDGER = "job string, trigger string, status string, rows long, notes string, error string, started timestamp, finished timestamp"
+
+
+def record_run(spark: SparkSession, ledger: str, job: str, run: Callable[[], DataFrame], trigger: str = "manual", notes: str | None = None) -> str:
+    """Runs a job and appends one row on it to the ledger, whether it succeeds or not; gives its status.
+
+    The rows that run returns are written beside the ledger, and counted while they are.
+    """
+    started, status, rows, error = datetime.now(timezone.utc), "ok", None, None
+    try:
+        seen = Observation()
+        run().observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{ledger}-{job}")
+        rows = seen.get["rows"]
+    except Exception as e:  # any failure of a job is a row of the ledger
+        status, error = "failed", f"{type(e).__name__}: {e}"
+    row = (job, trigger, status, rows, notes, error, started, datetime.now(timezone.utc))
+    spark.createDataFrame([row], LEDGER).write.mode("append").parquet(ledger)
+    return status
+
+
+def read_registry(spark: SparkSession, registry: str, root: str, required: list[str], optional: list[str] = ()) -> DataFrame:
+    """The lists that a registry file (columns slug and file, one row for each list) names, as one table with the slug; places follow the lines of each file."""
+    entries = read_csv(spark, registry, ["slug", "file"]).select("slug", "file").collect()  # one row for each list file
+    lists = [read_csv(spark, f"{root.rstrip('/')}/{e.file}", required, optional).withColumn("slug", F.lit(e.slug)) for e in entries]
+    return reduce(DataFrame.unionByName, lists)
+
+
 def delete_orphans(target: DataFrame, parents: DataFrame, key: list[str]) -> DataFrame:
     return target.join(parents, key, "left_semi")
 
@@ -103,10 +143,32 @@ def as_tsv(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("\t", *(shown(n, k) for n, k in df.dtypes)).alias("line"))
 
 
-def read_only(spark: SparkSession, sql: str, limit: int = 1000) -> tuple[DataFrame, bool]:
-    """One read-only statement, at most limit rows, and whether there were more."""
-    statement = sql.strip().rstrip(";").strip()
-    if ";" in statement or statement.split(None, 1)[0].lower() not in ("select", "with", "values", "from", "table"):
+def _reads_only(spark: SparkSession, statement: str) -> bool:
+    """Whether the parsed plan of a statement holds no command, and is one statement: the parser refuses several."""
+    jvm = spark._jvm
+    kinds = [jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
+    plans = [spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)]
+    while plans:
+        plan = plans.pop()
+        if any(kind.isInstance(plan) for kind in kinds):
+            return False
+        for held in (plan.children(), plan.innerChildren()):
+            plans += [held.apply(i) for i in range(held.size())]
+    return True
+
+
+def read_only(spark: SparkSession, sql: str, limit: int = 1000, seconds: float = 10.0) -> tuple[DataFrame, bool]:
+    """One read-only statement, at most limit rows, and whether there were more; it is stopped after so many seconds."""
+    if not _reads_only(spark, sql):
         raise ValueError("one SELECT statement only")
-    found = spark.sql(statement).limit(limit + 1)
-    return found.limit(limit), found.count() > limit
+    group, context = f"read-only-{uuid.uuid4().hex}", spark.sparkContext
+    timer = Timer(seconds, context.cancelJobGroup, [group])
+    timer.start()
+    try:
+        context.setJobGroup(group, "read-only statement", interruptOnCancel=True)
+        found = spark.sql(sql).limit(limit + 1)
+        rows = found.collect()  # limit + 1 rows at most
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return spark.createDataFrame(rows[:limit], found.schema), len(rows) > limit
