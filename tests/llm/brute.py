@@ -127,3 +127,28 @@ def near(docs):
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     part = least_reachable(sets, links)
     return {k: (len(sets[k]), part[k]) for k in sets}
+
+
+def phrases(learned, text):
+    """The number of phrases of a text (a string of symbols): each the longest match with the learned string from where it
+    begins; a symbol that is not learned begins a phrase that goes on with the next match."""
+    at = n = 0
+    while at < len(text):
+        begin = at + (text[at] not in learned)
+        end = begin
+        while end < len(text) and text[begin : end + 1] in learned:
+            end += 1
+        at, n = max(end, at + 1), n + 1
+    return n
+
+
+def best_path(emissions, moves):
+    paths = itertools.product(range(3), repeat=len(emissions))
+    return max(paths, key=lambda p: sum(e[t] for e, t in zip(emissions, p)) + sum(moves[a][b] for a, b in zip(p, p[1:])))
+
+
+def vote(vectors, labels, own, neighbours):
+    """The weighted share of label 1 among the nearest neighbours of one unit vector."""
+    near = sorted(((float(v @ own), y) for v, y in zip(vectors, labels)), key=lambda x: -x[0])[:neighbours]
+    weights = [max(c, 0) ** 8 for c, _ in near]
+    return sum(w * y for w, (_, y) in zip(weights, near)) / sum(weights)

@@ -278,3 +278,84 @@ def test_components(spark):
     got = _by_id(components.components(df, WorkTables(spark, "test")), "node", "component")
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert {k: v[0] for k, v in got.items()} == {k: want[k] for k in linked}
+
+
+def test_language_phrases_are_those_of_one_parse(docs):
+    """Blocks, batches and texts of several blocks: the numbers of phrases are those of a plain parse from the first letter on."""
+    import numpy as np
+
+    rows = docs.where("lang is not null and text is not null").orderBy("doc_id").limit(60).collect()
+    learned = {}
+    for r in rows[:24]:
+        learned.setdefault(r.lang, []).append(r.text)
+    model = language_id.Model(learned)
+    symbols = lambda texts: "".join(chr(0x4E00 + c) for c in language_id.squeeze(model.classes[np.concatenate([np.append(language_id._lowered(language_id.code_points(t)), 0) for t in texts])]))
+    texts = [r.text for r in rows[24:44]] + ["日本 text Ωmega " * 9, "a" * 3000, "ab " * 900]
+    old, language_id.BATCH_BLOCKS = language_id.BATCH_BLOCKS, 3
+    try:
+        got, _ = model.score(texts)
+    finally:
+        language_id.BATCH_BLOCKS = old
+    for j, text in enumerate(texts):
+        own = "".join(chr(0x4E00 + c) for c in language_id.squeeze(model.classes[language_id._lowered(language_id.code_points(text))]))
+        want = [brute.phrases(symbols(learned[k]), own) for k in model.languages]
+        assert np.rint(got[:, j] * len(own)).astype(int).tolist() == want
+
+
+def test_secret_field_decodes_the_best_path():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        field = secrets.Field()
+        field.moves = rng.normal(size=(3, 3))
+        emissions = rng.normal(size=(7, 3)) * 2
+        emissions[rng.integers(7), secrets.OUTSIDE] += 20  # a place where the text may be cut
+        assert tuple(field.decode(emissions, np.zeros(7, int)).tolist()) == brute.best_path(emissions.tolist(), field.moves.tolist())
+
+
+def test_quality_ranks_and_votes(spark, sf_dir, docs):
+    """Scores order held-out documents by label, and are the vote of the exact nearest neighbours."""
+    import numpy as np
+
+    labels = table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels)
+    rows = docs.select("doc_id", "text").orderBy("doc_id").limit(40).collect()
+    counts = np.array([quality.count_terms(r.text) for r in rows])
+    own = model.embed(counts)
+    for got, v, c in zip(model.score(counts), own, counts):
+        if c.any():
+            assert abs(got - brute.vote(model.vectors, model.labels, v, quality.NEIGHBOURS)) < 1e-5
+    got = _by_id(registry.op2_quality(spark, sf_dir), "doc_id", "held_out", "score", "predicted")
+    held = [(got[k][1], v) for k, v in labels.select("doc_id", "quality").collect() if k in got and got[k][0] and v is not None]
+    good, bad = [s for s, v in held if v], [s for s, v in held if not v]
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) >= 0.8 * len(good) * len(bad)
+
+
+def test_decode_foreign_ids(spark):
+    path = public_tokenizers.path(registry.RANKS)
+    ranks = byte_bpe.read_ranks(spark, path)
+    rows = spark.createDataFrame([(1, [300, 301, 65], b"x"), (2, [], b"x"), (3, None, b"x")], "id int, ids array<int>, decoded binary")
+    tokens = {int(b): base64.b64decode(a) for a, b in (line.split() for line in ranks.splitlines() if line)}
+    got = {r.id: r.decoded for r in byte_bpe.decode(rows, ranks, public_tokenizers.PATTERN).collect()}
+    assert {k: v if v is None else bytes(v) for k, v in got.items()} == {1: tokens[300] + tokens[301] + tokens[65], 2: b"", 3: None}
+
+
+def test_licenses_texts_and_paragraphs(spark):
+    """Whole texts as files, notices of several lines between blank lines, and files too long for their words to be few."""
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and t.startswith("Permission") and len(t) > 300)
+    apache = next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and "Unless" in t)
+    wrapped = "\n".join(" ".join(apache.split()[i : i + 6]) for i in range(0, len(apache.split()), 6))
+    rows = [(1, "r/LICENSE", "MIT License\n\n" + mit), (2, "r/x.py", _prose(300, 5)), (3, "s/y.py", wrapped + "\n\n" + _prose(900, 6)), (None, None, "x"), (None, None, None), (4, "t/LICENSE", mit + "\n" + mit)]
+    got = {r.doc_id: (r.own_license, r.license, r.is_license_file) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "MIT", True), 2: (None, "MIT", False), 3: ("Apache-2.0", "Apache-2.0", False), None: (None, None, False), 4: ("MIT", "MIT", True)}
+
+
+def test_samples_by_hash(spark):
+    from tidemark.llm.shared import least_hashed
+
+    rows = spark.range(5000).selectExpr("id", "if(id % 10 = 0, 'few', 'many') as kind")
+    got = least_hashed(rows, ["kind"], "id", 30).collect()
+    want = rows.selectExpr("kind", "id", "row_number() over (partition by kind order by shiftrightunsigned(xxhash64(id), 11)) as rank").where("rank <= 30").collect()
+    assert {(r.kind, r.id, r["rank"]) for r in got} == {(r.kind, r.id, r["rank"]) for r in want}
+    assert least_hashed(rows, [], "id", 30).count() == 30 and least_hashed(rows.limit(0), ["kind"], "id", 30).count() == 0

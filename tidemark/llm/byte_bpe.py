@@ -21,6 +21,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 _NONE = np.int32(2**31 - 1)
 #: Above this length in bytes a piece goes to the heap.
@@ -229,3 +230,16 @@ def encode_decode(docs: DataFrame, rank_file: bytes, pattern: str, *, id_col: st
 
     coded = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(rows, schema)
     return coded.withColumnRenamed("id", id_col)
+
+
+def decode(rows: DataFrame, rank_file: bytes, pattern: str, *, ids_col: str = "ids") -> DataFrame:
+    """All columns of rows, and decoded (binary): the bytes of an array of ids. Null ids give null; an id that the rank file
+    does not have fails the job. A column named decoded is replaced."""
+    shared = rows.sparkSession.sparkContext.broadcast(rank_file)
+
+    @F.pandas_udf(BinaryType())
+    def decoded(ids: pd.Series) -> pd.Series:
+        tokens = _codec(shared.value, pattern).tokens
+        return ids.map(lambda x: None if x is None else b"".join(tokens[i] for i in x))
+
+    return rows.withColumn("decoded", decoded(F.col(ids_col).cast("array<int>")))

@@ -120,7 +120,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         )
     else:
         bare = exploded.select("id", F.when(F.col("p.span") == -1, F.size("words")).alias("n_words"), place.alias("place"), *key)
-        found = bare.join(prints, on)
+        found = bare.where("span <> -1").join(prints, on)
         text = base.join(found.select("id").distinct(), "id", "left_semi").select("id", "words")
         hits = found.withColumn("p", F.struct("span", F.col("place").cast("long").alias("print"))).join(text, "id")
         joined = bare.where("span = -1").select("id", "span", "n_words").unionByName(

@@ -2,9 +2,9 @@
 
 Three patterns give the base spans (assign, access, hex). The field tags every token of a text as begin, inside or
 outside of a secret, from the token's shape, its neighbours and features of the file, and is decoded by Viterbi. It
-learns from the base spans of a bounded sample (SAMPLE_DOCS documents with the least hash of their id: windows around
-their spans and windows without any). Spans of the field that touch no base span are added with kind `crf`; base spans
-always stay.
+learns from the base spans of a bounded sample (SAMPLE_DOCS documents with the least hash of their id; of those that have
+WINDOW tokens, windows of so many tokens around their first 20 spans and one drawn anywhere). Spans of the field that
+touch no base span and have LEAST_CRF bytes or more are added with kind `crf`; base spans always stay.
 
 Decoding is exact but short: where outside leads by more than all transitions together can make up, a text may be cut
 without changing the best path, so only the short stretches between such tokens are decoded.
@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import least_hashed
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -220,7 +222,7 @@ def _tags_of(batch: Batch, texts: list[str]) -> np.ndarray:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Learns the field from windows of a bounded sample."""
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text <> '' and id is not null")
-    chosen = named.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
+    chosen = least_hashed(named.select("id"), [], "id", SAMPLE_DOCS).distinct()
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

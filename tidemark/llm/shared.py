@@ -71,13 +71,16 @@ def looked_up(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
 
 def least_hashed(rows: DataFrame, groups: list[str], key: str, k: int) -> DataFrame:
     """Of every group the k rows with the least hashes of `key` (ties by key), numbered by `rank` from 1: a bounded sample.
+    Without groups the k rows of all with the least hashes.
 
     From the groups' counts follows a bound below which about 4 k rows of each lie (fewer than k with a probability under
     1e-9 if keys differ and k is 24 or more); only these are dealt out by group.
     """
-    counts = rows.groupBy(*groups).agg(F.count("*").alias("_n"))
     share = F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(float(1 << 53))
-    few = rows.join(counts, groups).where(share * F.col("_n") <= 4 * k).drop("_n")
+    if not groups:
+        return rows.where(share * rows.count() <= 4 * k).orderBy(share, key).limit(k)
+    counts = rows.groupBy(*groups).agg(F.count("*").alias("_n"))
+    few = rows.join(broadcast_if_small(counts, 100_000), groups).where(share * F.col("_n") <= 4 * k).drop("_n")
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(share, key)))
     return ranked.where(F.col("rank") <= k)
 
