@@ -100,8 +100,9 @@ def _across(rows: DataFrame, sets: DataFrame, work: WorkTables) -> DataFrame:
     """Pairs (a, b) from different components that may be near: all pairs of a band that can be.
 
     rows: band, key, c. sets: key, set. Pairs of large bands come from a join on shingles, rarest first: of n shingles
-    near lines share one among the first n - ceil(0.8 n) + 1, and at the first one they share, enough must stand behind
-    it. This join doesn't ask for a common band, so it may find pairs that no band has.
+    near lines share one among the first n - ceil(0.8 n) + 1, their prefix, and at the first one they share, enough must
+    stand behind it. A pair is made at this first one only, and only if what both prefixes share leaves room for enough
+    beyond them. This join doesn't ask for a common band, so it may find pairs that no band has.
     """
     counts = work.keep(rows.groupBy("band").agg(F.count("*").alias("m")))
     alike = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
@@ -121,8 +122,15 @@ def _across(rows: DataFrame, sets: DataFrame, work: WorkTables) -> DataFrame:
     several = prefixes.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
     entries = work.keep(prefixes.join(several, "h", "left_semi"))
     work.drop(prefixes)
-    enough = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= F.ceil(PERCENT * (F.col("x.n") + F.col("y.n")) / (100 + PERCENT))
-    rarest = entries.alias("x").join(entries.alias("y"), (F.col("x.h") == F.col("y.h")) & apart & enough).select(*pair)
+    # Every entry carries its line's prefix (a fifth of the line's shingles at most) as far as it matters.
+    lines = entries.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("p")).select("key", F.transform("p", lambda e: e["h"]).alias("p"))
+    entries = work.keep(entries.join(lines, "key"))
+    both = F.array_intersect("x.p", "y.p")
+    need = F.ceil(PERCENT * (F.col("x.n") + F.col("y.n")) / (100 + PERCENT))
+    behind = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need
+    beyond = F.greatest(*(F.ceil(F.col(f"{side}.n") * PERCENT / 100) - 1 for side in "xy"))
+    once = (F.get(both, F.lit(0)) == F.col("x.h")) & (F.size(both) + beyond >= need)
+    rarest = entries.alias("x").join(entries.alias("y"), (F.col("x.h") == F.col("y.h")) & apart & behind & once).select(*pair)
     return direct.union(rarest).distinct()
 
 
