@@ -71,7 +71,8 @@ def _mask(n: int) -> int:
 def _sets(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """key, set: the different shingles of the lines wanted (id, key), one row each."""
     found = lines.select("id", "key", "line").join(broadcast_if_small(wanted.select("id", "key"), BROADCAST_LINES), ["id", "key"]).dropDuplicates(["key"])
-    return _shingles(found, "key").groupBy("key").agg(F.collect_set("h").alias("set"))
+    every = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))  # one for each place, in a single pass
+    return found.select("key", F.when(F.length("line") <= SHINGLE, F.array(F.xxhash64("line"))).otherwise(F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))).alias("set"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
