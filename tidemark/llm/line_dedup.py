@@ -18,7 +18,7 @@ are, but a column named lines_total or lines_removed is replaced. An empty table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -115,7 +115,12 @@ def _across(rows: DataFrame, sets: DataFrame, work: WorkTables) -> DataFrame:
     if not crowd.limit(1).count():
         return direct.distinct()
     shingles = work.keep(sets.join(crowd, "key").select("key", "c", F.explode("set").alias("h")))
-    ordered = shingles.join(shingles.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("key", "c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    most = max(HOT_LEAST, shingles.count() // HOT_SHARE)
+    hot = [r[0] for r in shingles.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > most).select("h").collect()]  # HOT_SHARE hashes at most
+    # Shingles of hot ones come last, by hash; those of all others are counted where they meet.
+    counted = shingles.where(~F.col("h").isin(hot)).withColumn("df", F.count("*").over(Window.partitionBy("h")))
+    ranked = counted.unionByName(shingles.where(F.col("h").isin(hot)).withColumn("df", F.lit(1 << 62)))
+    ordered = ranked.groupBy("key", "c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
     n = F.size("hs").cast("long")
     prefix = F.slice("hs", 1, (n - F.ceil(n * PERCENT / 100) + 1).cast("int"))
     prefixes = work.keep(ordered.select("key", "c", n.alias("n"), F.posexplode(prefix).alias("at", "e")).select("key", "c", "n", "at", F.col("e.h").alias("h")))
