@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,14 +55,50 @@ def redacted(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)(key|token|secret|password)=[^&\s]+", "$1=***")
 
 
-def role_weight(role: Column) -> Column:
-    role = F.lower(role)
-    return (
-        F.when(role.rlike(r"\b(vocals?|producer|composer|guitar|bass|drums|member|written)\b"), 1.0)
-        .when(role.rlike(r"\b(engineer|mixing|session|additional|percussion|strings)\b"), 0.6)
-        .when(role.rlike(r"\b(master(ing|ed)?|artwork|photo(graphy)?)\b"), 0.3)
-        .otherwise(0.6)
-    )
+def role_weight(role: Column, core: float = 1.0, session: float = 0.6, mastering: float = 0.3) -> Column:
+    """A credit's weight by its role: mastering; producing, writing, composing and lyrics; all else, such as playing or engineering."""
+    low = F.lower(role)
+    return F.when(low.contains("master"), mastering).when(low.rlike("produc|writ|compos|lyric"), core).otherwise(session)
+
+
+def verbatim(docs: DataFrame, doc_id: str, text: str, quotes: DataFrame, quote_id: str, quote: str, words: int = 6) -> DataFrame:
+    """Pairs of a document and a quote that it holds as whole words, letters' case and kinds of blanks aside.
+
+    A quote is looked up by a hash of its first words (all of them if it has fewer than `words`), and then compared whole at
+    the places found. Empty quotes are in no document.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    split = lambda c: F.array_remove(F.split(c, " "), "")
+    asked = quotes.select(F.col(quote_id), plain(F.col(quote)).alias("_quote")).where("_quote <> ''").withColumn("_n", F.least(F.size(split(F.col("_quote"))), F.lit(words)))
+    asked = asked.select(quote_id, "_quote", "_n", F.xxhash64(F.array_join(F.slice(split(F.col("_quote")), 1, F.col("_n")), " ")).alias("_h"))
+    lengths = [r[0] for r in asked.select("_n").distinct().collect()]  # `words` numbers at most
+    body = docs.select(F.col(doc_id), plain(F.col(text)).alias("_body"))
+    cut = body.select(doc_id, split(F.col("_body")).alias("_w"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("_n"), F.xxhash64(F.array_join(F.slice("_w", i, n), " ")).alias("_h")))
+    every = F.flatten(F.array(*(F.when(F.size("_w") >= n, runs(n)).otherwise(F.array().cast("array<struct<_n:int,_h:bigint>>")) for n in lengths))) if lengths else F.array().cast("array<struct<_n:int,_h:bigint>>")
+    found = cut.select(doc_id, F.explode(F.array_distinct(every)).alias("_r")).select(doc_id, "_r.*").join(asked, ["_n", "_h"]).select(doc_id, quote_id, "_quote").distinct()
+    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return found.join(body, doc_id).where(F.contains(spaced("_body"), spaced("_quote"))).select(doc_id, quote_id)
+
+
+def similar_names(asked: DataFrame, known: DataFrame, name: str, least: float) -> DataFrame:
+    """asked, found, score: names whose trigrams are alike by at least this share of both; distinct names are expected.
+
+    An equi-join on rare trigrams: of g trigrams (rarest first, by how many known names have them) one of the first
+    g - ceil(least * g) + 1 must be common; numbers of trigrams that can't reach the share are left out.
+    """
+    side = lambda df, k: df.select(F.col(name).alias(k), trigrams(F.col(name)).alias(f"g_{k}"))
+    a, b = side(asked, "asked"), side(known, "found")
+    counts = b.select(F.explode("g_found").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+
+    def heads(df: DataFrame, k: str) -> DataFrame:
+        ordered = df.select(k, F.explode(f"g_{k}").alias("g")).join(counts, "g", "left").groupBy(k).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("o"))
+        n = F.size("o")
+        return ordered.select(k, F.explode(F.slice("o", 1, (n - F.ceil(n * least) + 1).cast("int"))).alias("e")).select(k, F.col("e.g").alias("g"))
+
+    pairs = heads(a, "asked").join(heads(b, "found"), "g").select("asked", "found").distinct().join(a, "asked").join(b, "found")
+    sizes = (F.size("g_asked"), F.size("g_found"))
+    return pairs.where(F.least(*sizes) >= least * F.greatest(*sizes)).withColumn("score", similarity(F.col("g_asked"), F.col("g_found"))).where(F.col("score") >= least).select("asked", "found", "score")
 
 
 def mentioned_near(body: Column, a: str, b: str, within: int) -> Column:

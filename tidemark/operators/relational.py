@@ -63,11 +63,17 @@ def either_key_join(left: DataFrame, right: DataFrame, keys: list[Column], right
 
 
 def nearest_within(a: DataFrame, b: DataFrame, metres: float, a_id: str, b_id: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """The nearest b of every a within a distance (equirectangular), through grid cells of that size."""
+    """The nearest b of every a within a distance (equirectangular), through grid cells of that size.
+
+    A cell is as high as the distance and twice as wide at the equator. Nearer the poles a row looks as many cells to
+    either side as the distance spans at its latitude (a cell further towards the pole). The 180th meridian is a border.
+    """
     cell = metres / 111_320.0
     gx, gy = F.floor(F.col(lon) / (2 * cell)), F.floor(F.col(lat) / cell)
     around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    left = a.select(F.col(a_id), F.col(lat).alias("a_lat"), F.col(lon).alias("a_lon"), F.explode(F.transform(around, lambda d: gx + d)).alias("cx"), gy.alias("gy")).select("*", F.explode(F.transform(around, lambda d: F.col("gy") + d)).alias("cy"))
+    narrow = F.cos(F.radians(F.least(F.abs(F.col(lat)) + cell, F.lit(89.9))))
+    side = F.ceil(1 / (2 * narrow)).cast("long")
+    left = a.select(F.col(a_id), F.col(lat).alias("a_lat"), F.col(lon).alias("a_lon"), F.explode(F.transform(F.sequence(-side, side), lambda d: gx + d)).alias("cx"), gy.alias("gy")).select("*", F.explode(F.transform(around, lambda d: F.col("gy") + d)).alias("cy"))
     right = b.select(F.col(b_id), F.col(lat).alias("b_lat"), F.col(lon).alias("b_lon"), gx.alias("cx"), gy.alias("cy"))
     dx = F.radians(F.col("b_lon") - F.col("a_lon")) * F.cos(F.radians((F.col("a_lat") + F.col("b_lat")) / 2))
     dy = F.radians(F.col("b_lat") - F.col("a_lat"))

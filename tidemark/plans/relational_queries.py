@@ -39,13 +39,13 @@ def distinct_from_previous(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (~F.lag("l_returnflag").over(w).eqNullSafe(F.col("l_returnflag"))).alias("changed"))
 
 
-@query("""SELECT p_partkey, contains(lower(p_name), 'a') AS has_a, starts_with(p_type, split_part(p_type, ' ', 1) || ' ') AS longer, regexp_matches(p_name, '(?i)\\b(red|blue|green|part)\\b') AS word,
+@query("""SELECT p_partkey, contains(lower(p_name), 'a') AS has_a, starts_with(p_name, split_part(p_name, ' ', 1) || ' ') AS longer, regexp_matches(p_name, '(?i)\\b(red|blue|green|part)\\b') AS word,
 CAST(nullif(regexp_extract(p_brand, '(\\d+)', 1), '') AS INTEGER) AS brand_number, strftime(TIMESTAMP '2024-01-01' + to_days(p_size), '%Y-%m') AS month FROM part""")
 def text_predicates(spark, sf_dir):
-    kind = F.split_part("p_type", F.lit(" "), F.lit(1))
+    kind = F.split_part("p_name", F.lit(" "), F.lit(1))
     month = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")), "yyyy-MM")
     return table(spark, sf_dir, "part").select(
-        "p_partkey", F.lower("p_name").contains("a").alias("has_a"), F.startswith("p_type", F.concat(kind, F.lit(" "))).alias("longer"), F.col("p_name").rlike(r"(?i)\b(red|blue|green|part)\b").alias("word"),
+        "p_partkey", F.lower("p_name").contains("a").alias("has_a"), F.startswith("p_name", F.concat(kind, F.lit(" "))).alias("longer"), F.col("p_name").rlike(r"(?i)\b(red|blue|green|part)\b").alias("word"),
         F.nullif(F.regexp_extract("p_brand", r"(\d+)", 1), F.lit("")).cast("int").alias("brand_number"), month.alias("month"),
     )
 
@@ -289,10 +289,12 @@ def semi_join(spark, sf_dir):
     return customers.join(orders.where("o_totalprice > 300000"), customers.c_custkey == orders.o_custkey, "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def anti_join(spark, sf_dir):
+    """Customers without an urgent finished order."""
     orders, customers = _of(spark, sf_dir, "orders", "customer")
-    return customers.join(orders, customers.c_custkey == orders.o_custkey, "left_anti").select("c_custkey")
+    urgent = orders.where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
+    return customers.join(urgent, customers.c_custkey == urgent.o_custkey, "left_anti").select("c_custkey")
 
 
 @query("""SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS flags, bool_and(l_quantity > 5) AS all_many FROM lineitem GROUP BY 1 HAVING count(*) > count(DISTINCT l_suppkey) AND count(*) > 2""")
@@ -376,18 +378,18 @@ def overlap_home(spark, sf_dir):
     return matching.pick_by_overlap(titles.where("o_orderstatus = 'O'"), titles.where("o_orderstatus <> 'O'"), ["o_custkey"], "l_partkey", "o_orderkey")
 
 
-@query("""WITH g AS (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS genre FROM part), a AS (SELECT genre, count(DISTINCT p_partkey) AS albums FROM g GROUP BY 1)
+@query("""WITH g AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS genre FROM part), a AS (SELECT genre, count(DISTINCT p_partkey) AS albums FROM g GROUP BY 1)
 SELECT p_partkey, genre, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY cited DESC, albums DESC, genre) AS INTEGER) AS rank FROM (SELECT p_partkey, genre, count(*) AS cited FROM g GROUP BY ALL) JOIN a USING (genre)""")
 def genre_ranked(spark, sf_dir):
-    genres = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_type", " ")).alias("genre"))
+    genres = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("genre"))
     return lists.ranked_tags(genres, "p_partkey", "genre")
 
 
-@query("""WITH g AS (SELECT DISTINCT p_partkey, unnest(string_split(p_type, ' ')) AS genre FROM part) SELECT a.genre AS tag_a, b.genre AS tag_b, count(*) AS n FROM g a JOIN g b ON a.p_partkey = b.p_partkey AND a.genre < b.genre GROUP BY ALL""")
+@query("""WITH g AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS genre FROM part) SELECT a.genre AS tag_a, b.genre AS tag_b, count(*) AS n FROM g a JOIN g b ON a.p_partkey = b.p_partkey AND a.genre < b.genre GROUP BY ALL""")
 def genre_related(spark, sf_dir):
     from ..operators.graph import related_pairs
 
-    return related_pairs(table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_type", " ")).alias("genre")), "p_partkey", "genre")
+    return related_pairs(table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("genre")), "p_partkey", "genre")
 
 
 @query("""WITH recent AS (SELECT DISTINCT unnest(string_split(p_type, ' ')) AS g FROM part WHERE p_partkey % 97 = 0 AND p_size < 12)

@@ -26,16 +26,19 @@ def stream_sessions(spark, sf_dir):
     return streams.run_to_end(streams.sessions(_stream(spark, sf_dir), "user_id", "6 hours", "1 day"))
 
 
-@query()
+@query("""WITH d AS (SELECT event_type, date_trunc('day', ts) AS day FROM events), w AS (SELECT event_type, unnest([day, day - INTERVAL 1 DAY]) AS start FROM d), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
+SELECT event_type, start, count(*) AS n FROM w, m WHERE start + INTERVAL 2 DAY <= mark GROUP BY ALL""")
 def stream_windows(spark, sf_dir):
-    return streams.run_to_end(streams.windows(_stream(spark, sf_dir), "event_type", "2 days", "1 day", "1 day"))
+    found = streams.run_to_end(streams.windows(_stream(spark, sf_dir), "event_type", "2 days", "1 day", "1 day"))
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("""WITH r AS (SELECT user_id, event_id, ts, event_type = 'purchase' AS hit FROM events), h AS (SELECT user_id, max(ts) FILTER (hit) AS last_hit FROM r GROUP BY 1)
 SELECT r.user_id, count(*) FILTER (last_hit IS NULL OR ts > last_hit) AS missed, count(*) FILTER (last_hit IS NULL OR ts > last_hit) >= 3 AS cancelled FROM r JOIN h USING (user_id) GROUP BY 1""")
 def stream_state(spark, sf_dir):
-    """The counter after all events; with more than one batch, each batch gives a row and the last one counts."""
-    return streams.run_to_end(streams.count_misses(_stream(spark, sf_dir), "user_id", "event_type = 'purchase'", 3))
+    """The counter after all events: of the rows that batches give, each key's last one."""
+    found = streams.run_to_end(streams.count_misses(_stream(spark, sf_dir), "user_id", "event_type = 'purchase'", 3))
+    return found.groupBy("user_id").agg(F.max_by(F.struct("missed", "cancelled"), "seen").alias("s")).select("user_id", "s.*")
 
 
 @query("""WITH x AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000 THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
@@ -50,3 +53,32 @@ def stream_rebuild(spark, sf_dir):
     path = f"{shared_folder(spark)}/rebuild-{uuid.uuid4().hex}"
     streams.rebuild_touched(_stream(spark, sf_dir), table(spark, sf_dir, "events"), "user_id", rollup, path)
     return spark.read.parquet(path).select("user_id", "sessions", "n")
+
+
+@query("""SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def stream_placed_around(spark, sf_dir):
+    """A batch's owners are placed again with a day before its first event; over one batch that is all of history."""
+    import uuid
+
+    def place(df):
+        return df.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+    path = f"{shared_folder(spark)}/around-{uuid.uuid4().hex}"
+    found = streams.place_around(_stream(spark, sf_dir), table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", place, path)
+    return found.groupBy("user_id", "event_type").agg(F.max_by("n", "batch").alias("n"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-10' AND event_id % 11 = 0")
+def retracted_events(spark, sf_dir):
+    """Upstream has lost every eleventh event; those of one week are found."""
+    events = table(spark, sf_dir, "events")
+    since, until = (F.expr(f"timestamp_ntz '2024-01-{d}'") for d in ("03", "10"))
+    return streams.retracted(events, events.where("event_id % 11 <> 0"), ["event_id"], since, until).select("event_id")
+
+
+@query("""WITH r AS (SELECT event_type AS job, ts AS started, CASE WHEN event_id % 5 <> 0 THEN ts + INTERVAL 1 MINUTE END AS finished FROM events WHERE ts <= TIMESTAMP '2024-01-15')
+SELECT job, NOT bool_or(started > TIMESTAMP '2024-01-15' - INTERVAL 5 MINUTE) AND NOT bool_or(finished IS NULL AND started > TIMESTAMP '2024-01-15' - INTERVAL 1 HOUR) AS may_start, count(*) FILTER (finished IS NULL AND started <= TIMESTAMP '2024-01-15' - INTERVAL 1 HOUR) AS stale FROM r GROUP BY 1""")
+def trigger_guard(spark, sf_dir):
+    now = F.expr("timestamp_ntz '2024-01-15'")
+    runs = table(spark, sf_dir, "events").where(F.col("ts") <= now).select(F.col("event_type").alias("job"), F.col("ts").alias("started"), F.when(F.col("event_id") % 5 != 0, F.col("ts") + F.expr("interval 1 minute")).alias("finished"))
+    return streams.may_start(runs, now)

@@ -53,29 +53,24 @@ def marker_resolution(spark, sf_dir):
     return marks.join(known, "marker", "left").select("page", "marker", F.col("quality").isNotNull().alias("found"), "quality")
 
 
-@query("""WITH w AS (SELECT item_id, lower(array_to_string(string_split(text, ' ')[1:6], ' ')) AS quote FROM benchmark WHERE len(string_split(text, ' ')) >= 6),
-d AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 5], ' ') AS quote FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 4)) AS i FROM (SELECT doc_id, string_split(lower(text), ' ') AS ws FROM documents WHERE text IS NOT NULL)))
-SELECT doc_id, item_id FROM d JOIN w USING (quote)""")
+_PLAIN = r"trim(regexp_replace(lower({}), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+
+
+@query(f"""WITH q AS (SELECT item_id, {_PLAIN.format("text")} AS quote FROM benchmark WHERE text IS NOT NULL AND trim(text) <> ''), d AS (SELECT doc_id, {_PLAIN.format("text")} AS body FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, item_id FROM d JOIN q ON contains(' ' || body || ' ', ' ' || quote || ' ')""")
 def evidence_verbatim(spark, sf_dir):
-    """Documents that hold the opening words of an item: an equi-join on runs of six words, not a search of every text for every quote."""
-    w = F.split("text", " ")
-    quotes = table(spark, sf_dir, "benchmark").where(F.size(w) >= 6).select("item_id", F.lower(F.array_join(F.slice(w, 1, 6), " ")).alias("quote"))
-    words = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split(F.lower("text"), " ").alias("ws")).where(F.size("ws") >= 6)
-    runs = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - 5), lambda i: F.array_join(F.slice("ws", i, 6), " "))).alias("quote"))
-    return runs.join(quotes, "quote").select("doc_id", "item_id").distinct()
+    """Documents that hold a whole quote: places are found by a join on hashes of the quote's first words, then the whole quote is compared."""
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return texts.verbatim(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", quotes, "item_id", "quote").select("doc_id", "item_id")
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name, p_brand, list_sort(list_distinct(list_transform(range(1, length(p_name) + 1), lambda i: substr('  ' || lower(p_name) || ' ', i, 3)))) AS g FROM part)
-SELECT a.p_partkey AS asked, b.p_partkey AS found, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 4) AS score FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 50 = 0
-QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY score DESC, b.p_partkey) <= 3""")
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, list_distinct(flatten(list_transform(string_split(name, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM n)
+SELECT a.name AS asked, b.name AS found, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 4) AS score FROM g a JOIN g b ON a.name <> b.name WHERE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.3
+QUALIFY row_number() OVER (PARTITION BY a.name ORDER BY score DESC, b.name) <= 3""")
 def trigram_top3(spark, sf_dir):
-    """The three names of the same brand that share most trigrams."""
-    padded = F.concat(F.lit("  "), F.lower("p_name"), F.lit(" "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("p_name")), lambda i: F.substring(padded, i, F.lit(3))))
-    named = table(spark, sf_dir, "part").select("p_partkey", "p_brand", grams.alias("g"))
-    asked = named.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("asked"), "p_brand", F.col("g").alias("g_asked"))
-    score = F.round(texts.similarity(F.col("g_asked"), F.col("g")), 4)
-    found = asked.join(named.withColumnRenamed("p_partkey", "found"), "p_brand").where("asked <> found").select("asked", "found", score.alias("score"))
+    """For every name the three others most like it by trigrams, of all names, from a similarity of 0.3 on."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    found = texts.similar_names(names, names, "name", 0.3).where("asked <> found").withColumn("score", F.round("score", 4))
     return relational.top_per(found, ["asked"], 3, F.desc("score"), F.asc("found")).drop("rank")
 
 
@@ -127,10 +122,10 @@ def sql_gateway(spark, sf_dir):
     return found
 
 
-@query(r"""SELECT doc_id, regexp_replace(text, '(?i)(key|token|secret|password)=[^&\s]+', '\1=***', 'g') AS body FROM documents WHERE contains(lower(text), 'token=') OR contains(lower(text), 'key=')""")
+@query(r"""SELECT page_id, regexp_replace(url || '&api_key=s' || page_id || '&x=1', '(?i)(key|token|secret|password)=[^&\s]+', '\1=***', 'g') AS url FROM pages""")
 def key_redaction(spark, sf_dir):
-    low = F.lower("text")
-    return table(spark, sf_dir, "documents").where(low.contains("token=") | low.contains("key=")).select("doc_id", texts.redacted(F.col("text")).alias("body"))
+    """Addresses of pages with a key in them, which is blotted out."""
+    return table(spark, sf_dir, "pages").select("page_id", texts.redacted(F.concat("url", F.lit("&api_key=s"), "page_id", F.lit("&x=1"))).alias("url"))
 
 
 @query("""SELECT name, count(*) AS n FROM (SELECT lower(p_brand) AS k, p_brand AS name FROM part) GROUP BY name QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY len(string_split(name, ' ')) DESC, n DESC, name) = 1""")
@@ -154,10 +149,10 @@ def loose_keys(spark, sf_dir):
     return names.select("name", F.explode(keys.loose_title_keys_udf("name")).alias("loose_key"))
 
 
-@query()
+@query("""SELECT 'The ' || p_name || ' (Deluxe)' AS name, lower('The ' || p_name || ' (Deluxe)') AS stored, p_name || ' deluxe' AS computed, count(*) AS n FROM part GROUP BY p_name""")
 def key_change_impact(spark, sf_dir):
     """Stored keys against recomputed ones, only where they differ, with their counts."""
-    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n"))
+    names = table(spark, sf_dir, "part").groupBy(F.concat_ws(" ", F.lit("The"), "p_name", F.lit("(Deluxe)")).alias("name")).agg(F.count("*").alias("n"))
     return names.select("name", F.lower("name").alias("stored"), keys.name_key_udf("name").alias("computed"), "n").where("stored <> computed")
 
 
@@ -168,7 +163,7 @@ def near_title_pairs(spark, sf_dir):
     return near_titles(names, names, ["p_brand"], "title")
 
 
-@query()
+@query(r"""SELECT doc_id, true AS near FROM (SELECT doc_id, trim(regexp_replace(lower(translate(regexp_replace(regexp_replace(text, '!?\[([^\]]*)\]\([^()]*(?:\([^()]*\)[^()]*)*\)', '\1', 'g'), '\[\d+\]', '', 'g'), '‘’“”«»', '''''""""')), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM documents) WHERE regexp_matches(body, '(?s)\blicense\b.{0,150}\breleased\b|\breleased\b.{0,150}\blicense\b')""")
 def mention_proximity(spark, sf_dir):
     """Pages on which a word of a title stands within 150 characters of a name."""
     pages = table(spark, sf_dir, "documents").select("doc_id", texts.page_text(F.col("text")).alias("body"))
@@ -182,7 +177,7 @@ def seeded_sample(spark, sf_dir):
     return df.orderBy(F.md5(F.concat(F.lit("7:"), F.col("event_id").cast("string"))), "event_id").limit(20)
 
 
-@query()
+@query("""SELECT o_orderkey, ln((CAST('0x' || substr(sha256('7:' || o_orderkey), 1, 12) AS BIGINT) + 1) / 281474976710657.0) / o_totalprice AS draw FROM orders ORDER BY draw DESC, o_orderkey LIMIT 20""")
 def weighted_sample(spark, sf_dir):
     """Without replacement, by weight: the largest of log(u) / weight, with u from a keyed hash."""
     unit = (F.conv(F.substring(F.sha2(F.concat(F.lit("7:"), F.col("o_orderkey").cast("string")), 256), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(1 << 48) + 1)

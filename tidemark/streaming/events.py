@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -34,7 +35,10 @@ def run_to_end(stream: DataFrame, mode: str = "append", each: Callable[[DataFram
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
 
     (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(each or write).start()).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out/*")
+    try:
+        return spark.read.schema(stream.schema).parquet(f"{root}/out/*")
+    except AnalysisException:  # no batch came
+        return spark.createDataFrame([], stream.schema)
 
 
 def dedup(events: DataFrame, key: list[str], late: str = "3 days") -> DataFrame:
@@ -55,18 +59,19 @@ def windows(events: DataFrame, key: str, length: str, slide: str, late: str) ->
 
 
 def count_misses(events: DataFrame, key: str, hit: str, limit: int) -> DataFrame:
-    """Per key and batch: how many events in a row were no hit, carried over batches; cancelled at the limit."""
+    """Per key and batch: how many events in a row were no hit, carried over batches; cancelled at the limit. `seen` counts the
+    key's events so far, so that the row with the most is the last one."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        missed = state.get[0] if state.exists else 0
+        missed, seen_before = state.get if state.exists else (0, 0)
         rows = pd.concat(frames).sort_values("ts")["hit"].tolist()
         for seen in rows:
             missed = 0 if seen else missed + 1
-        state.update((missed,))
-        yield pd.DataFrame({key: [k[0]], "missed": [missed], "cancelled": [missed >= limit]})
+        state.update((missed, seen_before + len(rows)))
+        yield pd.DataFrame({key: [k[0]], "missed": [missed], "cancelled": [missed >= limit], "seen": [seen_before + len(rows)]})
 
     flagged = events.select(key, "ts", F.expr(hit).alias("hit"))
-    return flagged.groupBy(key).applyInPandasWithState(step, f"{key} long, missed long, cancelled boolean", "missed long", "append", GroupStateTimeout.NoTimeout)
+    return flagged.groupBy(key).applyInPandasWithState(step, f"{key} long, missed long, cancelled boolean, seen long", "missed long, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
 def rebuild_touched(events: DataFrame, history: DataFrame, owner: str, rebuild: Callable[[DataFrame], DataFrame], path: str) -> None:
@@ -79,3 +84,35 @@ def rebuild_touched(events: DataFrame, history: DataFrame, owner: str, rebuild:
 
     run = events.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(each).start()
     run.awaitTermination()
+
+
+def place_around(events: DataFrame, history: DataFrame, owner: str, place: Callable[[DataFrame], DataFrame], path: str, lookback: str = "1 day") -> DataFrame:
+    """For every batch: only the history of its owners from so long before the batch's first event on is placed again.
+
+    Each batch writes its own folder, so a batch that is tried again replaces what it wrote; later batches count.
+    """
+    spark = events.sparkSession
+
+    def each(batch: DataFrame, n: int) -> None:
+        since = batch.groupBy(owner).agg((F.min("ts") - F.expr(f"interval {lookback}")).alias("_since"))
+        around = history.join(since, owner).where(F.col("ts") >= F.col("_since")).drop("_since")
+        place(around).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    events.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+def retracted(stored: DataFrame, upstream: DataFrame, key: list[str], since, until) -> DataFrame:
+    """Stored events of a span that upstream no longer has. A batch job: append sinks can't take rows back."""
+    span = (F.col("ts") >= F.lit(since)) & (F.col("ts") < F.lit(until))
+    return stored.where(span).join(upstream.where(span).select(*key), key, "left_anti")
+
+
+def may_start(runs: DataFrame, now, pause: str = "5 minutes", stale: str = "1 hour") -> DataFrame:
+    """Per job: whether it may start (nothing started within the pause, nothing runs), and how many runs are stale, that is
+    unfinished for too long and so no longer count as running. runs: job, started, finished."""
+    at, open_ = F.lit(now), F.col("finished").isNull()
+    fresh = F.col("started") > at - F.expr(f"interval {pause}")
+    dead = open_ & (F.col("started") <= at - F.expr(f"interval {stale}"))
+    found = runs.groupBy("job").agg(F.bool_or(fresh).alias("f"), F.bool_or(open_ & ~dead).alias("r"), F.count_if(dead).alias("stale"))
+    return found.select("job", (~F.col("f") & ~F.col("r")).alias("may_start"), "stale")
