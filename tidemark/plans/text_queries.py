@@ -30,7 +30,7 @@ def html_links(spark, sf_dir):
     return hrefs.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("href").alias("targets"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(lower(translate(regexp_replace(regexp_replace(text, '!?\[([^\]]*)\]\([^()]*(?:\([^()]*\)[^()]*)*\)', '\1', 'g'), '\[\d+\]', '', 'g'), '‘’“”«»', '''''""""')), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(lower(translate(regexp_replace(regexp_replace(text, '!?\[([^\]]*)\]\([^()]*(?:\([^()]*\)[^()]*)*\)', '\1', 'g'), '\[\d+\]', '', 'g'), '‘’“”«»', '''''' || repeat(chr(34), 4))), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM documents""")
 def page_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", texts.page_text(F.col("text")).alias("body"))
 
@@ -163,7 +163,7 @@ def near_title_pairs(spark, sf_dir):
     return near_titles(names, names, ["p_brand"], "title")
 
 
-@query(r"""SELECT doc_id, true AS near FROM (SELECT doc_id, trim(regexp_replace(lower(translate(regexp_replace(regexp_replace(text, '!?\[([^\]]*)\]\([^()]*(?:\([^()]*\)[^()]*)*\)', '\1', 'g'), '\[\d+\]', '', 'g'), '‘’“”«»', '''''""""')), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM documents) WHERE regexp_matches(body, '(?s)\blicense\b.{0,150}\breleased\b|\breleased\b.{0,150}\blicense\b')""")
+@query(r"""SELECT doc_id, true AS near FROM (SELECT doc_id, trim(regexp_replace(lower(translate(regexp_replace(regexp_replace(text, '!?\[([^\]]*)\]\([^()]*(?:\([^()]*\)[^()]*)*\)', '\1', 'g'), '\[\d+\]', '', 'g'), '‘’“”«»', '''''' || repeat(chr(34), 4))), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM documents) WHERE regexp_matches(body, '(?s)\blicense\b.{0,150}\breleased\b|\breleased\b.{0,150}\blicense\b')""")
 def mention_proximity(spark, sf_dir):
     """Pages on which a word of a title stands within 150 characters of a name."""
     pages = table(spark, sf_dir, "documents").select("doc_id", texts.page_text(F.col("text")).alias("body"))
