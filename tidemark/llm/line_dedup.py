@@ -1,8 +1,9 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only: one line of each component of near-equal lines stays.
 
 A line's set is its shingles of SHINGLE characters (a shorter line is one shingle). Two lines are near if the Jaccard
-similarity of their sets is 0.8 or more. Signatures of BANDS * ROWS minima are cut into bands; lines that share a band
-are candidates (found with probability 0.995 at a similarity of 0.8, 0.99999 at 0.9). Equal lines are one line from the
+similarity of their sets is 0.8 or more. Signatures of BANDS * ROWS minima (one permutation, by bins) are cut into bands;
+lines that share a band are candidates (found with probability 0.995 at a similarity of 0.8, 0.99999 at 0.9, a little
+less where a line has few shingles). Equal lines are one line from the
 start. Of the lines of a band the most central one (that shares most bands, then the greatest hash) is compared with all
 others; where a band still holds several components, so is one line drawn by hash. What is left after that, lines of one
 band but of different components, is compared to the last pair: directly in bands of up to FEW lines, in larger ones by
@@ -18,6 +19,8 @@ are, but a column named lines_total or lines_removed is replaced. An empty table
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ from .components import components
 from .shared import WorkTables, broadcast_if_small, looked_up
 
 SHINGLE, BANDS, ROWS, PERCENT = 9, 10, 4, 80
+#: An empty bin of a signature looks into so many others.
+PROBES = 5
 #: Up to so many candidate lines (two longs each) are sent to all executors; beyond, lines are shuffled to them.
 BROADCAST_LINES = 500_000
 #: Bands of up to so many lines are compared in pairs; the lines of larger ones first by their rarest shingles.
@@ -53,19 +58,23 @@ def _shingles(lines: DataFrame, *carried: str) -> DataFrame:
 def _signatures(lines: DataFrame) -> DataFrame:
     """key, id (of the first document that has it), lines (how many are equal), bands: one row per different line.
 
-    Minima are taken, by hashing, before anything is shuffled.
+    One permutation, cut into BANDS * ROWS bins: a shingle counts in the bin of its hash only. Minima are taken, by
+    hashing, before anything is shuffled. A bin that holds none borrows from PROBES others, in an order of its own, and
+    at last the least of all.
     """
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(_mask(n)))).alias(f"m{n}") for n in range(BANDS * ROWS)]
-    signed = _shingles(lines, "key", "id").groupBy("key").agg(F.min("id").alias("id"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("lines"), *minima)
-    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
+    bins = BANDS * ROWS
+    shingles = _shingles(lines, "key", "id").withColumn("bin", F.pmod("h", F.lit(bins)))
+    minima = [F.expr(f"min(h) FILTER (WHERE bin = {n})").alias(f"m{n}") for n in range(bins)]
+    signed = shingles.groupBy("key").agg(F.min("id").alias("id"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("lines"), *minima)
+    signed = signed.withColumn("least", F.least(*(f"m{n}" for n in range(bins))))
+    filled = [F.coalesce(*(F.col(f"m{k}") for k in _probes(n, bins)), "least") for n in range(bins)]
+    bands = F.array(*(F.xxhash64(F.lit(b), *(filled[b * ROWS + r] for r in range(ROWS))) for b in range(BANDS)))
     return signed.select("key", "id", "lines", bands.alias("bands"))
 
 
-def _mask(n: int) -> int:
-    """The n-th permutation turns over these bits of a hash, which orders hashes anew."""
-    x = (n + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-    x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-    return (x ^ x >> 29) - (1 << 63)
+def _probes(n: int, bins: int) -> list[int]:
+    """Bin n and the PROBES others that it borrows from."""
+    return [n, *random.Random(n).sample([k for k in range(bins) if k != n], PROBES)]
 
 
 def _sets(wanted: DataFrame, lines: DataFrame) -> DataFrame:
