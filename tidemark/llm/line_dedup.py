@@ -77,19 +77,32 @@ def _probes(n: int, bins: int) -> list[int]:
     return [n, *random.Random(n).sample([k for k in range(bins) if k != n], PROBES)]
 
 
-def _sets(wanted: DataFrame, lines: DataFrame) -> DataFrame:
-    """key, set: the different shingles of the lines wanted (id, key), one row each."""
+def _set(line: Column) -> Column:
+    """The different shingles (hashes) of one line, as an array."""
+    n = F.length(line)
+    of = lambda data: F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(F.substring(data, i * 4 + 1, F.lit(4 * SHINGLE))))
+    # The array around the encoded line makes it once for all places.
+    every = F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), of))
+    return F.when(n <= SHINGLE, F.array(F.xxhash64(line))).otherwise(F.array_distinct(every))
+
+
+def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """key, line, n (how many different shingles): the lines wanted (id, key), one row each.
+
+    Lines are kept and not their sets, which take eight times as much to write and to shuffle.
+    """
     found = lines.select("id", "key", "line").join(broadcast_if_small(wanted.select("id", "key"), BROADCAST_LINES), ["id", "key"]).dropDuplicates(["key"])
-    every = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))  # one for each place, in a single pass
-    return found.select("key", F.when(F.length("line") <= SHINGLE, F.array(F.xxhash64("line"))).otherwise(F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))).alias("set"))
+    return found.select("key", "line", F.size(_set(F.col("line"))).cast("long").alias("n"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of keys whose sets are near, compared exactly."""
-    side = lambda k: sets.select(F.col("key").alias(k), F.col("set").alias(f"set_{k}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    alike = PERCENT * F.greatest(F.size("set_a"), F.size("set_b")) <= 100 * F.least(F.size("set_a"), F.size("set_b"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").where(alike).where(100 * both >= PERCENT * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+    side = lambda k: texts.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"), F.col("n").alias(f"n_{k}"))
+    alike = PERCENT * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
+    both = F.size(F.array_intersect(_set(F.col("line_a")), _set(F.col("line_b"))))
+    # Of intersection size x the union is n_a + n_b - x, so x is wanted only once.
+    near = (100 + PERCENT) * both >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(alike).where(near).select("a", "b")
 
 
 def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -106,10 +119,10 @@ def _star(rows: DataFrame, leaders: DataFrame, apart: Column | None = None) -> D
     return met.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
 
 
-def _across(rows: DataFrame, sets: DataFrame, work: WorkTables) -> DataFrame:
+def _across(rows: DataFrame, texts: DataFrame, work: WorkTables) -> DataFrame:
     """Pairs (a, b) from different components that may be near: all pairs of a band that can be.
 
-    rows: band, key, c. sets: key, set. Pairs of large bands come from a join on shingles, rarest first: of n shingles
+    rows: band, key, c. texts: key, line, n. Pairs of large bands come from a join on shingles, rarest first: of n shingles
     near lines share one among the first n - ceil(0.8 n) + 1, their prefix, and at the first one they share, enough must
     stand behind it. A pair is made at this first one only, and only if what both prefixes share leaves room for enough
     beyond them. This join doesn't ask for a common band, so it may find pairs that no band has.
@@ -118,12 +131,12 @@ def _across(rows: DataFrame, sets: DataFrame, work: WorkTables) -> DataFrame:
     alike = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
     apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & alike
     pair = (F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    few = work.keep(rows.join(counts.where(F.col("m") <= FEW), "band", "left_semi").join(sets.select("key", F.size("set").cast("long").alias("n")), "key"))
+    few = work.keep(rows.join(counts.where(F.col("m") <= FEW), "band", "left_semi").join(texts.select("key", "n"), "key"))
     direct = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & apart).select(*pair)
     crowd = work.keep(rows.join(counts.where(F.col("m") > FEW), "band", "left_semi").select("key", "c").distinct())
     if not crowd.limit(1).count():
         return direct.distinct()
-    shingles = work.keep(sets.join(crowd, "key").select("key", "c", F.explode("set").alias("h")))
+    shingles = work.keep(texts.join(crowd, "key").select("key", "c", F.explode(_set(F.col("line"))).alias("h")))
     most = max(HOT_LEAST, shingles.count() // HOT_SHARE)
     hot = [r[0] for r in shingles.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > most).select("h").collect()]  # HOT_SHARE hashes at most
     # Shingles of hot ones come last, by hash; those of all others are counted where they meet.
@@ -167,13 +180,13 @@ def line_components(lines: DataFrame, work: WorkTables) -> tuple[DataFrame, Data
     shared = rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
     # Of a line and its edited copies, the line itself shares the most bands.
     near = work.keep(rows.join(shared, "band").groupBy("key", "id").agg(F.collect_list("band").alias("bands")))
-    sets = work.keep(_sets(near, lines))
+    texts = work.keep(_texts(near, lines))
     rows = work.keep(near.select("key", F.size("bands").alias("degree"), F.explode("bands").alias("band")))
     work.drop(near)
     hot = F.count("*") > F.lit(max(HOT_LEAST, rows.count() // HOT_SHARE))
     leaders = rows.groupBy("band").agg(F.max(F.struct("degree", "key")).alias("l"), hot.alias("hub")).select(F.col("band").alias("v"), F.col("l.key").alias("lead"), "hub")
     pairs = work.keep(_star(rows, work.keep(leaders)))
-    parts = work.keep(components(work.keep(_links(pairs, sets)), work))
+    parts = work.keep(components(work.keep(_links(pairs, texts)), work))
     # Each band that still has several components draws another leader, by hash: a line meets many of its group before
     # the rest is compared in pairs.
     rows = work.keep(_mixed(rows, parts))
@@ -181,12 +194,12 @@ def line_components(lines: DataFrame, work: WorkTables) -> tuple[DataFrame, Data
         return signed, parts
     drawn = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", "band"), "key", "c")).alias("l"), hot.alias("hub")).select(F.col("band").alias("v"), F.col("l.key").alias("lead"), F.col("l.c").alias("lead_c"), "hub")
     again = work.keep(_star(rows, work.keep(drawn), F.col("c") != F.col("lead_c")).join(pairs, ["a", "b"], "left_anti"))
-    closer = work.keep(_links(again, sets))
+    closer = work.keep(_links(again, texts))
     if closer.limit(1).count():
         parts = _merged(parts, closer, work)
         rows = work.keep(_mixed(rows, parts))
-    across = work.keep(_across(rows, sets, work).join(pairs.union(again), ["a", "b"], "left_anti"))
-    more = work.keep(_links(across, sets))
+    across = work.keep(_across(rows, texts, work).join(pairs.union(again), ["a", "b"], "left_anti"))
+    more = work.keep(_links(across, texts))
     if more.limit(1).count():
         parts = _merged(parts, more, work)
     return signed, parts
