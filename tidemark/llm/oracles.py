@@ -13,3 +13,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """
+
+#: crc32 of a list of byte values b, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+OP11 = rf"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, CAST({_CRC.format(bytes="list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))")} % 4 AS INTEGER) AS h FROM t),
+r AS (SELECT h.conv_id, list_concat(coalesce(list_slice(b.own, 1, h.h), []), list_slice(h.own, h.h + 1, len(h.own))) AS s FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, s, len(s) AS n, unnest(range(0, len(s) + 1)) AS depth FROM r),
+k AS (SELECT conv_id, n, depth, sha256(CAST(list_slice(s, 1, depth) AS VARCHAR) || len(list_slice(s, 1, depth)) || coalesce(list_aggregate(list_transform(list_slice(s, 1, depth), lambda x: length(x.r) || ',' || length(x.x)), 'string_agg', ';'), '')) AS k,
+  CASE WHEN depth > 0 THEN len(regexp_extract_all(s[depth].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w FROM p),
+nodes AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends FROM k GROUP BY k, depth),
+up AS (SELECT c.k, a.k AS parent FROM nodes c JOIN k a ON a.conv_id = c.conv_id AND a.depth = c.depth - 1),
+kids AS (SELECT parent AS k, count(*) AS n_children FROM up GROUP BY parent),
+below AS (SELECT a.k, count(*) FILTER (kids.k IS NULL) AS n_leaves, sum((c.n - 1) * c.w) AS saved FROM nodes c JOIN k a ON a.conv_id = c.conv_id AND a.depth <= c.depth LEFT JOIN kids ON kids.k = c.k GROUP BY a.k)
+SELECT nodes.conv_id, nodes.depth, pn.conv_id AS parent_conv_id, nodes.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(nodes.ends) AS ends_sha256
+FROM nodes JOIN below ON below.k = nodes.k LEFT JOIN kids ON kids.k = nodes.k LEFT JOIN up ON up.k = nodes.k LEFT JOIN nodes pn ON pn.k = up.parent
+"""

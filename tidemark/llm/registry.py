@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, embedding_dedup, language_id, licenses, line_dedup, ngram_join, oracles, quality, repeats, secrets
-from .shared import held_out, table
+from . import byte_bpe, decontaminate, embedding_dedup, language_id, licenses, line_dedup, ngram_join, oracles, prefix_trie, quality, repeats, secrets, spelling, word_bpe
+from .shared import WorkTables, held_out, table
 
 #: The rank file of op8 and of the pipeline; a parameter of the operator.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The tokenizer file of op12; a parameter of the operator.
+WORDS = "word_bpe_49k.json"
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +68,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_ngrams(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = WorkTables(spark, "conversations").keep(prefix_trie.conversations(table(spark, sf_dir, "conversations")))
+    return prefix_trie.build(prefix_trie.with_shared_heads(own))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode_decode(table(spark, sf_dir, "documents"), word_bpe.read_tokenizer(public_tokenizers.path(WORDS)))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of letters as words; of every run whose crc32 97 divides one letter is deleted, so that there are variants."""
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"))
+    return spelling.group_variants(spelling.count_words(spelling.with_planted_slips(runs)))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": oracles.OP3}
+    return {"op3_decontaminate": oracles.OP3, "op11_prefix_trie": oracles.OP11}
