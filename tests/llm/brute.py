@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import math
 import re
+import zlib
 
 import numpy as np
 
@@ -152,3 +154,68 @@ def vote(vectors, labels, own, neighbours):
     near = sorted(((float(v @ own), y) for v, y in zip(vectors, labels)), key=lambda x: -x[0])[:neighbours]
     weights = [max(c, 0) ** 8 for c, _ in near]
     return sum(w * y for w, (_, y) in zip(weights, near)) / sum(weights)
+
+
+def prefix_trie(turns):
+    """Rows (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of turns (conv_id, turn, role, text)."""
+    own = {}
+    for c, turn, role, text in sorted(((c, t, r or "", x or "") for c, t, r, x in turns if c is not None), key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2], x[3])):
+        own.setdefault(c, []).append((role, text))
+    heads = {c: zlib.crc32(str(c).encode()) % 4 for c in own}
+    seqs = {c: tuple(own.get(c - int(math.fmod(c, 20)), [])[: heads[c]] + own[c][heads[c] :]) for c in own}
+    members = {}
+    for c, s in seqs.items():
+        for d in range(len(s) + 1):
+            members.setdefault(s[:d], []).append(c)
+    kids = {}
+    for node in members:
+        if node:
+            kids.setdefault(node[:-1], []).append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        leaves[node] = sum(leaves[k] for k in kids[node]) if node in kids else 1
+        saved[node] = sum(saved[k] for k in kids.get(node, [])) + ((len(members[node]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", node[-1][1])) if node else 0)
+    out = []
+    for node, ids in members.items():
+        ends = ",".join(map(str, sorted(c for c in ids if len(seqs[c]) == len(node))))
+        out.append((min(ids), len(node), min(members[node[:-1]]) if node else None, len(ids), len(kids.get(node, [])), leaves[node], saved[node], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=lambda r: (r[1], r[0], r[3], r[7]))
+
+
+def spelling_words(docs):
+    """word -> n of docs (id, text), before the bounds."""
+    counts = {}
+    for key, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] = counts.get(run, 0) + 1
+    return counts
+
+
+def spelling_groups(counts):
+    """Rows (word, form, root, n, n_near, form_n) of words and their counts."""
+    holes, near = {}, {w: set() for w in counts}
+    for w in counts:
+        for i in range(len(w)):
+            holes.setdefault((i, w[:i] + w[i + 1 :]), []).append(w)
+            if (short := w[:i] + w[i + 1 :]) in counts:
+                near[w].add(short)
+                near[short].add(w)
+    for group in holes.values():
+        for w in group:
+            near[w].update(x for x in group if x != w)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-counts[x], x), default=None)
+        if best is not None and counts[best] >= 2 * counts[w]:
+            form[w] = best
+    out = []
+    for w in counts:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, counts[w], len(near[w]), counts.get(form.get(w))))
+    return sorted(out)
