@@ -35,11 +35,13 @@ from pyspark.sql.types import StringType
 from .shared import WorkTables
 
 #: Pieces of up to so many symbols are merged as they are.
-LEAF = 8
+LEAF = 16
+#: More than any rank.
+_NONE = 1 << 62
 #: Longer pieces than this are rows of their own; so long are these rows at most.
 SPREAD = 4096
-#: A worker forgets its pieces beyond so many, so that memory stays bounded.
-CACHE_PIECES = 300_000
+#: A worker forgets its runs and pieces beyond so many, so that memory stays bounded.
+CACHE_PIECES = 600_000
 #: The codec of this Python worker, kept from task to task.
 _CODECS: dict = {}
 
@@ -57,6 +59,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
+class LongPiece(Exception):
+    """A piece has more than SPREAD symbols."""
+
+
+class _Known(dict):
+    """What runs between blanks become; a run not yet known is learnt."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, run: str) -> str:
+        self.learn(run)
+        return self[run]
+
+
 class Codec:
     """Encodes and decodes by one tokenizer file: NFC, lower case, a splitting pattern, BPE whose last symbol carries a suffix."""
 
@@ -73,13 +90,17 @@ class Codec:
         base = {self.token_of[i]: i for i in self.inner + self.last}
         #: The symbols that a token is made of.
         self.parts = {i: self._symbols(t, end, base) for t, i in self.vocab.items()}
-        #: (left id, right id) -> rank and id of the joined token.
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        if max(self.token_of) >= 1 << 20:
+            raise ValueError("ids of more than 20 bits")
+        #: Left id and right id -> rank and id of the joined token, each pair in one number, ids in the lower 20 bits.
+        self.merges = {self.vocab[a] << 20 | self.vocab[b]: rank << 20 | self.vocab[a + b] for rank, (a, b) in enumerate(model["merges"])}
         split = next(p for p in whole["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces_of = regex.compile(split["pattern"]["Regex"]).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda text: [text]
         self.letters = {c: b for b, c in letters.items()}
         self.file, self.library, self.known, self.cache = file, None, {}, {}
+        #: Ids (decimal) and tokens of runs between blanks, joined by blanks.
+        self.run_ids, self.run_tokens = _Known(self._learn), _Known(self._learn)
 
     @staticmethod
     def _symbols(token: str, end: str, base: dict[str, int]) -> tuple[int, ...]:
@@ -90,16 +111,20 @@ class Codec:
 
     def split(self, text: str) -> list[str | int]:
         """The pieces of a text (as text) and its special tokens (as ids), in order."""
-        if not self.special or "<" not in text:
-            return self._plain(text)
         out: list[str | int] = []
-        for part in self.at_special(text):
-            out += [self.special[part]] if part in self.special else self._plain(part)
+        for part in self._parts(text):
+            out += [part] if isinstance(part, int) else part if isinstance(part, list) else self.pieces_of(part)
         return out
 
-    def _plain(self, text: str) -> list[str]:
+    def _parts(self, text: str) -> list[str | int | list[str]]:
+        """Special tokens (as ids) and what is between them: normalised text, or pieces where the library has split it."""
+        if not self.special or "<" not in text:
+            return [self._plain(text)]
+        return [self.special[part] if part in self.special else self._plain(part) for part in self.at_special(text)]
+
+    def _plain(self, text: str) -> str | list[str]:
         if text.isascii():
-            return self.pieces_of(text.lower())
+            return text.lower()
         for c in set(text):
             if c not in self.known:
                 self.known[c] = unicodedata.category(c) != "Cn"
@@ -107,7 +132,37 @@ class Codec:
                 return self._by_library(text)
         text = unicodedata.normalize("NFC", text)
         # A capital sigma is lower-cased by itself here, not by where it stands.
-        return self.pieces_of("σ".join(part.lower() for part in text.split("Σ")))
+        return "σ".join(part.lower() for part in text.split("Σ"))
+
+    def coded(self, text: str) -> tuple[str, str]:
+        """Ids (decimal) and tokens of a text, each joined by blanks. Raises LongPiece.
+
+        No piece holds a blank or goes on behind one, so every run between blanks is coded by itself, and once.
+        """
+        if len(self.run_ids) > CACHE_PIECES:
+            self.run_ids.clear()
+            self.run_tokens.clear()
+        ids, tokens = [], []
+        for part in self._parts(text):
+            if isinstance(part, str):
+                runs = part.replace("\n", " ").split(" ")
+                ids.append(" ".join(filter(None, map(self.run_ids.__getitem__, runs))))
+                tokens.append(" ".join(filter(None, map(self.run_tokens.__getitem__, runs))))
+            else:
+                found = [*map(self._short, [part] if isinstance(part, int) else part)]
+                ids.append(" ".join([f[1] for f in found]))
+                tokens.append(" ".join([f[2] for f in found]))
+        return " ".join(filter(None, ids)), " ".join(filter(None, tokens))
+
+    def _short(self, piece: str | int) -> tuple[int, str, str]:
+        if isinstance(piece, str) and is_long(piece):
+            raise LongPiece
+        return self.piece(piece)
+
+    def _learn(self, run: str) -> None:
+        found = [*map(self._short, self.pieces_of(run))]
+        self.run_ids[run] = " ".join([f[1] for f in found])
+        self.run_tokens[run] = " ".join([f[2] for f in found])
 
     def _by_library(self, text: str) -> list[str]:
         if self.library is None:
@@ -125,33 +180,39 @@ class Codec:
         """Merges the leftmost pair of least rank until none is left."""
         if len(ids) > 4 * LEAF:
             return self._merge_long(ids)
-        ids, merges = list(ids), self.merges
-        while len(ids) > 1:
-            best = min(((merges[pair], i) for i, pair in enumerate(zip(ids, ids[1:])) if pair in merges), default=None)
-            if best is None:
+        ids, get = list(ids), self.merges.get
+        ranks = [get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NONE:
                 break
-            (_, token), i = best
-            ids[i : i + 2] = [token]
+            i = ranks.index(best)
+            ids[i : i + 2] = [best & 0xFFFFF]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], _NONE)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same merges from a heap of (rank, place), for windows that had to grow."""
-        ids, n = list(ids), len(ids)
+        """The same merges from a heap of (rank and id, place), for windows that had to grow."""
+        ids, n, get = list(ids), len(ids), self.merges.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        at = lambda i: self.merges.get((ids[i], ids[after[i]])) if after[i] < n else None
-        heap = [(m[0], i) for i in range(n - 1) if (m := at(i))]
+        at = lambda i: get(ids[i] << 20 | ids[after[i]]) if after[i] < n else None
+        heap = [(m, i) for i in range(n - 1) if (m := at(i)) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i = heapq.heappop(heap)
-            if ids[i] is None or not (m := at(i)) or m[0] != rank:
+            m, i = heapq.heappop(heap)
+            if ids[i] is None or at(i) != m:
                 continue
             j = after[i]
-            ids[i], ids[j], after[i] = m[1], None, after[j]
+            ids[i], ids[j], after[i] = m & 0xFFFFF, None, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for k in (before[i], i):
-                if k >= 0 and (m := at(k)):
-                    heapq.heappush(heap, (m[0], k))
+                if k >= 0 and (m := at(k)) is not None:
+                    heapq.heappush(heap, (m, k))
         return [i for i in ids if i is not None]
 
     def encode(self, symbols: list[int]) -> list[int]:
@@ -187,6 +248,8 @@ class Codec:
         if found is None:
             ids = [piece] if isinstance(piece, int) else self.encode(self.symbols(piece))
             found = len(ids), " ".join(map(str, ids)), " ".join(map(self.token_of.__getitem__, ids))
+            if len(self.cache) > CACHE_PIECES:
+                self.cache.clear()
             self.cache[piece] = found
         return found
 
@@ -194,6 +257,10 @@ class Codec:
         return [int(i) for i in self.piece(piece)[1].split()]
 
 
+def is_long(piece: str) -> bool:
+    return 4 * len(piece) > SPREAD and len(piece.encode("utf-8", "surrogateescape")) > SPREAD
+
+
 def _codec(file: bytes) -> Codec:
     key = hashlib.sha256(file).hexdigest()
     if key not in _CODECS:
@@ -218,15 +285,13 @@ def _split_rows(file, with_ids: bool):
         for batch in batches:
             out = []
             for key, text in zip(batch["id"], batch["text"]):
-                if len(codec.cache) > CACHE_PIECES:
-                    codec.cache = {}
-                pieces = codec.split(text) if isinstance(text, str) else []
-                long = [i for i, p in enumerate(pieces) if isinstance(p, str) and 4 * len(p) > SPREAD and len(p.encode("utf-8", "surrogateescape")) > SPREAD]
-                if not long:
-                    found = [codec.piece(p) for p in pieces]
-                    ids = " ".join([f[1] for f in found])
-                    out.append((key, None, None, None, None, sum([f[0] for f in found]), _sha(ids), _sha(" ".join([f[2] for f in found])), np.array(ids.split(), np.int32) if with_ids else None))
+                try:
+                    ids, tokens = codec.coded(text) if isinstance(text, str) else ("", "")
+                    out.append((key, None, None, None, None, ids.count(" ") + (ids != ""), _sha(ids), _sha(tokens), np.array(ids.split(), np.int32) if with_ids else None))
                     continue
+                except LongPiece:
+                    pieces = codec.split(text)
+                    long = [i for i, p in enumerate(pieces) if isinstance(p, str) and is_long(p)]
                 made, low = made + 1, 0
                 uid = f"{task}-{made}"
                 for seg, i in enumerate([*long, len(pieces)]):
