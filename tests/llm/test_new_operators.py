@@ -128,5 +128,5 @@ def test_spelling_random(spark, monkeypatch, broadcast):
     df = spark.createDataFrame(list(words.items()), "word string, n long")
     want = brute.spelling_groups(words)
     assert _groups(spelling.group_variants(df)) == sorted(want)
-    pairs = [tuple(sorted(r)) for r in spelling.near_pairs(df.select("word"), WorkTables(spark, "test")).collect()]
+    pairs = [tuple(sorted((r.a, r.b))) for r in spelling.near_pairs(df, WorkTables(spark, "test")).collect()]
     assert len(pairs) == len(set(pairs)) == sum(r[4] for r in want) // 2

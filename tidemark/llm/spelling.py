@@ -18,6 +18,7 @@ in code-point order. Other columns don't matter, whatever their names. An empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -97,63 +98,75 @@ class _NoWeights:
 
 
 def children(vocabulary: DataFrame, work: WorkTables) -> DataFrame:
-    """parent, c (first letter below it), child, kids (first letters below the child), ends (is the child a word?)."""
+    """parent, c (first letter below it), child, kids (first letters below the child), n (the child's, 0 if it is no word)."""
     ranges = in_ranges(vocabulary.select("word"), "word", work).select("pid", "kind", "word")
     edges = work.keep(ranges.mapInPandas(_edges, "parent string, child string").distinct())
     below = edges.withColumn("c", F.substring("child", F.length("parent") + 1, F.lit(1)))
     kids = below.groupBy(F.col("parent").alias("child")).agg(F.concat_ws("", F.sort_array(F.collect_set("c"))).alias("kids"))
-    words = vocabulary.select(F.col("word").alias("child"), F.lit(True).alias("ends"))
-    full = below.join(kids, "child", "left").join(words, "child", "left")
-    return full.select("parent", "c", "child", F.coalesce("kids", F.lit("")).alias("kids"), F.coalesce("ends", F.lit(False)).alias("ends"))
+    full = below.join(kids, "child", "left").join(vocabulary.select(F.col("word").alias("child"), "n"), "child", "left")
+    return full.select("parent", "c", "child", F.coalesce("kids", F.lit("")).alias("kids"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_NODE = ("child", "kids", "n")
 
 
 def near_pairs(vocabulary: DataFrame, work: WorkTables) -> DataFrame:
-    """a, b: every two words of vocabulary (word) that differ by one letter put in, left out or replaced; each pair once.
+    """a, n_a, b, n_b: every two words of vocabulary (word, n) that differ by one letter put in, left out or replaced; each
+    pair once, in any order.
 
-    An active pair is two nodes (child_*), with what is left to read of the edge into each (rest_*).
+    An active pair is two nodes (child_*), with what is left to read of the edge into each (rest_*); not_b is a letter that
+    side b may not go on with, as both sides would then part further down.
     """
     trie = work.keep(children(vocabulary, work))
+    none = F.lit("")
+    of = lambda df, side: [df[c].alias(f"{c}_{side}") for c in _NODE]
+    behind_first = lambda df: F.substring(df["child"], F.length(df["parent"]) + 2, F.length(df["child"]))
     x, y = trie.alias("x"), trie.alias("y")
-    after = lambda side: F.expr(f"substring({side}.child, length({side}.parent) + 2)")
-    of = lambda side, name: [F.col(f"{side}.{c}").alias(f"{c}_{name}") for c in ("child", "kids", "ends")]
-    replaced = x.join(y, (F.col("x.parent") == F.col("y.parent")) & (F.col("x.c") < F.col("y.c"))).select(*of("x", "a"), after("x").alias("rest_a"), *of("y", "b"), after("y").alias("rest_b"), F.lit("").alias("not_b"))
-    # A letter more on side a: the child's first one is read, its parent stays, and must not go the same way.
-    heads = trie.select(F.col("child").alias("parent"), F.col("kids").alias("kids_b"), F.col("ends").alias("ends_b"))
-    longer = trie.where("parent <> ''").join(heads, "parent").select(*(F.col(c).alias(f"{c}_a") for c in ("child", "kids", "ends")), F.expr("substring(child, length(parent) + 2)").alias("rest_a"), F.col("parent").alias("child_b"), "kids_b", "ends_b", F.lit("").alias("rest_b"), F.col("c").alias("not_b"))
-    # The root is no word; its own children are those that it leads on to.
-    root = trie.where("parent = ''").select(F.concat_ws("", F.sort_array(F.collect_set("c"))).alias("kids_b"))
-    first = trie.where("parent = ''").crossJoin(F.broadcast(root)).select(*(F.col(c).alias(f"{c}_a") for c in ("child", "kids", "ends")), F.expr("substring(child, 2)").alias("rest_a"), F.lit("").alias("child_b"), "kids_b", F.lit(False).alias("ends_b"), F.lit("").alias("rest_b"), F.col("c").alias("not_b"))
-    step = trie.select(F.col("parent").alias("node"), F.col("c").alias("letter"), "child", "kids", "ends")
-    step = broadcast_if_small(step, BROADCAST_CHILDREN)
-
-    active, found = replaced.unionByName(longer).unionByName(first), None
+    named = lambda side: {c: F.col(f"{side}.{c}") for c in (*_NODE, "parent", "c")}
+    replaced = x.join(y, (F.col("x.parent") == F.col("y.parent")) & (F.col("x.c") < F.col("y.c")))
+    replaced = replaced.select(*of(named("x"), "a"), behind_first(named("x")).alias("rest_a"), *of(named("y"), "b"), behind_first(named("y")).alias("rest_b"), none.alias("not_b"))
+    # A letter more on side a: the child's first one is read, its parent stays. The root is no word and no child.
+    root = trie.where("parent = ''").agg(F.concat_ws("", F.sort_array(F.collect_set("c"))).alias("kids")).select(none.alias("parent"), "kids", F.lit(0).cast("long").alias("n"))
+    above = trie.select(F.col("child").alias("parent"), "kids", "n").unionByName(root)
+    below = trie.join(above.select("parent", F.col("kids").alias("kids_b"), F.col("n").alias("n_b")), "parent")
+    longer = below.select(*of(below, "a"), behind_first(below).alias("rest_a"), F.col("parent").alias("child_b"), "kids_b", "n_b", none.alias("rest_b"), F.col("c").alias("not_b"))
+    step = broadcast_if_small(trie.select(F.col("parent").alias("node"), F.col("c").alias("letter"), *_NODE), BROADCAST_CHILDREN)
+
+    ended, open_ = (F.col("rest_a") == "") & (F.col("rest_b") == ""), []
+    active = replaced.unionByName(longer)
     while True:
+        # After reading what both edges have in common at least one of them has ended.
         state = work.keep(_alike(active))
-        ended = state.where("rest_a = '' and rest_b = '' and ends_a and ends_b").select(F.col("child_a").alias("a"), F.col("child_b").alias("b"))
-        found = ended if found is None else found.union(ended)
-        # Where both edges have ended, side a goes first, by each common letter; else the side that has ended follows the other.
-        both = state.where("rest_a = '' and rest_b = ''").select("*", F.explode(F.filter(F.split("kids_a", ""), lambda c: (c != "") & F.col("kids_b").contains(c) & (c != F.col("not_b")))).alias("letter"))
+        open_.append(state.where(ended & (F.col("n_a") > 0) & (F.col("n_b") > 0)).select(F.col("child_a").alias("a"), "n_a", F.col("child_b").alias("b"), "n_b"))
+        if not state.where(~ended | (F.col("go") != "")).limit(1).count():
+            return reduce(DataFrame.union, open_)
+        # Where both have ended, side a goes first, by each common letter; else the side that has ended follows the other.
+        both = state.where(ended & (F.col("go") != "")).withColumn("letter", F.explode(F.split("go", "")))
         a_next = both.unionByName(state.where("rest_a = '' and rest_b <> ''").withColumn("letter", F.substring("rest_b", 1, 1)))
         b_next = state.where("rest_a <> '' and rest_b = ''").withColumn("letter", F.substring("rest_a", 1, 1))
-        if not a_next.limit(1).count() and not b_next.limit(1).count():
-            return found
         rest = F.expr("substring(child, length(node) + 1)")
-        one = a_next.withColumn("node", F.col("child_a")).join(step, ["node", "letter"]).select(F.col("child").alias("child_a"), F.col("kids").alias("kids_a"), F.col("ends").alias("ends_a"), rest.alias("rest_a"), "child_b", "kids_b", "ends_b", "rest_b", "not_b")
-        other = b_next.withColumn("node", F.col("child_b")).join(step, ["node", "letter"]).select("child_a", "kids_a", "ends_a", "rest_a", F.col("child").alias("child_b"), F.col("kids").alias("kids_b"), F.col("ends").alias("ends_b"), rest.alias("rest_b"), F.lit("").alias("not_b"))
+        one = a_next.withColumn("node", F.col("child_a")).join(step, ["node", "letter"])
+        one = one.select(*of(one, "a"), rest.alias("rest_a"), "child_b", "kids_b", "n_b", "rest_b", "not_b")
+        other = b_next.withColumn("node", F.col("child_b")).join(step, ["node", "letter"])
+        other = other.select("child_a", "kids_a", "n_a", "rest_a", *of(other, "b"), rest.alias("rest_b"), none.alias("not_b"))
         active = one.unionByName(other)
 
 
 def _alike(active: DataFrame) -> DataFrame:
-    """Active pairs with what both edges have in common read, without those that can't go on."""
+    """Active pairs with what both edges have in common read, without those that can't go on; go: if both have ended, the
+    letters by which both can."""
     m = F.least(F.length("rest_a"), F.length("rest_b"))
     begin = lambda c: F.substring(c, F.lit(1), F.col("m"))
     left = lambda c: F.substring(c, F.col("m") + 1, F.length(c))
     alike = active.withColumn("m", m).where(begin("rest_a") == begin("rest_b"))
     cut = alike.withColumn("rest_a", left("rest_a")).withColumn("rest_b", left("rest_b")).drop("m")
-    leads = lambda kids, rest: F.col(kids).contains(F.substring(rest, 1, 1))
-    a_on = F.col("rest_b").eqNullSafe("") | leads("kids_a", "rest_b")
-    b_on = F.col("rest_a").eqNullSafe("") | (leads("kids_b", "rest_a") & (F.substring("rest_a", 1, 1) != F.col("not_b")))
-    return cut.where(a_on & b_on)
+    ended = (F.col("rest_a") == "") & (F.col("rest_b") == "")
+    common = F.filter(F.split("kids_a", ""), lambda c: (c != "") & F.contains(F.col("kids_b"), c) & (c != F.col("not_b")))
+    cut = cut.withColumn("go", F.when(ended, F.array_join(common, "")).otherwise(F.lit("")))
+    leads = lambda kids, rest: F.contains(F.col(kids), F.substring(rest, 1, 1))
+    b_next = leads("kids_b", "rest_a") & (F.substring("rest_a", 1, 1) != F.col("not_b"))
+    goes = F.when(ended, ((F.col("n_a") > 0) & (F.col("n_b") > 0)) | (F.col("go") != "")).when(F.col("rest_a") == "", leads("kids_a", "rest_b")).otherwise(b_next)
+    return cut.where(goes)
 
 
 def group_variants(counted: DataFrame) -> DataFrame:
@@ -163,15 +176,14 @@ def group_variants(counted: DataFrame) -> DataFrame:
     of its form's forms.
     """
     work = WorkTables(counted.sparkSession, "spelling")
-    vocabulary = work.keep(counted)
+    vocabulary = work.keep(counted.select("word", "n"))
     pairs = work.keep(near_pairs(vocabulary, work))
-    both = pairs.union(pairs.select("b", "a"))
-    # The pairs of a word are few, so no word is hot here.
-    known = both.join(vocabulary.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b")
-    best = known.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n_b")).alias("minus"), F.col("b").alias("b"))).alias("best"))
-    most = -F.col("best.minus")
-    enough = most >= RATIO * F.col("n")
-    rows = work.keep(vocabulary.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.b")).alias("form"), F.when(enough, most).alias("form_n")))
+    near = pairs.select(F.col("a").alias("word")).union(pairs.select("b")).groupBy("word").agg(F.count("*").alias("n_near"))
+    # Only pairs with enough between their counts can give a form; a word's pairs are few, so no word is hot.
+    enough = lambda a, b: pairs.where(F.col(f"n_{b}") >= RATIO * F.col(f"n_{a}")).select(F.col(a).alias("word"), F.col(b).alias("form"), F.col(f"n_{b}").alias("form_n"))
+    best = enough("a", "b").union(enough("b", "a")).groupBy("word").agg(F.min(F.struct((-F.col("form_n")).alias("minus"), "form")).alias("best"))
+    joined = vocabulary.join(near, "word", "left").join(best, "word", "left")
+    rows = work.keep(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.col("best.form").alias("form"), (-F.col("best.minus")).alias("form_n")))
     roots = work.keep(_roots(rows.where("form is not null").select("word", "form"), work))
     return rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
