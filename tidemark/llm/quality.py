@@ -58,8 +58,6 @@ def count_terms(text: str | None) -> np.ndarray:
     out[: CLASSES * CLASSES] = np.bincount(c[:-1] * np.uint16(CLASSES) + c[1:], minlength=CLASSES * CLASSES)
     if len(raw) >= 16:  # how many of the eight-byte passages are new, in sixteenths
         keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view(np.uint64).ravel()
-        some = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62) == 0  # a quarter of the passages, chosen by what they hold
-        keys = keys[some] if some.any() else keys
         out[CLASSES * CLASSES + min(REPEAT_TERMS - 1, int(REPEAT_TERMS * len(np.unique(keys)) / len(keys)))] = len(raw) / 4
     words = text.split()
     if len(words) >= 4:  # how many words only repeat the one before, in eighths
