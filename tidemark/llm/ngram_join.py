@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -101,6 +102,8 @@ def _cut(bits: int):
     """Batches of documents to packed hashes by range. Kind 0: hashes once in the batch, with document numbers; 1: more often, with counts; 4: the same, by document, for the batch itself; 3: the batch's documents (ids and numbers of shingles)."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A batch is named by its task's partition and its place there; the rows are written once, so names hold.
+        task, made = TaskContext.get().partitionId(), 0
         for frame in frames:
             texts, ids, low = frame["text"].tolist(), frame["id"].to_numpy(np.int64), 0
             while low < len(texts):
@@ -108,12 +111,12 @@ def _cut(bits: int):
                 while high < len(texts) and high - low < BATCH_DOCS and (size < BATCH_BYTES or high == low):
                     size += len(texts[high] or "")
                     high += 1
-                yield batch(texts[low:high], ids[low:high])
+                made += 1
+                yield batch(texts[low:high], ids[low:high], task << 31 | made)
                 low = high
 
-    def batch(texts: list, ids: np.ndarray) -> pd.DataFrame:
+    def batch(texts: list, ids: np.ndarray, name: int) -> pd.DataFrame:
         hashes, counts = shingle_sets(texts)
-        name = int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=7).digest(), "big")
         doc = np.repeat(np.arange(len(ids), dtype=np.uint16), counts)
         order = np.argsort(hashes, kind="stable")
         hashes, doc = hashes[order], doc[order]
@@ -173,7 +176,7 @@ def _sets(frame: pd.DataFrame) -> pd.DataFrame:
         if u < length:
             data = own.tobytes()
             digest = hashlib.blake2b(data if u == 0 else str(ids[i]).encode(), digest_size=16).digest()
-            bins = np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.uint16).tobytes()
+            bins = np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes()
             out.append((int(ids[i]), n, u / n, digest, data, own[: length - u].astype(np.int64).tolist(), list(range(u, length)), bins))
     return pd.DataFrame(out, columns=[c.split()[0] for c in _SETS.split(", ")])
 
@@ -198,7 +201,7 @@ def _need(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 def _bins_allow(n_a: pd.Series, n_b: pd.Series, bins_a: pd.Series, bins_b: pd.Series) -> pd.Series:
     if not len(n_a):
         return pd.Series([], dtype=bool)
-    a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(len(n_a), BINS) for x in (bins_a, bins_b))
+    a, b = (np.frombuffer(b"".join(x), np.uint32).reshape(len(n_a), BINS) for x in (bins_a, bins_b))
     return pd.Series(np.minimum(a, b).sum(1, dtype=np.int64) >= _need(n_a.to_numpy(), n_b.to_numpy()))
 
 
