@@ -95,9 +95,10 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted((r.slug, r.artist) for r in listed.collect()) == [("one", "A"), ("one", "C"), ("two", "X")]
     (tmp_path / "claims.jsonl").write_text('{"id": 1, "roles": ["a", "b"]}\n{"id": 2}\n')
     assert sorted((r.id, r.roles) for r in tables.read_json_lines(spark, str(tmp_path / "claims.jsonl"), "id int, roles array<string>").collect()) == [(1, ["a", "b"]), (2, None)]
-    for refused in ("DROP TABLE x", "WITH x AS (SELECT 1 AS a) INSERT INTO t SELECT * FROM x", "FROM t INSERT INTO u SELECT *", "SET a = 1"):
+    for refused in ("DROP TABLE x", "WITH x AS (SELECT 1 AS a) INSERT INTO t SELECT * FROM x", "FROM t INSERT INTO u SELECT *", "SET a = 1", "SELECT reflect('java.lang.System', 'getProperty', 'os.name')", "SELECT 1 WHERE 1 IN (SELECT java_method('java.lang.Math', 'abs', 1))", "SELECT * FROM parquet.`/tmp`", "WITH x AS (SELECT * FROM csv.`/etc`) SELECT * FROM x", "SELECT * FROM nowhere"):
         with pytest.raises(ValueError):
             tables.read_only(spark, refused)
     assert tables.read_only(spark, "SELECT 'a;b' AS x")[0].first().x == "a;b"
+    assert tables.read_only(spark, "WITH y AS (SELECT 1 AS x) SELECT max(x) AS x FROM y WHERE x IN (SELECT x FROM y)")[0].first().x == 1
     found, more = tables.read_only(spark, "SELECT * FROM range(5)", 3)
     assert found.count() == 3 and more

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import broadcast_if_small, kept
+
 
 def page_text(c: Column) -> Column:
     """Markdown links become their text, citation marks go, quotes are unified, white space is one blank, lower case."""
@@ -15,7 +17,7 @@ def page_text(c: Column) -> Column:
 
 
 def paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\n\s*\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def cue_paragraphs(c: Column, cues: list[str], least: int = 60) -> Column:
@@ -61,24 +63,31 @@ def role_weight(role: Column, core: float = 1.0, session: float = 0.6, mastering
     return F.when(low.contains("master"), mastering).when(low.rlike("produc|writ|compos|lyric"), core).otherwise(session)
 
 
-def verbatim(docs: DataFrame, doc_id: str, text: str, quotes: DataFrame, quote_id: str, quote: str, words: int = 6) -> DataFrame:
+def verbatim(docs: DataFrame, doc_id: str, text: str, quotes: DataFrame, quote_id: str, quote: str, words: int = 6, broadcast_quotes: int = 500_000) -> DataFrame:
     """Pairs of a document and a quote that it holds as whole words, letters' case and kinds of blanks aside.
 
-    A quote is looked up by a hash of its first words (all of them if it has fewer than `words`), and then compared whole at
-    the places found. Empty quotes are in no document.
+    A quote is looked up by a hash of its first words (all of them if it has fewer than `words`), and then compared whole in
+    the documents found. Empty quotes are in no document. Up to broadcast_quotes quotes are sent to the documents, so that no
+    run of words is shuffled; beyond, the runs are dealt out by hash.
     """
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     split = lambda c: F.array_remove(F.split(c, " "), "")
     asked = quotes.select(F.col(quote_id), plain(F.col(quote)).alias("_quote")).where("_quote <> ''").withColumn("_n", F.least(F.size(split(F.col("_quote"))), F.lit(words)))
-    asked = asked.select(quote_id, "_quote", "_n", F.xxhash64(F.array_join(F.slice(split(F.col("_quote")), 1, F.col("_n")), " ")).alias("_h"))
+    # The number of words is part of the hash: one long tells runs of every length apart.
+    run_hash = lambda n, run: F.xxhash64(n, run)
+    asked = kept(asked.select(quote_id, "_quote", "_n", run_hash(F.col("_n"), F.slice(split(F.col("_quote")), 1, F.col("_n"))).alias("_h")), "quotes")
     lengths = [r[0] for r in asked.select("_n").distinct().collect()]  # `words` numbers at most
+    if not lengths:
+        return docs.select(doc_id).limit(0).join(asked.select(quote_id))
+    cut = docs.select(F.col(doc_id), split(plain(F.col(text))).alias("_w"))
+    runs = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: run_hash(F.lit(n), F.slice("_w", i, n)))).otherwise(F.array().cast("array<bigint>"))
+    places = cut.select(doc_id, F.explode(F.concat(*map(runs, lengths))).alias("_h"))
+    found = kept(places.join(broadcast_if_small(asked.select("_h", quote_id), broadcast_quotes), "_h").select(doc_id, quote_id).distinct(), "found")
+    # Only documents with a place are read again; what is found is usually small enough to be sent to them.
     body = docs.select(F.col(doc_id), plain(F.col(text)).alias("_body"))
-    cut = body.select(doc_id, split(F.col("_body")).alias("_w"))
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.struct(F.lit(n).alias("_n"), F.xxhash64(F.array_join(F.slice("_w", i, n), " ")).alias("_h")))
-    every = F.flatten(F.array(*(F.when(F.size("_w") >= n, runs(n)).otherwise(F.array().cast("array<struct<_n:int,_h:bigint>>")) for n in lengths))) if lengths else F.array().cast("array<struct<_n:int,_h:bigint>>")
-    found = cut.select(doc_id, F.explode(F.array_distinct(every)).alias("_r")).select(doc_id, "_r.*").join(asked, ["_n", "_h"]).select(doc_id, quote_id, "_quote").distinct()
+    pairs = body.join(broadcast_if_small(found.join(asked.select(quote_id, "_quote"), quote_id), broadcast_quotes // 10), doc_id)
     spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    return found.join(body, doc_id).where(F.contains(spaced("_body"), spaced("_quote"))).select(doc_id, quote_id)
+    return pairs.where(F.contains(spaced("_body"), spaced("_quote"))).select(doc_id, quote_id)
 
 
 def similar_names(asked: DataFrame, known: DataFrame, name: str, least: float) -> DataFrame:

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import keys
+
 
 def assign_identities(credits: DataFrame, known: DataFrame) -> DataFrame:
     """Every distinct credit (mbid, key; mbid may be null) with the known row (id, mbid, key) that it stands for.
@@ -46,7 +48,7 @@ def related(a: Column, b: Column) -> Column:
     return F.startswith(b, F.concat(a, F.lit(" "))) | F.startswith(a, F.concat(b, F.lit(" "))) | (words(a) == words(b))
 
 
-def candidate_groups(runs: DataFrame, groups: DataFrame, nearly: Column | None = None) -> DataFrame:
+def candidate_groups(runs: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs (run, group_id): equal keys, or the same artist and related keys. runs: run, artist, key; groups: group_id, artist, key.
 
     Both are equi-joins; related keys are looked for among one artist's groups only.
@@ -54,27 +56,10 @@ def candidate_groups(runs: DataFrame, groups: DataFrame, nearly: Column | None =
     g = groups.select("group_id", F.col("artist").alias("g_artist"), F.col("key").alias("g_key"))
     exact = runs.join(g, F.col("key") == F.col("g_key")).select("run", "group_id")
     near = related(F.col("key"), F.col("g_key"))
-    akin = runs.join(g, F.col("artist") == F.col("g_artist")).where(near if nearly is None else near | nearly).select("run", "group_id")
+    akin = runs.join(g, F.col("artist") == F.col("g_artist")).where(near).select("run", "group_id")
     return exact.union(akin).distinct()
 
 
-def place_runs(candidates: DataFrame, titles: DataFrame, tracks: DataFrame, least: float = 0.8) -> DataFrame:
-    """The group that a run belongs to: run, group_id, placed.
-
-    candidates: run, group_id, exact (boolean). titles: run, title. tracks: group_id, title, compilation (boolean). At least
-    this share of a run's titles must be placed, and of a compilation's own tracks be played; most titles win, then an exact
-    key; a tie gives none.
-    """
-    played, listed = titles.distinct(), tracks.select("group_id", "title").distinct()
-    totals = played.groupBy("run").agg(F.count("*").alias("n_run"))
-    sizes = tracks.groupBy("group_id").agg(F.countDistinct("title").alias("n_group"), F.bool_or("compilation").alias("compilation"))
-    shared = candidates.join(played, "run").join(listed, ["group_id", "title"]).groupBy("run", "group_id", "exact").agg(F.count("*").alias("placed"))
-    good = shared.join(totals, "run").join(sizes, "group_id").where((F.col("placed") >= least * F.col("n_run")) & (~F.col("compilation") | (F.col("placed") >= least * F.col("n_group"))))
-    w = Window.partitionBy("run")
-    best = good.withColumn("score", F.struct("placed", "exact")).withColumn("top", F.max("score").over(w)).where("score = top")
-    return best.withColumn("n", F.count("*").over(w)).where("n = 1").select("run", "group_id", "placed")
-
-
 def resolve_entries(entries: DataFrame, known: DataFrame, keys: list[str], narrow: list[Column]) -> DataFrame:
     """entry, found: the only known row left by the narrowings, each of which counts only if something survives it; else null.
 
@@ -134,12 +119,21 @@ def all_parts_known(names: DataFrame, known: DataFrame, name: str, joiner: str =
     return marked.groupBy(name).agg(F.count("*").alias("parts"), F.coalesce(F.bool_and(F.coalesce("_known", F.lit(False))), F.lit(False)).alias("all_known")).withColumn("split", F.col("all_known") & (F.col("parts") > 1))
 
 
-def merge_map(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (keep, gone) as a map old_id -> new_id with one step followed, and its log, whose inverse undoes it."""
-    step = pairs.groupBy("gone").agg(F.min("keep").alias("keep"))
-    onward = step.select(F.col("gone").alias("keep"), F.col("keep").alias("further"))
-    chain = step.join(onward, "keep", "left").select(F.col("gone").alias("old_id"), F.coalesce("further", "keep").alias("new_id"))
-    return chain, chain.groupBy("new_id").agg(F.array_sort(F.collect_set("old_id")).alias("merged"))
+def known_heads(credits: DataFrame, known: DataFrame, longest: bool = False) -> DataFrame:
+    """credit, head, id: joint credits ("A, B, C") that stand for one known artist, which a beginning of them names.
+
+    credits: credit (name), key, mapped (boolean). known: id, key. A mapped credit stays whole, and so does one whose own key
+    is known; a key of two known rows names neither. The part before the first comma is the head; with longest, the longest
+    beginning that is known. Beginnings are exploded, so each is one equi-join; a credit has few commas.
+    """
+    one = known.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    open_ = credits.where(~F.col("mapped") & F.contains("credit", F.lit(", "))).select("credit", "key").distinct().join(known.select("key").distinct(), "key", "left_anti")
+    parts = F.split("credit", ", ")
+    ends = F.sequence(F.lit(1), F.size(parts) - 1) if longest else F.array(F.lit(1))
+    begun = open_.select("credit", F.explode(F.transform(ends, lambda n: F.struct(n.alias("n"), F.trim(F.array_join(F.slice(parts, 1, n), ", ")).alias("head")))).alias("b")).select("credit", "b.*")
+    named = begun.withColumn("key", keys.name_key_udf("head")).where("key <> ''").withColumnRenamed("n", "at")
+    found = named.join(one.where("n = 1").select("key", "id"), "key")
+    return found.groupBy("credit").agg(F.max(F.struct("at", "head", "id")).alias("b")).select("credit", "b.head", "b.id")
 
 
 def lenient_time(text: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import catalog
+from ..functions import lineups as shows
+from ..operators import catalog, merging
 from ..sources import tables
 from ..sources.tables import table
 from .registry import query
@@ -32,35 +33,6 @@ def identity_assignment(spark, sf_dir):
     return catalog.assign_identities(credits, known)
 
 
-_RUNS = """t AS (SELECT DISTINCT l_orderkey AS run, l_partkey % 12 AS title FROM lineitem), g AS (SELECT DISTINCT l_suppkey AS group_id, l_partkey % 12 AS title FROM lineitem WHERE l_linenumber = 1),
-nr AS (SELECT run, count(*) AS n_run FROM t GROUP BY 1), ng AS (SELECT group_id, count(*) AS n_group FROM g GROUP BY 1),
-cand AS (SELECT o_orderkey AS run, s_suppkey AS group_id, o_custkey % 7 = s_suppkey % 7 AS exact FROM orders JOIN supplier ON o_custkey % 25 = s_suppkey % 25),
-sc AS (SELECT run, group_id, exact, count(*) AS placed FROM cand JOIN t USING (run) JOIN g USING (group_id, title) GROUP BY ALL),
-ok AS (SELECT * FROM sc JOIN nr USING (run) JOIN ng USING (group_id) WHERE placed >= 0.8 * n_run AND (group_id % 5 <> 0 OR placed >= 0.8 * n_group)),
-top AS (SELECT *, rank() OVER (PARTITION BY run ORDER BY placed DESC, exact DESC) AS r FROM ok),
-placed AS (SELECT run, min(group_id) AS group_id, min(placed) AS placed FROM top WHERE r = 1 GROUP BY run HAVING count(*) = 1)"""
-
-
-def _placed(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    titles = lines.select(C("l_orderkey").alias("run"), (C("l_partkey") % 12).alias("title"))
-    tracks = lines.where("l_linenumber = 1").select(C("l_suppkey").alias("group_id"), (C("l_partkey") % 12).alias("title"), (C("l_suppkey") % 5 == 0).alias("compilation"))
-    runs = table(spark, sf_dir, "orders").select(C("o_orderkey").alias("run"), (C("o_custkey") % 25).alias("artist"), (C("o_custkey") % 7).alias("k"))
-    groups = table(spark, sf_dir, "supplier").select(C("s_suppkey").alias("group_id"), (C("s_suppkey") % 25).alias("artist"), (C("s_suppkey") % 7).alias("g"))
-    return catalog.place_runs(runs.join(groups, "artist").select("run", "group_id", (C("k") == C("g")).alias("exact")), titles, tracks)
-
-
-@query("WITH " + _RUNS + " SELECT * FROM placed")
-def run_placement(spark, sf_dir):
-    return _placed(spark, sf_dir)
-
-
-@query("WITH " + _RUNS + " SELECT group_id, count(*) AS runs, CAST(sum(placed) AS BIGINT) AS moved FROM placed GROUP BY 1")
-def runs_moved(spark, sf_dir):
-    """How many listens an update by the placed runs moves to each group."""
-    return _placed(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("runs"), F.sum("placed").alias("moved"))
-
-
 _BARE = "regexp_replace({}, '^an? (.)', '\\1')"
 _WORDS = "list_sort(string_split({}, ' '))"
 
@@ -173,7 +145,37 @@ def track_notes(spark, sf_dir):
 @query("""SELECT DISTINCT p_name || ' w/ ' || lower(p_brand) || ' (live)' AS title, p_name AS headliner, lower(p_brand) AS support FROM part""")
 def lineups(spark, sf_dir):
     titles = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" w/ "), F.lower("p_brand"), F.lit(" (live)")).alias("title")).distinct()
-    return titles.withColumn("l", keys.split_lineup_udf("title")).select("title", C("l")[0].alias("headliner"), C("l")[1].alias("support"))
+    return titles.withColumn("l", shows.split_lineup_udf("title")).select("title", C("l")[0].alias("headliner"), C("l")[1].alias("support"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_name || CASE WHEN p_size % 3 = 0 THEN ' (' || p_type || ')' ELSE '' END AS raw FROM part)
+SELECT p_partkey, CASE WHEN contains(raw, '(') THEN trim(string_split(raw, '(')[1]) ELSE raw END AS name, CASE WHEN contains(raw, '(') THEN replace(string_split(raw, '(')[2], ')', '') END AS note FROM c""")
+def performers(spark, sf_dir):
+    """Performers as listed, parted from the note in brackets behind them; each different name is cleaned once."""
+    raw = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.when(C("p_size") % 3 == 0, F.concat(F.lit(" ("), "p_type", F.lit(")"))).otherwise("")).alias("raw"))
+    cleaned = raw.select("raw").distinct().withColumn("c", shows.clean_performer_udf("raw"))
+    return raw.join(cleaned, "raw").select("p_partkey", "c.name", "c.note")
+
+
+_EVENINGS = ("A tribute to {}", "{} in concert", "The music of {}", "{}", "{} vs the rest", "40 years of {}", "{} with friends")
+
+
+@query("WITH t AS (SELECT s_suppkey, s_suppkey % 7 AS k FROM supplier) SELECT s_suppkey, k NOT IN (3, 6) AS no_artist FROM t")
+def evenings_without_artist(spark, sf_dir):
+    """Evenings of music by others, told from shows of artists by their titles."""
+    title = F.element_at(F.array(*(F.replace(F.lit(t), F.lit("{}"), C("s_name")) for t in _EVENINGS)), (C("s_suppkey") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", shows.non_artist_event_udf(title).alias("no_artist"))
+
+
+@query("""WITH c AS (SELECT o_orderkey, 'clerk ' || o_custkey || CASE o_orderkey % 3 WHEN 0 THEN ', ' || o_orderstatus WHEN 1 THEN ' feat. ' || o_orderstatus ELSE '' END AS credit, CASE WHEN o_orderkey % 5 = 0 THEN ['', ' ' || o_orderpriority, 'x'] END AS names, CASE WHEN o_orderkey % 2 = 0 THEN 'clerk ' || o_custkey END AS album, o_orderpriority FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority WHEN starts_with(credit, album || ',') THEN album ELSE string_split(credit, ' feat. ')[1] END AS artist FROM c""")
+def primary_artists(spark, sf_dir):
+    """The artist that a credit is filed under."""
+    key = C("o_orderkey")
+    clerk = F.concat(F.lit("clerk "), "o_custkey")
+    credit = F.concat(clerk, F.when(key % 3 == 0, F.concat(F.lit(", "), "o_orderstatus")).when(key % 3 == 1, F.concat(F.lit(" feat. "), "o_orderstatus")).otherwise(""))
+    names = F.when(key % 5 == 0, F.array(F.lit(""), F.concat(F.lit(" "), "o_orderpriority"), F.lit("x")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", keys.primary_artist(credit, names, F.when(key % 2 == 0, clerk)).alias("artist"))
 
 
 @query("""WITH g AS (SELECT DISTINCT p_partkey, trim(unnest(string_split_regex(p_name || ', ' || p_type || ' (old); x', '[,;]'))) AS raw FROM part) SELECT DISTINCT p_partkey, lower(trim(regexp_replace(raw, '\\s*\\([^)]*\\)', '', 'g'))) AS genre FROM g WHERE raw <> 'x'""")
@@ -425,13 +427,11 @@ def lane_parents(spark, sf_dir):
 
 @query("""WITH m AS (SELECT p_partkey AS gone, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS keep FROM part), f AS (SELECT gone AS old_id, keep AS new_id FROM m WHERE gone <> keep) SELECT new_id, count(*) AS merged, min(old_id) AS first_old FROM f GROUP BY 1""")
 def entity_merges(spark, sf_dir):
-    """Duplicates merged into the first of them, with a log whose inverse undoes it; the log is checked by going back."""
+    """Duplicates merged into the first of them."""
     part = table(spark, sf_dir, "part")
     keep = part.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("keep"))
     pairs = part.join(keep, ["p_name", "p_brand"]).where("p_partkey <> keep").select("keep", C("p_partkey").alias("gone"))
-    mapping, log = catalog.merge_map(pairs)
-    undone = log.select("new_id", F.explode("merged").alias("old_id")).join(mapping, ["old_id", "new_id"])
-    return undone.groupBy("new_id").agg(F.count("*").alias("merged"), F.min("old_id").alias("first_old"))
+    return merging.closure(pairs).groupBy("new_id").agg(F.count("*").alias("merged"), F.min("old_id").alias("first_old"))
 
 
 @query("""WITH g AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS genre FROM part), n AS (SELECT genre, count(DISTINCT p_partkey) AS albums FROM g GROUP BY 1), h AS (SELECT genre, count(DISTINCT l_partkey) AS heard FROM g JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linenumber = 1 GROUP BY 1),

@@ -158,9 +158,9 @@ def key_change_impact(spark, sf_dir):
 
 @query()
 def near_title_pairs(spark, sf_dir):
-    """Names of one brand that are nearly equal; digits, lengths and the brand are checked before Python sees a pair."""
-    names = table(spark, sf_dir, "part").select("p_brand", F.lower("p_name").alias("title")).distinct()
-    return near_titles(names, names, ["p_brand"], "title")
+    """All names that are nearly equal; a join on rare bigrams brings together all that can be."""
+    names = table(spark, sf_dir, "part").select(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("title"))
+    return near_titles(names, names, "title")
 
 
 @query(r"""SELECT doc_id, true AS near FROM (SELECT doc_id, trim(regexp_replace(lower(translate(regexp_replace(regexp_replace(text, '!?\[([^\]]*)\]\([^()]*(?:\([^()]*\)[^()]*)*\)', '\1', 'g'), '\[\d+\]', '', 'g'), '‘’“”«»', '''''' || repeat(chr(34), 4))), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM documents) WHERE regexp_matches(body, '(?s)\blicense\b.{0,150}\breleased\b|\breleased\b.{0,150}\blicense\b')""")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from functools import reduce
 from threading import Timer
@@ -17,8 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tidemark").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a local one; a
+    cluster is refused, as its machines would not see each other's files."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (folder or "file:///tmp/checkpoints/tidemark").rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, so that its lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows. df must be cheap to count, such as a kept table."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def read_csv(spark: SparkSession, path: str, required: list[str], optional: list[str] = ()) -> DataFrame:
@@ -143,24 +159,51 @@ def as_tsv(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("\t", *(shown(n, k) for n, k in df.dtypes)).alias("line"))
 
 
-def _reads_only(spark: SparkSession, statement: str) -> bool:
-    """Whether the parsed plan of a statement holds no command, and is one statement: the parser refuses several."""
-    jvm = spark._jvm
-    kinds = [jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
+#: Functions that call methods of the driver or the executors by name.
+_REFLECTION = {"reflect", "java_method", "try_reflect"}
+
+
+def _parsed(spark: SparkSession, statement: str) -> Iterator:
+    """All nodes of a statement's parsed plan, with what stands in its subqueries. The parser refuses several statements."""
     plans = [spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)]
+    listed = lambda held: [held.apply(i) for i in range(held.size())]
     while plans:
         plan = plans.pop()
-        if any(kind.isInstance(plan) for kind in kinds):
-            return False
-        for held in (plan.children(), plan.innerChildren()):
-            plans += [held.apply(i) for i in range(held.size())]
-    return True
+        yield plan
+        plans += [*listed(plan.children()), *listed(plan.innerChildren())]
+
+
+def _refusal(spark: SparkSession, statement: str) -> str | None:
+    """Why a statement is not read only: a command, a function that calls into the machine, or a relation that is no view or
+    table of the session (such as a path)."""
+    jvm = spark._jvm
+    class_of = lambda k: jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.{k}")
+    commands = [class_of(f"plans.logical.{k}") for k in ("Command", "ParsedStatement")]
+    relation, function, with_ = class_of("analysis.UnresolvedRelation"), class_of("analysis.UnresolvedFunction"), class_of("plans.logical.UnresolvedWith")
+    names, own = [], set()
+    for plan in _parsed(spark, statement):
+        if any(kind.isInstance(plan) for kind in commands):
+            return "one SELECT statement only"
+        if with_.isInstance(plan):
+            own |= {plan.cteRelations().apply(i)._1().lower() for i in range(plan.cteRelations().size())}
+        if relation.isInstance(plan):
+            names.append([plan.multipartIdentifier().apply(i) for i in range(plan.multipartIdentifier().size())])
+        held = [plan.expressions().apply(i) for i in range(plan.expressions().size())]
+        while held:
+            e = held.pop()
+            held += [e.children().apply(i) for i in range(e.children().size())]
+            if function.isInstance(e) and e.nameParts().last().lower() in _REFLECTION:
+                return "functions that call methods by name are refused"
+    for parts in names:
+        if not (len(parts) == 1 and parts[0].lower() in own) and not spark.catalog.tableExists(".".join(f"`{p}`" for p in parts)):
+            return f"{'.'.join(parts)} is no view or table of this session"
+    return None
 
 
 def read_only(spark: SparkSession, sql: str, limit: int = 1000, seconds: float = 10.0) -> tuple[DataFrame, bool]:
     """One read-only statement, at most limit rows, and whether there were more; it is stopped after so many seconds."""
-    if not _reads_only(spark, sql):
-        raise ValueError("one SELECT statement only")
+    if refused := _refusal(spark, sql):
+        raise ValueError(refused)
     group, context = f"read-only-{uuid.uuid4().hex}", spark.sparkContext
     timer = Timer(seconds, context.cancelJobGroup, [group])
     timer.start()
