@@ -58,14 +58,16 @@ def _shingles(lines: DataFrame, *carried: str) -> DataFrame:
 def _signatures(lines: DataFrame) -> DataFrame:
     """key, id (of the first document that has it), lines (how many are equal), bands: one row per different line.
 
-    One permutation, cut into BANDS * ROWS bins: a shingle counts in the bin of its hash only. Minima are taken, by
-    hashing, before anything is shuffled. A bin that holds none borrows from PROBES others, in an order of its own, and
-    at last the least of all.
+    Equal lines are one row before they are cut into shingles. That row's key has dealt it to its task, so its shingles are
+    summed up where they are made: minima are never shuffled. One permutation, cut into BANDS * ROWS bins: a shingle counts
+    in the bin of its hash only. A bin that holds none borrows from PROBES others, in an order of its own, and at last the
+    least of all.
     """
     bins = BANDS * ROWS
-    shingles = _shingles(lines, "key", "id").withColumn("bin", F.pmod("h", F.lit(bins)))
+    different = lines.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("lines"), F.first("line").alias("line"))
+    shingles = _shingles(different, "key", "id", "lines").withColumn("bin", F.pmod("h", F.lit(bins)))
     minima = [F.expr(f"min(h) FILTER (WHERE bin = {n})").alias(f"m{n}") for n in range(bins)]
-    signed = shingles.groupBy("key").agg(F.min("id").alias("id"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("lines"), *minima)
+    signed = shingles.groupBy("key").agg(F.max("id").alias("id"), F.max("lines").alias("lines"), *minima)
     signed = signed.withColumn("least", F.least(*(f"m{n}" for n in range(bins))))
     filled = [F.coalesce(*(F.col(f"m{k}") for k in _probes(n, bins)), "least") for n in range(bins)]
     bands = F.array(*(F.xxhash64(F.lit(b), *(filled[b * ROWS + r] for r in range(ROWS))) for b in range(BANDS)))
