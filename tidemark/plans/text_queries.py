@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, texts
@@ -192,3 +193,35 @@ def queue_composed(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     pool = F.when(F.col("o_orderstatus") == "P", "pin").when(F.col("o_orderpriority") == "1-URGENT", "revisit").otherwise("new")
     return compose(orders.select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("artist"), pool.alias("pool"), F.col("o_totalprice").alias("score")), {"pin": 3, "revisit": 3, "new": 10}, 10)
+
+
+@query()
+def queues_built(spark, sf_dir):
+    """A queue for every customer of a nation's orders: pins, revisits from two pools in turn, threads, breakers, wildcards, new ones, mixed by a seed."""
+    from ..operators.queue import build_queues
+
+    key = F.col("o_orderkey")
+    kind = F.when(key % 97 == 0, "pin").when(F.col("o_orderpriority") == "1-URGENT", "revisit").when(F.col("o_orderpriority") == "2-HIGH", "thread").when(key % 13 == 0, "breaker").otherwise("new")
+    lane = F.when(kind == "revisit", F.col("o_orderstatus")).when(kind == "thread", (key % 5).cast("string")).otherwise("")
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    place = F.row_number().over(Window.partitionBy("owner", "kind", "lane").orderBy(F.desc("o_totalprice"), "item"))
+    offers = orders.select(F.col("c_nationkey").alias("owner"), kind.alias("kind"), lane.alias("lane"), key.alias("item"), (F.col("o_custkey") % 300).alias("artist"), "o_totalprice").withColumn("place", place)
+    return build_queues(offers, 20, revisit_share=0.25, threads=3, breakers=2, wildcards=2, wild_ranks=(30, 90), seed=7)
+
+
+_ASKED = "SELECT DISTINCT unnest([substr(p_name, 1, 4), substr(p_type, 1, 2), substr(p_name, 3, 5), replace(p_name, 'e', 'a'), upper(p_type)]) AS asked FROM part"
+
+
+@query(f"""WITH n AS (SELECT p_name || ' ' || p_type AS name, lower(p_name || ' ' || p_type) AS low, count(*) AS weight FROM part GROUP BY ALL), a AS (SELECT asked, lower(trim(asked)) AS q FROM ({_ASKED}) WHERE length(trim(asked)) >= 2),
+gn AS (SELECT low, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(low, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM n),
+ga AS (SELECT DISTINCT q, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(q, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM a),
+t AS (SELECT asked, name, weight, CASE WHEN starts_with(n.low, q) THEN 1 WHEN contains(' ' || n.low, ' ' || q) THEN 2 WHEN length(q) >= 3 AND contains(n.low, q) THEN 3 WHEN len(list_intersect(gn.g, ga.g)) >= 0.3 * len(list_distinct(list_concat(gn.g, ga.g))) THEN 4 END AS tier FROM a JOIN ga USING (q) CROSS JOIN n JOIN gn ON gn.low = n.low)
+SELECT asked, name, tier, CAST(row_number() OVER (PARTITION BY asked ORDER BY tier, weight DESC, name) AS INTEGER) AS rank FROM t WHERE tier IS NOT NULL QUALIFY rank <= 5""")
+def names_suggested(spark, sf_dir):
+    """Names for what was typed: by beginning, by a word's beginning, by what they hold, by likeness; then by weight."""
+    from ..operators.search import suggest
+
+    part = table(spark, sf_dir, "part")
+    names = part.groupBy(F.concat_ws(" ", "p_name", "p_type").alias("name")).agg(F.count("*").alias("weight"))
+    typed = F.array(F.substring("p_name", 1, 4), F.substring("p_type", 1, 2), F.substring("p_name", 3, 5), F.replace("p_name", F.lit("e"), F.lit("a")), F.upper("p_type"))
+    return suggest(part.select(F.explode(typed).alias("asked")).distinct(), names, 5)
