@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
+
 from .relational import first_per
 
 
@@ -64,16 +66,19 @@ def queue_states(actions: DataFrame, item: str, now: Column, bump_days: int = 14
 def same_names(asked: DataFrame, known: DataFrame, least: int = 5) -> DataFrame:
     """Pairs of keys (a, b) that name one thing: equal, or the shorter one, of `least` characters or more, inside of the longer.
 
-    asked: a; known: b (keys, without repeats). The longer key is cut at all its places, and joined with the first
-    characters of the shorter: no key meets all others.
+    asked: a; known: b (keys, without repeats). Of the shorter key's runs of `least` characters the one that fewest longer
+    keys have leads to these: a head that very many names share leads nowhere as long as there is a rarer run.
     """
     a, b = asked.where("a <> ''"), known.where("b <> ''")
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (least - 1)), lambda i: F.substring(c, i, F.lit(least))))
 
     def inside(short: DataFrame, s: str, long: DataFrame, g: str) -> DataFrame:
-        starts = short.where(F.length(s) >= least).select(s, F.substring(s, 1, least).alias("head"))
-        places = F.transform(F.sequence(F.lit(1), F.length(g) - least + 1), lambda i: F.substring(F.col(g), i, F.lit(least)))
-        cut = long.where(F.length(g) >= least).select(g, F.explode(F.array_distinct(places)).alias("head"))
-        return starts.join(cut, "head").where(F.col(g).contains(F.col(s))).select("a", "b")
+        cut = kept(long.where(F.length(g) >= least).select(g, F.explode(runs(g)).alias("run")), "runs")
+        counts = cut.groupBy("run").agg(F.count("*").alias("n"))
+        asked_runs = short.where(F.length(s) >= least).select(s, F.explode(runs(s)).alias("run")).join(counts, "run", "left")
+        # A run that no longer key has rules the short one out.
+        rarest = asked_runs.groupBy(s).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r")).where("r.n > 0").select(s, F.col("r.run").alias("run"))
+        return rarest.join(cut, "run").where(F.contains(F.col(g), F.col(s))).select("a", "b")
 
     equal = a.join(b, F.col("a") == F.col("b")).select("a", "b")
     return equal.union(inside(a, "a", b, "b")).union(inside(b, "b", a, "a")).distinct()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import damp, listen_factor
+from ..sources.tables import broadcast_if_small, kept
+from .relational import top_per
 
 
 def resolve_edges(claims: DataFrame, key: list[str], rank: Column, confidence: str, id_col: str) -> DataFrame:
@@ -22,30 +24,60 @@ def neighbours(edges: DataFrame, node, k: int, least: float = 0.0) -> DataFrame:
     return out.unionByName(back).where(F.col("weight") >= least).orderBy(F.desc("weight"), "direction", "other").limit(k)
 
 
-def connections(links: DataFrame, finished: DataFrame) -> DataFrame:
-    """For every pair of a candidate and a finished album: the best contribution of each node that both have links to.
+#: Links of finished albums are sent to all tasks up to so many (about 60 bytes each); beyond, links are joined by a shuffle.
+BROADCAST_SEEDS = 300_000
 
-    links: album, node, weight. finished: album, sessions, owner. Albums of one owner don't count for each other.
-    A node that many albums share weighs less, by its number of links.
+
+def seed_links(links: DataFrame, finished: DataFrame) -> DataFrame:
+    """seed, node, seed_weight, sessions, seed_owner, fan: the links of finished albums, with how many albums share each node.
+
+    links: album, node, weight. finished: album, sessions, owner. Only nodes that a finished album has are counted.
     """
-    fan = links.groupBy("node").agg(F.countDistinct("album").alias("fan"))
-    seeds = links.join(finished, "album").select(F.col("album").alias("seed"), "node", F.col("weight").alias("seed_weight"), "sessions", F.col("owner").alias("seed_owner"))
-    both = links.join(seeds, "node").join(fan, "node").where(F.col("album") != F.col("seed"))
-    value = F.round(F.col("weight") * F.col("seed_weight") * damp(F.col("fan")) * listen_factor(F.col("sessions")), 4)
-    return both.withColumn("value", value)
+    of = links.join(broadcast_if_small(kept(finished, "finished"), BROADCAST_SEEDS), "album")
+    seeds = kept(of.select(F.col("album").alias("seed"), "node", F.col("weight").alias("seed_weight"), "sessions", F.col("owner").alias("seed_owner")), "seeds")
+    nodes = broadcast_if_small(kept(seeds.select("node").distinct(), "nodes"), BROADCAST_SEEDS)
+    fan = kept(links.join(nodes, "node", "left_semi").groupBy("node").agg(F.countDistinct("album").alias("fan")), "fans")
+    return seeds.join(broadcast_if_small(fan, BROADCAST_SEEDS), "node")
+
+
+def _value() -> Column:
+    return F.round(F.col("weight") * F.col("seed_weight") * damp(F.col("fan")) * listen_factor(F.col("sessions")), 4)
+
 
+def node_contributions(links: DataFrame, seeds: DataFrame, owners: DataFrame) -> DataFrame:
+    """album, node, value: of every candidate the best contribution of each node it has a link to.
 
-def connection_scores(paired: DataFrame) -> DataFrame:
+    links: album, node, weight, one row each. seeds as seed_links gives them. owners: album, own, for candidates only; albums
+    of one owner don't count for each other. What a node contributes grows with the seed's own part, so of a node's seeds
+    only the best one counts, or for its owner's albums the best one of another owner: two rows for each node, however many
+    albums and seeds it has.
+    """
+    part = F.col("seed_weight") * listen_factor(F.col("sessions"))
+    own = F.struct(part.alias("part"), "seed_weight", "sessions")
+    by_owner = seeds.groupBy("node", "fan", "seed_owner").agg(F.max(own).alias("s"))
+    best = by_owner.groupBy("node", "fan").agg(F.max(F.struct("s", "seed_owner")).alias("first"))
+    other = by_owner.join(best, ["node", "fan"]).where(F.col("seed_owner") != F.col("first.seed_owner")).groupBy("node").agg(F.max("s").alias("second"))
+    two = kept(best.join(other, "node", "left"), "best-seeds")
+    met = links.join(owners, "album").join(broadcast_if_small(two, BROADCAST_SEEDS), "node")
+    chosen = F.when(F.col("own") == F.col("first.seed_owner"), F.col("second")).otherwise(F.col("first.s"))
+    return met.withColumn("s", chosen).where("s is not null").select("album", "node", "weight", "fan", "s.seed_weight", "s.sessions").select("album", "node", _value().alias("value"))
+
+
+def connection_scores(contributions: DataFrame) -> DataFrame:
     """Each candidate's score: the best contribution of each node, summed."""
-    per_node = paired.groupBy("album", "node").agg(F.max("value").alias("value"))
-    return per_node.groupBy("album").agg(F.round(F.sum("value"), 4).alias("score"), F.count("*").alias("nodes"))
+    return contributions.groupBy("album").agg(F.round(F.sum("value"), 4).alias("score"), F.count("*").alias("nodes"))
+
 
+def threads(links: DataFrame, seeds: DataFrame, owners: DataFrame, k: int) -> DataFrame:
+    """The k best connected albums of each finished one.
 
-def threads(paired: DataFrame, k: int) -> DataFrame:
-    """The k best connected albums of each finished one."""
-    scored = paired.groupBy("seed", "album", "node").agg(F.max("value").alias("value")).groupBy("seed", "album").agg(F.round(F.sum("value"), 4).alias("score"))
-    w = Window.partitionBy("seed").orderBy(F.desc("score"), F.asc("album"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    Candidates' links are dealt out by album once. The seeds come to them, so the many pairs of seed and album are summed up
+    and cut to k for each seed where they are made; only these are shuffled.
+    """
+    dealt = links.join(owners, "album").repartition("album")
+    met = dealt.join(broadcast_if_small(kept(seeds, "seed-links"), BROADCAST_SEEDS), "node").where((F.col("own") != F.col("seed_owner")) & (F.col("album") != F.col("seed")))
+    scored = met.withColumn("value", _value()).groupBy("seed", "album").agg(F.round(F.sum("value"), 4).alias("score"))
+    return top_per(scored, ["seed"], k, F.desc("score"), F.asc("album"))
 
 
 def related_pairs(tags: DataFrame, item: str, tag: str) -> DataFrame:
@@ -55,13 +87,17 @@ def related_pairs(tags: DataFrame, item: str, tag: str) -> DataFrame:
 
 
 def walk_back(dated: DataFrame, is_seed: Column, seeds: int, factor: float, keep: int) -> DataFrame:
-    """Scores of older albums one and two steps from the seeds. dated: src (node), dst (album), weight, yr."""
+    """Scores of older albums one and two steps from the seeds. dated: src (node), dst (album), weight, yr. is_seed: a condition
+    on young. Each step starts from the albums it is asked for, so no step is made from all albums."""
     young = dated.select("src", F.col("dst").alias("young"), F.col("weight").alias("w_young"), F.col("yr").alias("yr_young"))
-    both = young.join(dated, "src").where((F.col("yr") < F.col("yr_young")) & (F.col("young") != F.col("dst")))
-    hop = both.groupBy("young", F.col("dst").alias("album")).agg(F.round(F.sum(F.round(F.col("w_young") * F.col("weight"), 4)), 4).alias("w"))
-    first = hop.where(is_seed).groupBy("album").agg(F.round(F.sum("w"), 5).alias("score"))
+
+    def hop(start: DataFrame) -> DataFrame:
+        both = dated.join(broadcast_if_small(kept(start, "walk"), BROADCAST_SEEDS), "src").where((F.col("yr") < F.col("yr_young")) & (F.col("young") != F.col("dst")))
+        return both.groupBy("young", F.col("dst").alias("album")).agg(F.round(F.sum(F.round(F.col("w_young") * F.col("weight"), 4)), 4).alias("w"))
+
+    first = kept(hop(young.where(is_seed)).groupBy("album").agg(F.round(F.sum("w"), 5).alias("score")), "walk")
     top = first.orderBy(F.desc("score"), "album").limit(seeds).select(F.col("album").alias("young"))
-    second = hop.join(F.broadcast(top), "young").groupBy("album").agg(F.round(F.lit(factor) * F.sum("w"), 5).alias("score"))  # a few seeds
+    second = hop(young.join(F.broadcast(top), "young")).groupBy("album").agg(F.round(F.lit(factor) * F.sum("w"), 5).alias("score"))  # a few seeds
     summed = first.union(second).groupBy("album").agg(F.round(F.sum("score"), 5).alias("score"))
     return summed.orderBy(F.desc("score"), "album").limit(keep)
 

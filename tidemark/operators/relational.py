@@ -22,11 +22,27 @@ def half_open(df: DataFrame, column: str, start: str | None, end: str | None) ->
 
 
 def narrow(df: DataFrame, key: list[str], *keeps: Column) -> DataFrame:
-    """Applies each condition in turn to the rows of a key, but only where something survives it."""
-    for keep in keeps:
-        w = Window.partitionBy(*key)
-        df = df.withColumn("_keep", F.coalesce(keep, F.lit(False))).withColumn("_any", F.max("_keep").over(w)).where(F.col("_keep") | ~F.col("_any")).drop("_keep", "_any")
-    return df
+    """Applies each condition in turn to the rows of a key, but only where something survives it.
+
+    One sum over the keys tells which sets of conditions some row meets together (2 ^ n booleans for each key, n conditions,
+    partly summed before the shuffle); from these follows which conditions count for a key. Rows are joined with that and
+    never gathered by key.
+    """
+    met = [F.coalesce(k, F.lit(False)) for k in keeps]
+    sets = [tuple(i for i in range(len(met)) if n >> i & 1) for n in range(1, 1 << len(met))]
+    name = lambda s: "_" + "_".join(map(str, s))
+    some = df.groupBy(*key).agg(*(F.bool_or(reduce(lambda a, b: a & b, (met[i] for i in s))).alias(name(s)) for s in sets))
+
+    def counting(chosen: tuple, i: int) -> Column:
+        """The conditions that count, from the i-th on, if these do before it: an array of their numbers."""
+        if i == len(met):
+            return F.array(*map(F.lit, chosen)) if chosen else F.array().cast("array<int>")
+        return F.when(F.col(name((*chosen, i))), counting((*chosen, i), i + 1)).otherwise(counting(chosen, i + 1))
+
+    counted = some.select(*key, counting((), 0).alias("_counts"))
+    joined = df.withColumns({f"_met{i}": m for i, m in enumerate(met)}).join(counted, key)
+    good = reduce(lambda a, b: a & b, (F.col(f"_met{i}") | ~F.array_contains("_counts", i) for i in range(len(met))))
+    return joined.where(good).select(*df.columns)
 
 
 def first_per(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -66,16 +82,20 @@ def nearest_within(a: DataFrame, b: DataFrame, metres: float, a_id: str, b_id: s
     """The nearest b of every a within a distance (equirectangular), through grid cells of that size.
 
     A cell is as high as the distance and twice as wide at the equator. Nearer the poles a row looks as many cells to
-    either side as the distance spans at its latitude (a cell further towards the pole). The 180th meridian is a border.
+    either side as the distance spans at its latitude (a cell further towards the pole). Cells go round: those on both sides
+    of the 180th meridian are neighbours.
     """
     cell = metres / 111_320.0
-    gx, gy = F.floor(F.col(lon) / (2 * cell)), F.floor(F.col(lat) / cell)
+    columns = max(1, int(360 / (2 * cell)))
+    gx, gy = F.floor((F.col(lon) + 180) * columns / 360), F.floor(F.col(lat) / cell)
     around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     narrow = F.cos(F.radians(F.least(F.abs(F.col(lat)) + cell, F.lit(89.9))))
-    side = F.ceil(1 / (2 * narrow)).cast("long")
-    left = a.select(F.col(a_id), F.col(lat).alias("a_lat"), F.col(lon).alias("a_lon"), F.explode(F.transform(F.sequence(-side, side), lambda d: gx + d)).alias("cx"), gy.alias("gy")).select("*", F.explode(F.transform(around, lambda d: F.col("gy") + d)).alias("cy"))
-    right = b.select(F.col(b_id), F.col(lat).alias("b_lat"), F.col(lon).alias("b_lon"), gx.alias("cx"), gy.alias("cy"))
-    dx = F.radians(F.col("b_lon") - F.col("a_lon")) * F.cos(F.radians((F.col("a_lat") + F.col("b_lat")) / 2))
+    side = F.least(F.ceil(1 / (2 * narrow)).cast("long"), F.lit(columns))
+    left = a.select(F.col(a_id), F.col(lat).alias("a_lat"), F.col(lon).alias("a_lon"), F.explode(F.array_distinct(F.transform(F.sequence(-side, side), lambda d: F.pmod(gx + d, F.lit(columns))))).alias("cx"), gy.alias("gy")).select("*", F.explode(F.transform(around, lambda d: F.col("gy") + d)).alias("cy"))
+    right = b.select(F.col(b_id), F.col(lat).alias("b_lat"), F.col(lon).alias("b_lon"), F.pmod(gx, F.lit(columns)).alias("cx"), gy.alias("cy"))
+    apart = F.col("b_lon") - F.col("a_lon")
+    apart = F.when(apart > 180, apart - 360).when(apart < -180, apart + 360).otherwise(apart)
+    dx = F.radians(apart) * F.cos(F.radians((F.col("a_lat") + F.col("b_lat")) / 2))
     dy = F.radians(F.col("b_lat") - F.col("a_lat"))
     paired = left.join(right, ["cx", "cy"]).withColumn("metres", F.lit(6_371_000.0) * F.sqrt(dx * dx + dy * dy)).where(F.col("metres") <= metres)
     return paired.groupBy(a_id).agg(F.min(F.struct("metres", b_id)).alias("n")).select(a_id, F.col(f"n.{b_id}").alias(b_id), F.col("n.metres").alias("metres"))

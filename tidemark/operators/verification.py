@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import page_text
 from ..sources.tables import broadcast_if_small, kept
+from .claims import same_names
 
 # Sources that are databases, predicates of lineage, the confidence that each kind and basis starts with, the step for each
 # independent origin, the most that a claim found by others can reach, and verdicts that reject.
@@ -131,20 +132,6 @@ def databases(claims: DataFrame, recordings: DataFrame, members: DataFrame, cred
     return out.withColumn("db", every).drop("_band", "_person", "_m", "_on", "_who", "_c")
 
 
-def same_names(names: DataFrame, least: int = 5) -> DataFrame:
-    """key, other: different keys of which one holds the other, that of `least` letters or more; both ways round.
-
-    The shorter one's rarest run of `least` letters leads to the longer ones that have it, so a run that very many keys share
-    leads nowhere as long as a key has another one. names: key, distinct.
-    """
-    runs = F.transform(F.sequence(F.lit(1), F.length("key") - (least - 1)), lambda i: F.substring("key", i, F.lit(least)))
-    long_ = kept(names.where(F.length("key") >= least).select("key", F.explode(F.array_distinct(runs)).alias("run")), "name-runs")
-    counts = long_.groupBy("run").agg(F.count("*").alias("n"))
-    rarest = long_.join(counts, "run").groupBy("key").agg(F.min(F.struct("n", "run")).alias("r")).select(F.col("key").alias("short"), F.col("r.run").alias("run"))
-    held = rarest.join(long_, "run").where(F.length("short") < F.length("key")).where(F.contains("key", F.col("short"))).select("short", "key")
-    return held.select(F.col("short").alias("key"), F.col("key").alias("other")).unionByName(held.select("key", F.col("short").alias("other")))
-
-
 def independence(claims: DataFrame, notes: DataFrame) -> DataFrame:
     """Adds support: the different origins that say the same as a claim, its own source aside, and those that corroborate it.
 
@@ -161,7 +148,7 @@ def independence(claims: DataFrame, notes: DataFrame) -> DataFrame:
     origins = told.groupBy(*fact).agg(F.collect_set(F.struct("source", "origin", "url", "cites")).alias("origins"))
     origins = kept(origins, "facts")
     names = origins.select(F.col("s").alias("key")).union(origins.select("o")).distinct().where("key <> ''")
-    others = kept(same_names(names), "same-names").union(names.select("key", F.col("key").alias("other")))
+    others = kept(same_names(names.withColumnRenamed("key", "a"), names.withColumnRenamed("key", "b")), "same-names").toDF("key", "other")
     facts = origins.select(*fact)
     alike = facts.join(others.select(F.col("key").alias("s"), F.col("other").alias("s2")), "s").join(others.select(F.col("key").alias("o"), F.col("other").alias("o2")), "o")
     met = alike.join(origins.select("predicate", F.col("s").alias("s2"), F.col("o").alias("o2"), "origins"), ["predicate", "s2", "o2"])

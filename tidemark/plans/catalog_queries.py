@@ -249,9 +249,9 @@ def kinds_in_order(spark, sf_dir):
     return listed.select("o_custkey", F.array_join(F.array_distinct(F.transform("l", lambda x: x["o_orderpriority"])), ",").alias("kinds"))
 
 
-@query("""SELECT word, array_to_string(list_sort(list_distinct(list(p_partkey))), ',') AS ids FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part WHERE p_partkey < 200) GROUP BY 1""")
+@query("""SELECT word, array_to_string(list_sort(list_distinct(list(p_partkey))), ',') AS ids FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1""")
 def inverted_index(spark, sf_dir):
-    words = table(spark, sf_dir, "part").where("p_partkey < 200").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
     return words.groupBy("word").agg(F.array_join(F.array_sort(F.collect_set("p_partkey")), ",").alias("ids"))
 
 
@@ -325,11 +325,11 @@ def continuous_positions(spark, sf_dir):
     return catalog.flat_positions(lines, "l_orderkey", "medium", "place").select("l_orderkey", "l_linenumber", "position")
 
 
-@query("""WITH x AS (SELECT p_name, count(DISTINCT p_size % 3) AS a, min(p_size % 3) AS x, count(DISTINCT p_size % 3) FILTER (p_type <> 'PROMO' AND p_type <> 'ECONOMY') AS b, min(p_size % 3) FILTER (p_type <> 'PROMO' AND p_type <> 'ECONOMY') AS y FROM part WHERE p_partkey % 6 < 2 GROUP BY 1)
-SELECT p_name, CASE WHEN a = 1 THEN x WHEN b = 1 THEN y END AS agreed, a > 1 AND b <> 1 AS conflict FROM x""")
+@query("""WITH x AS (SELECT p_name || '/' || p_brand AS album, count(DISTINCT p_size % 3) AS a, min(p_size % 3) AS x, count(DISTINCT p_size % 3) FILTER (p_type <> 'PROMO' AND p_type <> 'ECONOMY') AS b, min(p_size % 3) FILTER (p_type <> 'PROMO' AND p_type <> 'ECONOMY') AS y FROM part GROUP BY 1)
+SELECT album, CASE WHEN a = 1 THEN x WHEN b = 1 THEN y END AS agreed, a > 1 AND b <> 1 AS conflict FROM x""")
 def agreed_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_partkey % 6 < 2").select("p_name", (C("p_size") % 3).alias("n"), C("p_type").isin("PROMO", "ECONOMY").alias("edition"))
-    return catalog.agreed_count(rows, "p_name", "n", "edition")
+    rows = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_name", "p_brand").alias("album"), (C("p_size") % 3).alias("n"), C("p_type").isin("PROMO", "ECONOMY").alias("edition"))
+    return catalog.agreed_count(rows, "album", "n", "edition")
 
 
 @query("""WITH t AS (SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN p_type END AS found, 'old' AS note FROM part), n AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_brand END AS found, 'new' AS note FROM part WHERE p_partkey % 3 = 0)
@@ -434,15 +434,14 @@ def entity_merges(spark, sf_dir):
     return merging.closure(pairs).groupBy("new_id").agg(F.count("*").alias("merged"), F.min("old_id").alias("first_old"))
 
 
-@query("""WITH g AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS genre FROM part), n AS (SELECT genre, count(DISTINCT p_partkey) AS albums FROM g GROUP BY 1), h AS (SELECT genre, count(DISTINCT l_partkey) AS heard FROM g JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linenumber = 1 GROUP BY 1),
-s AS (SELECT genre, albums, coalesce(heard, 0) AS heard, coalesce(heard, 0) / albums AS share FROM n LEFT JOIN h USING (genre)), k AS (SELECT *, CASE WHEN share >= 0.5 THEN 'near' WHEN share >= 0.2 THEN 'adjacent' ELSE 'stretch' END AS kind FROM s)
+@query("""WITH g AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS genre, p_size FROM part), s AS (SELECT genre, count(DISTINCT p_partkey) AS albums, count(DISTINCT p_partkey) FILTER (p_size <= 8 * (length(genre) - 2)) AS heard FROM g GROUP BY 1),
+k AS (SELECT genre, CASE WHEN heard >= 0.5 * albums THEN 'near' WHEN heard >= 0.2 * albums THEN 'adjacent' ELSE 'stretch' END AS kind FROM s)
 SELECT kind, arg_min(genre, md5('2024-W05:' || genre)) AS genre, count(*) AS candidates FROM k GROUP BY 1""")
 def genre_of_week(spark, sf_dir):
-    """A genre of each kind, by how much of it was heard; the draw hangs on the week only."""
-    genres = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("genre"))
-    heard = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_linenumber = 1").select(C("l_partkey").alias("p_partkey"), F.lit(1).alias("h")).distinct()
-    shares = genres.join(heard, "p_partkey", "left").groupBy("genre").agg((F.countDistinct(F.when(C("h") == 1, C("p_partkey"))) / F.countDistinct("p_partkey")).alias("share"))
-    kinds = shares.select("genre", F.when(C("share") >= 0.5, "near").when(C("share") >= 0.2, "adjacent").otherwise("stretch").alias("kind"))
+    """A genre of each kind, by how much of it was heard (here more of the long names); the draw hangs on the week only."""
+    genres = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.split("p_name", " ")).alias("genre"))
+    counted = genres.groupBy("genre").agg(F.countDistinct("p_partkey").alias("albums"), F.countDistinct(F.when(C("p_size") <= 8 * (F.length("genre") - 2), C("p_partkey"))).alias("heard"))
+    kinds = counted.select("genre", F.when(C("heard") >= 0.5 * C("albums"), "near").when(C("heard") >= 0.2 * C("albums"), "adjacent").otherwise("stretch").alias("kind"))
     return kinds.groupBy("kind").agg(F.min_by("genre", F.md5(F.concat(F.lit("2024-W05:"), "genre"))).alias("genre"), F.count("*").alias("candidates"))
 
 

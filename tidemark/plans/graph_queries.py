@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, relational
-from ..sources.tables import insert_ignore, remap_ids, table, upsert
+from ..sources.tables import insert_ignore, kept, remap_ids, table, upsert
 from .registry import query
 
 # An edge of supplier and part: one row of its lines, by source (flag), then confidence, then line.
@@ -41,29 +41,29 @@ b AS (SELECT c.dst AS album, s.dst AS seed, c.src AS node, round(c.weight * s.we
 n AS (SELECT album, node, max(value) AS value FROM b GROUP BY ALL)"""
 
 
-def _paired(spark, sf_dir) -> DataFrame:
+def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (resolved once), links of finished albums, and owners of candidates."""
     parts = table(spark, sf_dir, "part")
-    links = _edges(spark, sf_dir).select(F.col("dst").alias("album"), F.col("src").alias("node"), "weight")
-    seeds = parts.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("album"), (F.col("p_size") % 7).alias("sessions"), F.col("p_brand").alias("owner"))
+    links = kept(_edges(spark, sf_dir).select(F.col("dst").alias("album"), F.col("src").alias("node"), "weight"), "links")
+    finished = parts.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("album"), (F.col("p_size") % 7).alias("sessions"), F.col("p_brand").alias("owner"))
     owners = parts.where("p_partkey % 40 <> 0").select(F.col("p_partkey").alias("album"), F.col("p_brand").alias("own"))
-    return graph.connections(links, seeds).join(owners, "album").where(F.col("own") != F.col("seed_owner"))
+    return links, graph.seed_links(links, finished), owners
 
 
 @query(_PAIRS + " SELECT album, round(sum(value), 4) AS score, count(*) AS nodes FROM n GROUP BY album")
 def connection_scores(spark, sf_dir):
-    return graph.connection_scores(_paired(spark, sf_dir))
+    return graph.connection_scores(graph.node_contributions(*_graph(spark, sf_dir)))
 
 
 @query(_PAIRS + " SELECT album, node, value, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY album ORDER BY value DESC, node) AS INTEGER) AS rank FROM n) WHERE rank <= 3")
 def connection_top3(spark, sf_dir):
-    per_node = _paired(spark, sf_dir).groupBy("album", "node").agg(F.max("value").alias("value"))
-    return relational.top_per(per_node, ["album"], 3, F.desc("value"), F.asc("node"))
+    return relational.top_per(graph.node_contributions(*_graph(spark, sf_dir)), ["album"], 3, F.desc("value"), F.asc("node"))
 
 
 @query(_PAIRS + """, t AS (SELECT seed, album, round(sum(value), 4) AS score FROM (SELECT seed, album, node, max(value) AS value FROM b GROUP BY ALL) GROUP BY ALL)
 SELECT seed, album, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY seed ORDER BY score DESC, album) AS INTEGER) AS rank FROM t) WHERE rank <= 20""")
 def threads_top20(spark, sf_dir):
-    return graph.threads(_paired(spark, sf_dir), 20)
+    return graph.threads(*_graph(spark, sf_dir), 20)
 
 
 @query("WITH " + _EDGE + """, y AS (SELECT p_partkey AS id, p_size AS yr FROM part), hop AS (SELECT a.dst AS young, b.dst AS old, round(sum(round(a.weight * b.weight, 4)), 4) AS w FROM edge a JOIN edge b ON a.src = b.src AND a.dst <> b.dst JOIN y ya ON ya.id = a.dst JOIN y yb ON yb.id = b.dst
@@ -75,7 +75,7 @@ def walk_back(spark, sf_dir):
     """Older albums two steps back from the seeds; the second step starts from the best 15 of the first and counts half."""
     strong = _edges(spark, sf_dir).where("weight >= 0.97")
     years = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("dst"), F.col("p_size").alias("yr"))
-    dated = strong.join(years, "dst").select("src", "dst", "weight", "yr")
+    dated = kept(strong.join(years, "dst").select("src", "dst", "weight", "yr"), "dated")
     return graph.walk_back(dated, F.col("young") % 100 == 0, seeds=15, factor=0.5, keep=60)
 
 
