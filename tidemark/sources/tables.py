@@ -109,6 +109,16 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def export_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls included."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def export_pages(df: DataFrame, path: str, page: str, text: str) -> None:
+    """One folder for each page, with its text as lines. page: a name that may be a folder's."""
+    df.select(F.col(page).alias("page"), F.col(text).alias("value")).repartition("page").write.mode("overwrite").partitionBy("page").text(path)
+
+
 LEDGER = "job string, trigger string, status string, rows long, notes string, error string, started timestamp, finished timestamp"
 
 
