@@ -63,6 +63,15 @@ def queue_states(actions: DataFrame, item: str, now: Column, bump_days: int = 14
     )
 
 
+def manual_sessions(plays: DataFrame, undone: DataFrame, minutes: int = 60) -> DataFrame:
+    """Sessions marked by hand (plays: id, item, at, tracks) that stand: all but those taken back (undone: id, at) within so many
+    minutes. A whole session of the item's tracks, at one time."""
+    first = undone.groupBy("id").agg(F.min("at").alias("_undone"))
+    joined = plays.join(first, "id", "left")
+    stands = F.col("_undone").isNull() | (F.unix_micros(F.col("_undone").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")) >= minutes * 60_000_000)
+    return joined.where(stands).select("id", "item", F.col("at").alias("started_at"), F.coalesce("tracks", F.lit(1)).alias("tracks_played"), F.lit("full").alias("session_type"), F.lit("manual").alias("source"))
+
+
 def same_names(asked: DataFrame, known: DataFrame, least: int = 5) -> DataFrame:
     """Pairs of keys (a, b) that name one thing: equal, or the shorter one, of `least` characters or more, inside of the longer.
 

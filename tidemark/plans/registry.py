@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("event_queries", "relational_queries", "graph_queries", "text_queries", "quality_queries", "stream_queries", "catalog_queries", "claim_queries", "merge_queries", "placing_queries", "show_queries", "verify_queries", "entry_queries", "upkeep_queries")
+_MODULES = ("event_queries", "relational_queries", "graph_queries", "text_queries", "quality_queries", "stream_queries", "catalog_queries", "claim_queries", "merge_queries", "placing_queries", "show_queries", "verify_queries", "entry_queries", "upkeep_queries", "detail_queries")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 

@@ -157,18 +157,33 @@ def remap_ids(rows: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     return joined.withColumn(column, F.when(first, F.col("new_id"))).drop("new_id")
 
 
+def general_number(c: Column) -> Column:
+    """A number with six significant digits at most, no zeros at the end, and an exponent where it is very large or small."""
+    shown = F.format_string("%.6g", c.cast("double"))
+    bare = F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+(e[+-]\d+)?$", "$1$2"), r"\.(?=e|$)", "")
+    return F.when(c == 0, "0").otherwise(bare)
+
+
 def as_tsv(df: DataFrame) -> DataFrame:
-    """Rows as one line each: tabs and line ends in values become blanks, nulls are empty, timestamps end at seconds."""
+    """Rows as one line each: tabs and line ends in values become blanks, nulls are empty, timestamps end at seconds, fractions have
+    six digits."""
 
     def shown(name: str, kind: str) -> Column:
         c = F.col(f"`{name}`")
         if kind.startswith("timestamp"):
             c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        elif kind in ("double", "float"):
+            c = general_number(c)
         return F.coalesce(F.translate(c.cast("string"), "\t\r\n", "   "), F.lit(""))
 
     return df.select(F.concat_ws("\t", *(shown(n, k) for n, k in df.dtypes)).alias("line"))
 
 
+def as_json(df: DataFrame) -> DataFrame:
+    """Rows as one object each, with every column, null or not."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+
+
 #: Functions that call methods of the driver or the executors by name.
 _REFLECTION = {"reflect", "java_method", "try_reflect"}
 
