@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before has kept, and returns the columns of
 documents; the last returns the digests of op8. Between stages a table is written and read again.
+
+Every stage but the last keeps rows as they are, columns beside those of documents among them, and only drops some (or, in
+line dedup, shortens texts). Rows without an id are never dropped by their id; rows of one repeated id stay or go together
+where a stage decides by id. Null and empty texts have no lines, words or passages: only the quality score of such texts
+decides about them. Ties go to the least id. Very long texts are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,31 +32,34 @@ def _without(docs: DataFrame, removed: DataFrame, name: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts have the score of the labelled rows' mean; without any
+    labels all stay."""
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
     return scored.where("quality_predicted = 1").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and near-equal lines go; so do documents of which nothing but blanks is left by that."""
+    """Repeated and near-equal lines go; so do documents of which nothing but blanks is left by that. A document that had
+    nothing to lose stays, empty or null as it may be. Rows of one repeated id lose the same places."""
     left = line_dedup.dedup_lines(docs)
     left = left.where((F.col("lines_removed") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
+    """Of each group of near duplicates the document with the least id stays. Texts without words are in no group."""
     found = ngram_join.join_ngrams(docs)
     return _without(docs, found.where("component_id <> doc_id"), "ngram_stage")
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents that hold benchmark passages go; an empty benchmark drops none."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("contaminated"), "decontaminate_stage")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded bytes of every row that is left; null texts count as empty."""
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path(RANKS))
     return byte_bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN)
 

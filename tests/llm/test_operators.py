@@ -179,6 +179,31 @@ def test_lines_edges(edges):
     assert line_dedup.dedup_lines(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [30, 60, 120, 400])
+def test_lines_recall_by_pairs(spark, length):
+    """Pairs of lines at a similarity of 0.8 to 0.9, each apart from all others: nine of ten are found at every length."""
+    rng, rows, size = random.Random(length), [], line_dedup.SHINGLE
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    shingles = lambda t: {t[i : i + size] for i in range(len(t) - size + 1)}
+    while len(rows) < 400:
+        line = letters(length)
+        other = line + letters(rng.randint(1, max(1, length // 4)))
+        a, b = shingles(line), shingles(other)
+        if line.strip() and 0.8 <= len(a & b) / len(a | b) <= 0.9:
+            rows += [line, other]
+    got = {r.doc_id: r.lines_removed for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    found = sum(got[i] + got[i + 1] == 1 for i in range(0, 400, 2))
+    assert found >= 0.9 * 200
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    """Rows of one id share places, so each loses the same; a row without an id keeps all, and is no reason for others to go."""
+    text = "a line that stands in several documents of this test\nand another one that is here only once or twice"
+    rows = [(None, text), (None, text), (4, text), (4, text), (7, text + "\nown line of the seventh document"), (7, "x")]
+    got = sorted((r.doc_id or 0, r.lines_total, r.lines_removed, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [g[:3] for g in got] == [(0, 2, 0), (0, 2, 0), (4, 2, 0), (4, 2, 0), (7, 1, 1), (7, 3, 2)]
+
+
 def test_lines_families(spark):
     """Lines that share boilerplate meet in hot bands: each has one near partner, and all others there are not near."""
     rng, rows = random.Random(11), []
@@ -253,6 +278,28 @@ def test_ngram_join_edges(edges):
     assert ngram_join.join_ngrams(edges.limit(0)).count() == 0
 
 
+def test_ngram_join_of_files_with_equal_ids(spark, tmp_path):
+    """Two files have the same ids over different texts, a third one halves of both: nothing links, and no batch is taken for another."""
+    first, second = ([(i, _prose(80, 100 * k + i)) for i in range(10)] for k in (7, 8))
+    half = [(50 + i, first[i][1][: len(first[i][1]) // 2] + " " + second[i][1][: len(second[i][1]) // 2]) for i in range(10)]
+    for n, rows in enumerate((first, second, half)):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    got = ngram_join.join_ngrams(df)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i for i in [*range(10), *range(50, 60)]}
+    twice = {r.doc_id: r.component_id for r in ngram_join.join_ngrams(df.union(spark.createDataFrame([(99, second[3][1])], "doc_id long, text string"))).collect()}
+    assert twice[99] == 3 and all(twice[i] == i for i in [*range(10), *range(50, 60)])
+
+
+def test_ngram_join_very_long_texts(spark):
+    """More than 65,535 shingles of a text in one bin of the suffix filter would wrap at 16 bits; counts of bins are 32 bits wide."""
+    import numpy as np
+
+    one = np.full(ngram_join.BINS, 70_000, np.uint32).tobytes()
+    n = spark.createDataFrame([(70_000 * ngram_join.BINS, 70_000 * ngram_join.BINS, one, one)], "a long, b long, x binary, y binary")
+    assert n.select(ngram_join._bins_allow("a", "b", "x", "y")).first()[0]
+
+
 def test_ngram_join_copies_and_chains(spark):
     """Groups of edited copies, chains of links and passages that many documents share."""
     rng, rows = random.Random(4), []

@@ -42,3 +42,22 @@ def test_empty_tables_and_nulls(spark, sf_dir):
     for d in (docs.limit(0), nulls):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, d, sf_dir).count() <= d.count()
+
+
+def test_rows_that_stay(spark, sf_dir):
+    """Rows without an id, empty and null texts, repeated rows and columns with other stages' names pass every filtering stage whole."""
+    import random
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(500)]
+    text = lambda: " ".join(rng.choices(words, k=60))
+    same = text()
+    schema = table(spark, sf_dir, "documents").schema.simpleString()[7:-1].replace(":", " ") + ", quality_score string, lines_removed string, component_id string, id string, n string"
+    rows = [(None, text()), (None, None), (1, None), (2, ""), (3, same), (3, same), (5, text()), (6, text())]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or ""), "a", "b", "c", "d", "e") for k, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, sf_dir)
+        got = sorted(((r.doc_id or 0, r.text or "") for r in out.collect()))
+        keep = [(k or 0, t or "") for k, t in rows]
+        assert set(got) >= {x for x in keep if x[1] != same} and {k for k, _ in got} == {k for k, _ in keep}, name
+        assert out.columns == docs.columns or name == "line_dedup"

@@ -238,5 +238,6 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return joined.select(
         *(F.when(some, F.array_join(left, _BREAK)).otherwise(whole(c)).alias(c) if c == text_col else whole(c) for c in docs.columns),
         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("lines_total"),
-        F.coalesce("gone.n", F.lit(0)).cast("long").alias("lines_removed"),
+        # A row of a repeated id may have fewer lines than the places that go.
+        F.when(F.length("gone.mask") > F.size(split), F.size(split) - F.size(left)).otherwise(F.coalesce("gone.n", F.lit(0))).cast("long").alias("lines_removed"),
     )
