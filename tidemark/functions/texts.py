@@ -103,11 +103,14 @@ def similar_names(asked: DataFrame, known: DataFrame, name: str, least: float) -
     def heads(df: DataFrame, k: str) -> DataFrame:
         ordered = df.select(k, F.explode(f"g_{k}").alias("g")).join(counts, "g", "left").groupBy(k).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("o"))
         n = F.size("o")
-        return ordered.select(k, F.explode(F.slice("o", 1, (n - F.ceil(n * least) + 1).cast("int"))).alias("e")).select(k, F.col("e.g").alias("g"))
-
-    pairs = heads(a, "asked").join(heads(b, "found"), "g").select("asked", "found").distinct().join(a, "asked").join(b, "found")
-    sizes = (F.size("g_asked"), F.size("g_found"))
-    return pairs.where(F.least(*sizes) >= least * F.greatest(*sizes)).withColumn("score", similarity(F.col("g_asked"), F.col("g_found"))).where(F.col("score") >= least).select("asked", "found", "score")
+        return ordered.select(k, n.alias(f"n_{k}"), F.posexplode(F.slice("o", 1, (n - F.ceil(n * least) + 1).cast("int"))).alias(f"at_{k}", "e")).select(k, f"n_{k}", f"at_{k}", F.col("e.g").alias("g"))
+
+    # At the first trigram that both have, enough must stand behind it on either side; and sizes must let the share be reached.
+    n_a, n_b = F.col("n_asked"), F.col("n_found")
+    behind = F.least(n_a - F.col("at_asked"), n_b - F.col("at_found")) >= F.ceil(least / (1 + least) * (n_a + n_b) - 1e-9)
+    met = heads(a, "asked").join(heads(b, "found"), "g").where((F.least(n_a, n_b) >= least * F.greatest(n_a, n_b)) & behind)
+    pairs = met.select("asked", "found").distinct().join(a, "asked").join(b, "found")
+    return pairs.withColumn("score", similarity(F.col("g_asked"), F.col("g_found"))).where(F.col("score") >= least).select("asked", "found", "score")
 
 
 def mentioned_near(body: Column, a: str, b: str, within: int) -> Column:

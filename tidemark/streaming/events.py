@@ -74,13 +74,16 @@ def count_misses(events: DataFrame, key: str, hit: str, limit: int) -> DataFrame
     return flagged.groupBy(key).applyInPandasWithState(step, f"{key} long, missed long, cancelled boolean, seen long", "missed long, seen long", "append", GroupStateTimeout.NoTimeout)
 
 
-def rebuild_touched(events: DataFrame, history: DataFrame, owner: str, rebuild: Callable[[DataFrame], DataFrame], path: str) -> None:
-    """For every batch, results of the owners it touches are made anew from history and replace their buckets."""
+def rebuild_touched(events: DataFrame, history: DataFrame, owner: str, rebuild: Callable[[DataFrame], DataFrame], path: str, buckets: int = 64) -> None:
+    """For every batch, results of the owners it touches are made anew from history and replace their buckets.
+
+    A bucket is what one batch rewrites at least: as many are wanted as keep it small (a thousandth of all owners, say).
+    """
 
     def each(batch: DataFrame, _: int) -> None:
-        bucket = F.pmod(F.xxhash64(owner), F.lit(64))
-        touched = batch.select(bucket.alias("_b")).distinct()  # 64 numbers at most
-        write_groups(rebuild(history.withColumn("_b", bucket).join(F.broadcast(touched), "_b", "left_semi").drop("_b")), path, owner)
+        bucket = F.pmod(F.xxhash64(owner), F.lit(buckets))
+        touched = batch.select(bucket.alias("_b")).distinct()  # `buckets` numbers at most
+        write_groups(rebuild(history.withColumn("_b", bucket).join(F.broadcast(touched), "_b", "left_semi").drop("_b")), path, owner, buckets)
 
     run = events.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(each).start()
     run.awaitTermination()
