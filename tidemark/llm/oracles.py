@@ -31,3 +31,20 @@ below AS (SELECT a.k, count(*) FILTER (kids.k IS NULL) AS n_leaves, sum((c.n - 1
 SELECT nodes.conv_id, nodes.depth, pn.conv_id AS parent_conv_id, nodes.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(nodes.ends) AS ends_sha256
 FROM nodes JOIN below ON below.k = nodes.k LEFT JOIN kids ON kids.k = nodes.k LEFT JOIN up ON up.k = nodes.k LEFT JOIN nodes pn ON pn.k = up.parent
 """
+
+#: The UTF-8 bytes of a string s of letters below U+0800.
+_UTF8 = "flatten(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN unicode(substr(s, i, 1)) < 128 THEN [unicode(substr(s, i, 1))::BIGINT] ELSE [192 + (unicode(substr(s, i, 1)) >> 6)::BIGINT, 128 + (unicode(substr(s, i, 1)) & 63)::BIGINT] END))"
+
+OP13 = rf"""
+WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents WHERE text IS NOT NULL),
+k AS (SELECT id || ':' || run AS s, run, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT run, n, {_CRC.format(bytes=_UTF8)} AS h FROM k),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS hole FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.hole = b.hole AND a.i = b.i AND a.word <> b.word UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.hole UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.hole),
+b AS (SELECT near.word, count(*) AS n_near, max(v.n) AS most, first(other ORDER BY v.n DESC, other) AS best FROM near JOIN v ON v.word = other GROUP BY near.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * v.n THEN best END AS form, CASE WHEN most >= 2 * v.n THEN most END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+up AS (SELECT word, word AS here FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.here WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.here AS root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.word = f.word JOIN f g ON g.word = up.here WHERE g.form IS NULL
+"""

@@ -88,4 +88,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": oracles.OP3, "op11_prefix_trie": oracles.OP11}
+    return {"op3_decontaminate": oracles.OP3, "op11_prefix_trie": oracles.OP11, "op13_spelling": oracles.OP13}
