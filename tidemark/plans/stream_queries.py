@@ -21,10 +21,12 @@ def stream_dedup(spark, sf_dir):
     return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query()
+@query("""WITH x AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 21600000000 THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), y AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM x),
+m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events), z AS (SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n FROM y GROUP BY user_id, k) SELECT z.* FROM z, m WHERE ended_at + INTERVAL 6 HOUR <= mark""")
 def stream_sessions(spark, sf_dir):
     """Sessions that the watermark has closed, equal to the batch job's up to then."""
-    return streams.run_to_end(streams.sessions(_stream(spark, sf_dir), "user_id", "6 hours", "1 day"))
+    found = streams.run_to_end(streams.sessions(_stream(spark, sf_dir), "user_id", "6 hours", "1 day"))
+    return found.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "ended_at")), "n")
 
 
 @query("""WITH d AS (SELECT event_type, date_trunc('day', ts) AS day FROM events), w AS (SELECT event_type, unnest([day, day - INTERVAL 1 DAY]) AS start FROM d), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)

@@ -185,7 +185,9 @@ def weighted_sample(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", (F.log(unit) / F.col("o_totalprice")).alias("draw")).orderBy(F.desc("draw"), "o_orderkey").limit(20)
 
 
-@query()
+@query("""WITH s AS (SELECT o_orderkey AS item, o_custkey AS artist, CASE WHEN o_orderstatus = 'P' THEN 'pin' WHEN o_orderpriority = '1-URGENT' THEN 'revisit' ELSE 'new' END AS pool, o_totalprice AS score FROM orders), o AS (SELECT *, CASE pool WHEN 'pin' THEN 0 WHEN 'revisit' THEN 1 ELSE 2 END AS k FROM s),
+f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY artist ORDER BY k, score DESC, item) = 1), c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, item) <= CASE k WHEN 2 THEN 10 ELSE 3 END)
+SELECT item, artist, pool, score, CAST(row_number() OVER (ORDER BY k, score DESC, item) AS INTEGER) AS rank FROM c ORDER BY k, score DESC, item LIMIT 10""")
 def queue_composed(spark, sf_dir):
     """A queue: pins, then revisits and new albums in turn, one per artist, by rank. Each pool is cut to the queue's length before pools are mixed."""
     from ..operators.queue import compose
