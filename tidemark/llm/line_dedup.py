@@ -229,7 +229,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     work = WorkTables(docs.sparkSession, "line_dedup")
     docs = docs.drop("lines_total", "lines_removed")
     lines = _lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
-    gone = _gone(lines, work).alias("gone")
+    found = _gone(lines, work)
+    work.only(found)
+    gone = found.alias("gone")
     split = F.split(F.col(text_col).cast("string"), _BREAK)
     some = F.col("gone.n").isNotNull()
     left = F.filter(split, lambda _, i: F.substring(F.col("gone.mask"), i + 1, F.lit(1)) != F.lit(b"1"))

@@ -285,6 +285,7 @@ def join_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     more = work.keep(_links(across, sets))
     if more.limit(1).count():
         parts = work.keep(components(found.union(more), work))
+    work.only(sizes, lowest, parts)
     found = sizes.join(lowest.select("id", "rep"), "id", "left").withColumn("rep", F.coalesce("rep", "id")).join(parts, F.col("rep") == parts.node, "left")
     named = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     none = F.lit(None).cast("long")

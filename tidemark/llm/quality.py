@@ -94,21 +94,27 @@ class Model:
         self.labels = labels.astype(np.float32)
         self.axes = np.zeros((TERMS, 0), np.float32)
         if len(counts):
-            m = self.weigh(counts)
+            m = self.weigh(counts, counts)
             rng = np.random.default_rng(7)
             q = rng.standard_normal((TERMS, min(DIMENSIONS + 16, len(m)))).astype(np.float32)
             for _ in range(4):  # subspace iteration
                 q, _ = np.linalg.qr(m.T @ (m @ q))
             _, _, vt = np.linalg.svd(m @ q, full_matrices=False)
             self.axes = np.ascontiguousarray((q @ vt.T)[:, :DIMENSIONS])
-            self.vectors = self.embed(counts)
+            self.vectors = self._turned(m)
 
-    def weigh(self, counts: np.ndarray) -> np.ndarray:
-        m = np.log1p(counts) * self.idf
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    def weigh(self, counts: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        """Damped and weighted counts of length one; in the place of out, if that is given."""
+        m = np.log1p(counts, out=out)
+        m *= self.idf
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        return m
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        v = self.weigh(counts) @ self.axes
+        return self._turned(self.weigh(counts))
+
+    def _turned(self, m: np.ndarray) -> np.ndarray:
+        v = m @ self.axes
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
@@ -134,11 +140,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "label": frame["label"], "counts": [count_terms(t).astype(np.uint16 if len(t) < 65_536 else np.float32).astype(np.float32).tobytes() for t in frame["text"]]})
+            counted = [count_terms(t).astype(np.uint16 if len(t) < 65_536 else np.float32).astype(np.float32) for t in frame["text"]]
+            there = [np.flatnonzero(c) for c in counted]
+            yield pd.DataFrame({"id": frame["id"], "label": frame["label"], "terms": [t.astype(np.uint16).tobytes() for t in there], "counts": [c[t].tobytes() for c, t in zip(counted, there)]})
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text <> ''").join(F.broadcast(chosen), "id")
-    got = sorted(texts.mapInPandas(rows, "id long, label int, counts binary").collect())  # 2 * PER_LABEL rows, but for repeated ids
-    counts = np.array([np.frombuffer(r[2], np.float32) for r in got]).reshape(len(got), TERMS)
+    got = sorted(texts.mapInPandas(rows, "id long, label int, terms binary, counts binary").collect())  # 2 * PER_LABEL rows, but for repeated ids
+    counts = np.zeros((len(got), TERMS), np.float32)
+    for row, r in zip(counts, got):
+        row[np.frombuffer(r[2], np.uint16)] = np.frombuffer(r[3], np.float32)
     prior = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
     return Model(counts, np.array([r[1] for r in got]), prior, n_docs, df)
 

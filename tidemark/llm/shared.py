@@ -30,6 +30,7 @@ class WorkTables:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._made = 0
+        self._live: set[str] = set()
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Writes df and returns a frame that reads it back. Its shuffle files go when the write has ended."""
@@ -46,12 +47,22 @@ class WorkTables:
                 self.spark.conf.set(_SHUFFLE_CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept.work_path = path
+        self._live.add(path)
         return kept
 
     def drop(self, kept: DataFrame) -> None:
         """Deletes a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(kept.work_path)
+        self._delete(kept.work_path)
+
+    def only(self, *kept: DataFrame) -> None:
+        """Deletes all tables but these, which a result still reads."""
+        for path in self._live - {k.work_path for k in kept}:
+            self._delete(path)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._live.discard(name)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
