@@ -5,8 +5,6 @@ Rules that pick one of several candidates give none where candidates tie, so res
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import keys, variants
+from ..functions import keys, texts, variants
 from ..operators import checks, upkeep
 from ..sources import tables
 from ..sources.tables import table
@@ -199,3 +199,11 @@ def plain_titles(spark, sf_dir):
     """Titles without signs for a search, and album keys without the year that tells namesakes apart."""
     key = F.concat("p_name", F.when(C("p_size") % 2 == 0, F.concat(F.lit(" #"), 1900 + C("p_size"))).otherwise(""))
     return table(spark, sf_dir, "part").select("p_partkey", variants.plain_title(F.concat("p_name", F.lit("!?"))).alias("plain"), variants.base_album_key(key).alias("base"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_suppkey, CASE l_linenumber % 5 WHEN 0 THEN 'Mastering engineer' WHEN 1 THEN 'co-Producer' WHEN 2 THEN 'Lyrics by' WHEN 3 THEN 'guitar' ELSE 'Mixing' END AS role FROM lineitem)
+SELECT l_suppkey, count(*) AS credits, round(sum(CASE WHEN role = 'Mastering engineer' THEN 0.3 WHEN role IN ('co-Producer', 'Lyrics by') THEN 1.0 ELSE 0.6 END), 4) AS weight FROM c GROUP BY 1""")
+def role_weights(spark, sf_dir):
+    """What a person's credits weigh together, by their roles."""
+    roles = F.element_at(F.array(*map(F.lit, ("Mastering engineer", "co-Producer", "Lyrics by", "guitar", "Mixing"))), (C("l_linenumber") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("credits"), F.round(F.sum(texts.role_weight(roles)), 4).alias("weight"))
