@@ -49,9 +49,7 @@ def entries_found(spark, sf_dir):
     title = C("p_name")
     titled = F.when(e == 0, F.concat(title, F.lit(" (1999)"))).when(e == 1, F.concat(title, F.lit(" (Blue One)"))).when(e == 2, F.concat(F.lit("題 ["), title, F.lit("]"))).when(e == 3, F.concat(title, F.lit(" (Deluxe Edition)"))).otherwise(title)
     listed = raw.select("entry", named.alias("raw_artist"), titled.alias("raw_album"), F.lit("").alias("artist_key"), F.lit("").alias("album_key"), "year")
-    found = entries.find_known(listed, aliases, artists, groups)
-    last = entries.find_known(listed, aliases, artists, groups, mapped_only=False).withColumnRenamed("found", "found_at_last")
-    return found.join(last, "entry")
+    return entries.find_known_both(listed, aliases, artists, groups)
 
 
 @query("""WITH c AS (SELECT DISTINCT l_orderkey AS entry, l_partkey AS id, first(l_returnflag = 'R' ORDER BY l_linenumber, l_suppkey) AS exact, first(year(l_shipdate) ORDER BY l_linenumber, l_suppkey) AS year, first(l_linestatus = 'O' ORDER BY l_linenumber, l_suppkey) AS live, first(l_linenumber % 2 = 1 ORDER BY l_linenumber, l_suppkey) AS album FROM lineitem GROUP BY ALL),
