@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,8 +105,12 @@ def walk_back(dated: DataFrame, is_seed: Column, seeds: int, factor: float, keep
 
 
 def duplicate_pairs(entities: DataFrame, key: list[str], id_col: str, contexts: DataFrame, context_id: str, context: str) -> DataFrame:
-    """Pairs of entities with equal keys that stand in one context; each pair once, the lesser id kept."""
-    a, b = entities.select(*key, F.col(id_col).alias("keep")), entities.select(*key, F.col(id_col).alias("merge"))
-    pairs = a.join(b, key).where("keep < merge").select("keep", "merge")
-    of = lambda name: contexts.select(F.col(context_id).alias(name), F.col(context).alias("context"))
-    return pairs.join(of("keep"), "keep").join(of("merge"), ["merge", "context"]).select("keep", "merge").distinct()
+    """Pairs of entities with equal keys that stand in one context; each pair once, the lesser id kept.
+
+    Entities are gathered by key and context, so a pair is made only where both stand, not for all pairs of a key times all of
+    their contexts. Every two of one gathered set are a pair of the result: a set of n stands for n * (n - 1) / 2 of its rows.
+    """
+    stands = contexts.select(F.col(context_id).alias("id"), F.col(context).alias("context"))
+    placed = entities.select(*key, F.col(id_col).alias("id")).join(stands, "id").where(F.col("context").isNotNull() & reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key)))
+    sets = placed.groupBy(*key, "context").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
+    return sets.select("ids", F.explode("ids").alias("keep")).select("keep", F.explode("ids").alias("merge")).where("keep < merge").distinct()

@@ -101,10 +101,10 @@ def expansion_fan_in(spark, sf_dir):
 @query("""SELECT a.s_suppkey AS keep, b.s_suppkey AS merge FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND CAST(round(a.s_acctbal / 1000) AS INTEGER) = CAST(round(b.s_acctbal / 1000) AS INTEGER) AND a.s_suppkey < b.s_suppkey
 WHERE EXISTS (SELECT 1 FROM lineitem x JOIN lineitem y ON x.l_partkey = y.l_partkey WHERE x.l_suppkey = a.s_suppkey AND y.l_suppkey = b.s_suppkey)""")
 def duplicate_entities(spark, sf_dir):
-    """Entities of one key and class that share a context: keyed pairs first, then a semi-join on what both have."""
+    """Entities of one key and class that share a context: gathered by key and context."""
     suppliers, lines = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")
     keyed = suppliers.select("s_suppkey", "s_nationkey", F.round(F.col("s_acctbal") / 1000).cast("int").alias("k"))
-    return graph.duplicate_pairs(keyed, ["s_nationkey", "k"], "s_suppkey", lines.select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey")
+    return graph.duplicate_pairs(keyed, ["s_nationkey", "k"], "s_suppkey", lines.select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey")
 
 
 @query("WITH old AS (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 3 = 0), m AS (SELECT s_suppkey AS old_id, s_suppkey // 6 AS new_id FROM supplier WHERE s_suppkey % 2 = 0) SELECT s_nationkey, CASE WHEN new_id IS NOT NULL AND row_number() OVER (PARTITION BY new_id ORDER BY s_suppkey) = 1 THEN new_id END AS s_suppkey FROM old LEFT JOIN m ON old_id = s_suppkey")
