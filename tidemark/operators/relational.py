@@ -78,6 +78,19 @@ def either_key_join(left: DataFrame, right: DataFrame, keys: list[Column], right
     return exploded.join(right, F.col("_key") == right[right_key]).drop("_key")
 
 
+def either_key_count(left: DataFrame, right: DataFrame, left_id: str, keys: list[Column], right_key: str, right_id: str, name: str) -> DataFrame:
+    """left_id and how many different right_id it meets by any of several keys, for those that meet some.
+
+    Rows of left with the same keys meet the same rows, so each different set of keys is joined once, and its count brought
+    to the rows.
+    """
+    each = left.select(left_id, F.explode(F.array(*keys)).alias("_k")).where("_k is not null")
+    by_keys = each.groupBy(left_id).agg(F.array_sort(F.collect_set("_k")).alias("_keys"))
+    sets = by_keys.select("_keys").distinct().select("_keys", F.explode("_keys").alias("_k"))
+    met = sets.join(right.select(F.col(right_key).alias("_k"), right_id), "_k").groupBy("_keys").agg(F.countDistinct(right_id).alias("_n"))
+    return by_keys.join(met, "_keys").select(left_id, F.col("_n").alias(name))
+
+
 def nearest_within(a: DataFrame, b: DataFrame, metres: float, a_id: str, b_id: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """The nearest b of every a within a distance (equirectangular), through grid cells of that size.
 
