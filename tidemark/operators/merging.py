@@ -38,24 +38,40 @@ def closure(pairs: DataFrame) -> DataFrame:
     raise ValueError("the pairs have a cycle")
 
 
+def _alike(alike: Column | None) -> Column:
+    kinds = F.col("l.kind") == F.col("f.kind")
+    return (F.col("l.key") == F.col("f.key")) & (kinds if alike is None else kinds | alike)
+
+
+def _met(things: DataFrame, shared: DataFrame, alike: Column | None) -> DataFrame:
+    """id, first, last for every loose thing that has a context in common with a firm namesake: the least and the greatest of these.
+
+    Firm things of one key, kind and context are one row, so pairs of loose and firm things are never made.
+    """
+    contexts = shared.select("id", "context").where("context is not null")
+    firm = things.where("firm").join(contexts, "id").groupBy("key", "kind", "context").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    loose = things.where("not firm").join(contexts, "id").select("id", "key", "kind", "context").distinct()
+    met = loose.alias("l").join(firm.alias("f"), (F.col("l.context") == F.col("f.context")) & _alike(alike))
+    return met.groupBy(F.col("l.id").alias("id")).agg(F.min("f.first").alias("first"), F.max("f.last").alias("last"))
+
+
+def chosen_merges(things: DataFrame, shared: DataFrame, alike: Column | None = None) -> DataFrame:
+    """gone, keep: the pairs that choose_merges gives as merge, without any of the others being made."""
+    return _met(things, shared, alike).where("first = last").select(F.col("id").alias("gone"), F.col("first").alias("keep"))
+
+
 def choose_merges(things: DataFrame, shared: DataFrame, alike: Column | None = None) -> DataFrame:
     """loose, firm, outcome for every loose thing that has a firm namesake.
 
     things: id, key, kind, firm (boolean). shared: id, context (where a thing occurs). A pair has one key and kinds that are
     equal, or alike (a condition over l.kind and f.kind). It merges if it alone, of the loose one's pairs, has a context in
-    common; outcome is merge, several (more have) or none.
+    common; outcome is merge, several (more have), none, or apart (another one of its pairs merges). What a loose thing meets is
+    known before its pairs are made: these are the last step, and are neither kept nor shuffled.
     """
-    l, f = things.where("not firm").alias("l"), things.where("firm").alias("f")
-    kinds = F.col("l.kind") == F.col("f.kind")
-    pairs = l.join(f, (F.col("l.key") == F.col("f.key")) & (kinds if alike is None else kinds | alike)).select(F.col("l.id").alias("loose"), F.col("f.id").alias("firm"))
-    pairs = kept(pairs, "merge-pairs")
-    # Contexts of the things in pairs only: the pairs are few, the contexts of all things are not.
-    of = lambda side: shared.select(F.col("id").alias(side), "context").distinct()
-    met = pairs.join(of("loose"), "loose").join(of("firm"), ["firm", "context"]).select("loose", "firm").distinct().withColumn("meets", F.lit(True))
-    marked = pairs.join(met, ["loose", "firm"], "left").withColumn("meets", F.coalesce("meets", F.lit(False)))
-    counts = marked.groupBy("loose").agg(F.count_if("meets").alias("n"))
-    outcome = F.when(F.col("n") == 0, "none").when(F.col("n") > 1, "several").when(F.col("meets"), "merge").otherwise("apart")
-    return marked.join(counts, "loose").select("loose", "firm", outcome.alias("outcome"))
+    loose = kept(things.where("not firm").join(_met(things, shared, alike), "id", "left").select("id", "key", "kind", "first", "last"), "merge-loose")
+    outcome = F.when(F.col("l.first").isNull(), "none").when(F.col("l.first") != F.col("l.last"), "several").when(F.col("l.first") == F.col("f.id"), "merge").otherwise("apart")
+    pairs = loose.alias("l").join(things.where("firm").alias("f"), _alike(alike))
+    return pairs.select(F.col("l.id").alias("loose"), F.col("f.id").alias("firm"), outcome.alias("outcome"))
 
 
 @dataclass

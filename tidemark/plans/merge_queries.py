@@ -51,22 +51,23 @@ def _entities(spark, sf_dir):
     return things, claims, links
 
 
-def _choices(things, claims):
+def _shared(claims):
+    """Where things occur, and which kinds are alike."""
     shared = claims.select(C("subject").alias("id"), "context").union(claims.select("object", "context"))
     people = C("l.kind").isin("artist", "person") & C("f.kind").isin("artist", "person")
-    return merging.choose_merges(things, shared, people)
+    return shared, people
 
 
 @query("WITH " + _CHOICES + " SELECT * FROM ch")
 def merge_choices(spark, sf_dir):
     """Loose entities with a firm namesake: merged if just one of these shares a context."""
     things, claims, _ = _entities(spark, sf_dir)
-    return _choices(things, claims)
+    return merging.choose_merges(things, *_shared(claims))
 
 
 def _merged(spark, sf_dir):
     things, claims, links = _entities(spark, sf_dir)
-    pairs = _choices(things, claims).where("outcome = 'merge'").select(C("loose").alias("gone"), C("firm").alias("keep"))
+    pairs = merging.chosen_merges(things, *_shared(claims))
     return merging.apply_merges(things, claims, links, merging.closure(pairs))
 
 
