@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
+
 
 def optional_filter(df: DataFrame, **equal) -> DataFrame:
     """Keeps rows equal to every value given; None means no condition."""
@@ -92,7 +94,38 @@ def either_key_count(left: DataFrame, right: DataFrame, left_id: str, keys: list
 
 
 def nearest_within(a: DataFrame, b: DataFrame, metres: float, a_id: str, b_id: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """The nearest b of every a within a distance (equirectangular), through grid cells of that size.
+    """The nearest b of every a within a distance (equirectangular), through grid cells of the distance looked in.
+
+    Where b stand close, that distance starts small, so that no cell of b holds more than _FULL_CELL different places (_HALVINGS
+    halvings at most), and doubles for those a that have found none: a nearest one within a distance is the nearest of all. Of
+    several b in one place the least id stands for them.
+    """
+    places = kept(b.groupBy(F.col(lat), F.col(lon)).agg(F.min(b_id).alias(b_id)), "places")
+    radius, found, left = metres, None, kept(a.select(a_id, lat, lon), "nearest-of")
+    halved = 0
+    while halved < _HALVINGS and _fullest(places, radius, lat, lon) > _FULL_CELL:
+        radius, halved = radius / 2, halved + 1
+    for n in range(halved, -1, -1):
+        near = _within(left, places, metres / 2**n, a_id, b_id, lat, lon)
+        if n:
+            near = kept(near, "nearest")
+            left = kept(left.join(near.select(a_id), a_id, "left_anti"), "nearest-of")
+        found = near if found is None else found.unionByName(near)
+    return found
+
+
+#: Different places in the fullest cell that is looked in, and how often the distance is halved for that.
+_FULL_CELL, _HALVINGS = 64, 12
+
+
+def _fullest(places: DataFrame, metres: float, lat: str, lon: str) -> int:
+    """How many places stand in the fullest square of this side, about."""
+    cell = metres / 111_320.0
+    return places.groupBy(F.floor(F.col(lat) / cell), F.floor(F.col(lon) / cell)).count().agg(F.max("count")).first()[0] or 0
+
+
+def _within(a: DataFrame, b: DataFrame, metres: float, a_id: str, b_id: str, lat: str, lon: str) -> DataFrame:
+    """The nearest b of every a that has one within a distance.
 
     A cell is as high as the distance and twice as wide at the equator. Nearer the poles a row looks as many cells to
     either side as the distance spans at its latitude (a cell further towards the pole). Cells go round: those on both sides
