@@ -119,17 +119,10 @@ def mentioned_near(body: Column, a: str, b: str, within: int) -> Column:
     return F.coalesce(body.rlike(rf"\b{a}\b{gap}\b{b}\b|\b{b}\b{gap}\b{a}\b"), F.lit(False))
 
 
-def places_of(body: Column, word: Column) -> Column:
-    """Where a word of the row's own (literally, as a whole word) begins in a text: offsets from 0, ascending."""
-    parts = F.split(body, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), word, F.lit(r"\E(?![\p{L}\p{N}_])")))
-    sizes = F.transform(parts, lambda p: F.length(p))
-    start = F.struct(F.array().cast("array<int>").alias("found"), F.lit(0).alias("at"))
-    walked = F.aggregate(F.slice(sizes, 1, F.size(sizes) - 1), start, lambda s, n: F.struct(F.concat(s["found"], F.array(s["at"] + n)).alias("found"), (s["at"] + n + F.length(word)).alias("at")))
-    return walked["found"]
-
-
 def own_words_near(body: Column, a: Column, b: Column, within: int) -> Column:
-    """Whether two words that each row names stand within so many characters of each other, in either order, not overlapping."""
-    in_reach = lambda x, y: F.when(x < y, y - x - F.length(a)).otherwise(x - y - F.length(b)).between(0, within)
-    near = F.exists(places_of(body, a), lambda x: F.exists(places_of(body, b), lambda y: in_reach(x, y)))
+    """Whether two words that each row names (literally, as whole words) stand within so many characters of each other, in either
+    order, not overlapping. One pass over the text: from each place of the one no further than the other may stand."""
+    whole = lambda word: F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), word, F.lit(r"\E(?![\p{L}\p{N}_])"))
+    gap = F.lit(rf"[\s\S]{{0,{within}}}?")
+    near = F.rlike(body, F.concat(whole(a), gap, whole(b), F.lit("|"), whole(b), gap, whole(a)))
     return F.coalesce(near & (a != "") & (b != ""), F.lit(False))

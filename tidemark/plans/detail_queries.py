@@ -102,8 +102,8 @@ _WORDS = "regexp_extract_all(text, '[A-Za-z]+')"
 SELECT doc_id, a, b FROM d WHERE a <> '' AND b <> '' AND regexp_matches(text, '(?s)(^|[^\pL\pN_])' || a || '([^\pL\pN_].{{0,148}}[^\pL\pN_]|[^\pL\pN_])' || b || '([^\pL\pN_]|$)|(^|[^\pL\pN_])' || b || '([^\pL\pN_].{{0,148}}[^\pL\pN_]|[^\pL\pN_])' || a || '([^\pL\pN_]|$)')""")
 def own_mentions(spark, sf_dir):
     """Documents in which two words of their own stand within 150 characters of each other."""
-    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
-    word = lambda n: F.coalesce(F.get(words, F.lit(n)), F.lit(""))
+    # Read as far as the word only.
+    word = lambda n: F.regexp_extract("text", rf"^(?:[^A-Za-z]*+[A-Za-z]++){{{n}}}[^A-Za-z]*+([A-Za-z]++)", 1)
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", word(2).alias("a"), word(39).alias("b"))
     return docs.where(texts.own_words_near(C("text"), C("a"), C("b"), 150)).select("doc_id", "a", "b")
 
