@@ -19,6 +19,21 @@ def resolve_edges(claims: DataFrame, key: list[str], rank: Column, confidence: s
     ).select(*key, "_row.*")
 
 
+#: So many claims, about, are counted in one task.
+CLAIMS_PER_TASK = 500_000
+
+
+def distinct_sources(claims: DataFrame, fact: list[str], source: str) -> DataFrame:
+    """n: how many different sources claim each fact. claims must be cheap to count, such as a table.
+
+    Few claims are alike, so summing them up before the shuffle would fill a task with nearly all rows that it reads. They are
+    dealt out by fact first, to as many tasks as their number asks for, and counted there.
+    """
+    rows = claims.select(*fact, source)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), claims.count() // CLAIMS_PER_TASK)
+    return rows.repartition(tasks, *fact).groupBy(*fact).agg(F.countDistinct(source).alias("n"))
+
+
 def neighbours(edges: DataFrame, node, k: int, least: float = 0.0) -> DataFrame:
     """Edges out of and into a node, best first."""
     out = edges.where(F.col("src") == node).select(F.lit("out").alias("direction"), F.col("dst").alias("other"), "weight")

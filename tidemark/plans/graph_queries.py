@@ -137,7 +137,7 @@ _SUPPORT = """c AS (SELECT l_partkey, l_suppkey, l_returnflag, l_orderkey FROM l
 @query("WITH " + _SUPPORT + " SELECT l_partkey, l_suppkey, l_returnflag, round(CASE WHEN l_returnflag = 'N' THEN 0.0 ELSE least(CASE l_returnflag WHEN 'R' THEN 0.8 ELSE 0.5 END + 0.1 * (n - 1), 0.95) END, 2) AS confidence FROM s")
 def claim_confidence(spark, sf_dir):
     """A base by kind, a tenth for each further independent source, at most 0.95; refuted claims have none."""
-    support = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey", "l_returnflag").agg(F.countDistinct("l_orderkey").alias("n"))
+    support = graph.distinct_sources(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey", "l_returnflag"], "l_orderkey")
     base = F.create_map(F.lit("R"), F.lit(0.8), F.lit("A"), F.lit(0.5))
     value = F.when(F.col("l_returnflag") == "N", 0.0).otherwise(F.least(base[F.col("l_returnflag")] + 0.1 * (F.col("n") - 1), F.lit(0.95)))
     return support.select("l_partkey", "l_suppkey", "l_returnflag", F.round(value, 2).alias("confidence"))
