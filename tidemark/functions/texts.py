@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +92,63 @@ def verbatim(docs: DataFrame, doc_id: str, text: str, quotes: DataFrame, quote_i
     return pairs.where(F.contains(spaced("_body"), spaced("_quote"))).select(doc_id, quote_id)
 
 
+#: Up to so many characters (a text's times its pieces) are searched plainly; so many pieces of one text are looked up in a task.
+PLAIN_SEARCH, PIECES_PER_TASK = 20_000_000, 200_000
+
+
+def _grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the q code points (a power of two) from each place on."""
+    h, n = codes.astype(np.uint64), 1
+    while n < q:
+        h = (h[:-n] * np.uint64(0x9E3779B97F4A7C15) + (h[n:] ^ (h[n:] >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
+        n *= 2
+    return h
+
+
+def contained(body: str, pieces: list[str]) -> list[bool]:
+    """Whether a text holds each of these pieces. Of many pieces each is looked up by its rarest gram, then compared in its places."""
+    if len(body) * len(pieces) <= PLAIN_SEARCH:
+        return [x in body for x in pieces]
+    found = [x == "" for x in pieces]
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    text = codes(body)
+    for q in (1, 2, 4, 8, 16):
+        own = [i for i, x in enumerate(pieces) if q <= len(x) <= len(body) and (len(x) < 2 * q or q == 16)]
+        if not own:
+            continue
+        grams = _grams(text, q)
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        sizes = np.array([len(pieces[i]) for i in own])
+        starts = np.cumsum(sizes) - sizes
+        asked = _grams(codes("".join(pieces[i] for i in own)), q)
+        low = np.searchsorted(grams, asked)
+        places = np.searchsorted(grams, asked, "right") - low
+        for i, start, size in zip(own, starts, sizes):
+            k = int(np.argmin(places[start : start + size - q + 1]))
+            at = low[start + k]
+            found[i] = any(body.startswith(pieces[i], p) for p in (order[at : at + places[start + k]] - k).tolist() if p >= 0)
+    return found
+
+
+def held_pieces(asked: DataFrame, bodies: DataFrame) -> DataFrame:
+    """at, piece: those of asked (at, piece; distinct rows come back) that the text of that name holds. bodies: at, body."""
+    rows = kept(asked.select("at", "piece").where("at is not null and piece is not null").distinct(), "pieces")
+    most = rows.groupBy("at").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    parts = max(1, -(-most // PIECES_PER_TASK))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("piece"), F.lit(parts)))
+    texts = bodies.select("at", "body").where("body is not null").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        pieces = left["piece"].tolist()
+        held = np.zeros(len(pieces), bool)
+        for body in right["body"] if pieces else []:
+            held |= np.array(contained(body, pieces), bool)
+        return left.loc[held, ["at", "piece"]]
+
+    return dealt.groupBy("at", "part").cogroup(texts.groupBy("at", "part")).applyInPandas(search, "at string, piece string")
+
+
 def similar_names(asked: DataFrame, known: DataFrame, name: str, least: float) -> DataFrame:
     """asked, found, score: names whose trigrams are alike by at least this share of both; distinct names are expected.
 

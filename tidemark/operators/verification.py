@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.texts import page_text
+from ..functions.texts import held_pieces, page_text
 from ..sources.tables import broadcast_if_small, kept
 from .claims import same_names
 
@@ -69,27 +69,34 @@ def evidence(claims: DataFrame, pages: DataFrame, notes: DataFrame) -> DataFrame
     there word for word (parts between ellipses each for itself).
 
     Pages are normalised once. A claim's page comes by its address; of an address with a fragment, the page without it counts too.
+    What claims ask of a page is looked up in it together, so a page of very many claims is not read again for each of them.
     """
-    bodies = pages.select(F.col("url").alias("_url"), page_text(F.col("body")).alias("_body"))
-    texts = notes.select(F.col("note").alias("_note"), page_text(F.col("text")).alias("_noted"))
-    url = F.coalesce("source_url", F.lit(""))
-    keyed = claims.withColumn("_url", F.split(url, "#")[0]).withColumn("_note", F.split(F.element_at(F.split(url, "#"), -1), r"\.")[0])
-    joined = keyed.join(bodies, "_url", "left").join(texts, "_note", "left")
-    body = F.coalesce("_body", F.lit(""))
-    hay = F.when(F.col("kind") == "map", F.coalesce("_noted", F.lit(""))).otherwise(body)
+    body, noted = page_text(F.col("body")), page_text(F.col("text"))
+    named = lambda df, kind, key, text: df.select(F.concat(F.lit(kind), key).alias("at"), text.alias("body"))
+    texts = named(pages, "page ", "url", body).unionByName(named(pages, "plain ", "url", F.translate(body, "\"'", ""))).unionByName(named(notes, "note ", "note", noted))
+    url = F.split(F.coalesce("source_url", F.lit("")), "#")
+    page, plain, note = (F.concat(F.lit(kind), key) for kind, key in (("page ", url[0]), ("plain ", url[0]), ("note ", F.split(F.element_at(url, -1), r"\.")[0])))
+    hay = F.when(F.col("kind") == "map", note).otherwise(page)
     field = F.startswith("evidence", F.lit("field:"))
     value = page_text(F.element_at(F.split("evidence", "="), -1))
     segments = F.filter(F.transform(F.split(page_text(F.col("evidence")), "…"), lambda x: F.trim(x)), lambda x: x != "")
     quoted = F.col("kind").isin("text", "map") & ~field
     name = F.translate(page_text(F.when(F.col("predicate") == "recorded_at", F.col("object.name")).otherwise(F.col("subject.name"))), "\"'", "")
     bare = F.regexp_replace(name, r"\s+(recording\s+)?studios?(\s+\w+)?$", "")
-    plain = F.translate(body, "\"'", "")
-    on_page = ((name != "") & F.contains(plain, name)) | ((F.col("predicate") == "recorded_at") & (bare != name) & (F.length(bare) >= 5) & F.contains(plain, bare))
+    none = F.array().cast("array<struct<at:string,piece:string>>")
+    piece = lambda at, x: F.struct(at.alias("at"), x.alias("piece"))
+    names = F.when(F.col("kind") == "extracted", F.array(piece(plain, name), piece(plain, bare)))
+    asked = F.concat(F.coalesce(F.when(quoted, F.transform(segments, lambda x: piece(hay, x))), none), F.coalesce(F.when(field, F.array(piece(page, value))), none), F.coalesce(names, none))
+    each = claims.select("claim", F.explode(F.array_distinct(asked)).alias("a")).select("claim", "a.*").where("piece <> ''")
+    held = each.join(held_pieces(each, texts), ["at", "piece"]).groupBy("claim").agg(F.collect_set(F.struct("at", "piece")).alias("_held"))
+    joined = claims.join(held, "claim", "left").withColumn("_held", F.coalesce("_held", none))
+    holds = lambda at, x: F.when(x.isNotNull(), F.array_contains("_held", piece(at, x)))
+    on_page = ((name != "") & holds(plain, name)) | ((F.col("predicate") == "recorded_at") & (bare != name) & (F.length(bare) >= 5) & holds(plain, bare))
     fails = _names(
-        name_not_on_page=(F.col("kind") == "extracted") & ~on_page, field_not_on_page=field & (F.col("kind") != "owner") & ~((value != "") & F.contains(body, value)),
-        quote_not_in_source=quoted & ~((F.size(segments) > 0) & F.forall(segments, lambda x: F.contains(hay, x))), evidence_too_long=quoted & (F.length("evidence") > EVIDENCE_MOST),
+        name_not_on_page=(F.col("kind") == "extracted") & ~on_page, field_not_on_page=field & (F.col("kind") != "owner") & ~((value != "") & holds(page, value)),
+        quote_not_in_source=quoted & ~((F.size(segments) > 0) & F.forall(segments, lambda x: holds(hay, x))), evidence_too_long=quoted & (F.length("evidence") > EVIDENCE_MOST),
     )
-    return joined.withColumn("fails", F.concat("fails", fails)).drop("_url", "_note", "_body", "_noted")
+    return joined.withColumn("fails", F.concat("fails", fails)).drop("_held")
 
 
 def dates(claims: DataFrame, years: DataFrame, album_years: DataFrame) -> DataFrame:
