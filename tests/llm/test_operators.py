@@ -406,3 +406,19 @@ def test_samples_by_hash(spark):
     want = rows.selectExpr("kind", "id", "row_number() over (partition by kind order by shiftrightunsigned(xxhash64(id), 11)) as rank").where("rank <= 30").collect()
     assert {(r.kind, r.id, r["rank"]) for r in got} == {(r.kind, r.id, r["rank"]) for r in want}
     assert least_hashed(rows, [], "id", 30).count() == 30 and least_hashed(rows.limit(0), ["kind"], "id", 30).count() == 0
+
+
+def test_word_hashes_take_little_memory(monkeypatch):
+    """The pipeline's join outgrew an executor: words are hashed a few texts at a time, with the same hashes however texts are parted."""
+    import tracemalloc
+
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["Ünder", "one", "two", "\t", ""], k=rng.randint(0, 60))).encode() for _ in range(20_000)] + [b"", b" ", b"end"]
+    tracemalloc.start()
+    hashes, counts = ngram_join.word_hashes(texts)
+    assert tracemalloc.get_traced_memory()[1] < 15 * sum(map(len, texts))
+    tracemalloc.stop()
+    monkeypatch.setattr(ngram_join, "HASHED_BYTES", 1 << 40)
+    whole, of_whole = ngram_join.word_hashes(texts)
+    assert (hashes == whole).all() and (counts == of_whole).all() and counts.tolist() == [len(t.split()) for t in texts]
+    assert [len(x) for x in ngram_join.word_hashes([])] == [0, 0]

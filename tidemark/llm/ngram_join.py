@@ -38,6 +38,7 @@ from .shared import WorkTables
 
 WORDS, PERCENT = 5, 80
 BATCH_BYTES, BATCH_DOCS = 8_000_000, 60_000
+HASHED_BYTES = 500_000
 BINS = 128
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -53,7 +54,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for every word of these texts, and how many words each text has."""
+    """A hash for every word of these texts, and how many words each text has. Hashing takes about 50 bytes for each byte of text,
+    so texts are hashed a few at a time; a word's hash does not depend on its place."""
+    sizes = np.cumsum([len(c) for c in coded])
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // HASHED_BYTES)) + 1).tolist(), len(coded)]
+    hashes, counts = zip(*(_hashed(coded[a:b]) for a, b in zip(cuts[:-1], cuts[1:])))
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def _hashed(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(c) + 1 for c in coded], np.int64)
     buf = _LOWER[np.frombuffer(b" ".join(coded) + b" ", np.uint8)]
     inside = ~_SPACE[buf]
