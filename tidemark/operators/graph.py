@@ -85,16 +85,34 @@ def connection_scores(contributions: DataFrame) -> DataFrame:
     return contributions.groupBy("album").agg(F.round(F.sum("value"), 4).alias("score"), F.count("*").alias("nodes"))
 
 
+#: About so many pairs of seed and album are summed up in one block of seeds.
+PAIRS_PER_BLOCK = 500_000
+#: A node of more albums has several lists.
+LIST_ALBUMS = 10_000
+
+
 def threads(links: DataFrame, seeds: DataFrame, owners: DataFrame, k: int) -> DataFrame:
     """The k best connected albums of each finished one.
 
-    Candidates' links are dealt out by album once. The seeds come to them, so the many pairs of seed and album are summed up
-    and cut to k for each seed where they are made; only these are shuffled.
+    Pairs of seed and album are many more than links and hardly any two are of one seed and album, so they are made, summed
+    up and cut to k in one task and never shuffled. Seeds are parted into blocks, by range, so many as their pairs ask for.
+    The candidates of a node go to each block that has seeds there, once, in one row of arrays with these seeds.
     """
-    dealt = links.join(owners, "album").repartition("album")
-    met = dealt.join(broadcast_if_small(kept(seeds, "seed-links"), BROADCAST_SEEDS), "node").where((F.col("own") != F.col("seed_owner")) & (F.col("album") != F.col("seed")))
-    scored = met.withColumn("value", _value()).groupBy("seed", "album").agg(F.round(F.sum("value"), 4).alias("score"))
-    return top_per(scored, ["seed"], k, F.desc("score"), F.asc("album"))
+    seeds = kept(seeds.withColumn("damped", damp(F.col("fan"))).withColumn("factor", listen_factor(F.col("sessions"))), "seed-links")
+    blocks = (seeds.agg(F.sum("fan")).first()[0] or 0) // PAIRS_PER_BLOCK + 1
+    blocked = kept(seeds.repartitionByRange(blocks, "seed").withColumn("block", F.spark_partition_id()), "seed-blocks")
+    fans = seeds.groupBy("node").agg(F.max("fan").alias("fan"))
+    part = F.pmod(F.xxhash64("album"), F.ceil(F.col("fan") / LIST_ALBUMS))
+    owned = links.join(owners, "album").join(fans, "node").groupBy("node", part.alias("part"), "own").agg(F.sort_array(F.collect_list(F.struct("album", "weight"))).alias("l"))
+    lists = owned.groupBy("node", "part").agg(F.collect_list(F.struct("own", F.col("l.album").alias("albums"), F.col("l.weight").alias("weights"))).alias("lists"))
+    asking = blocked.groupBy("block", "node").agg(F.collect_list(F.struct("seed", "seed_weight", "seed_owner", "damped", "factor")).alias("seeds"))
+    # Seeds travel with the lists: a join after this shuffle would deal the rows out by node as well, and the pairs again.
+    sent = lists.join(asking, "node").select("block", "seeds", "lists").repartition(blocks, "block")
+    met = sent.select("block", "seeds", F.explode("lists").alias("l")).select("block", "l", F.explode("seeds").alias("s")).where(F.col("l.own") != F.col("s.seed_owner"))
+    pairs = met.select("block", "s.seed", "s.seed_weight", "s.damped", "s.factor", F.explode(F.arrays_zip("l.albums", "l.weights")).alias("e")).where("e.albums <> seed")
+    value = F.round(F.col("e.weights") * F.col("seed_weight") * F.col("damped") * F.col("factor"), 4)
+    scored = pairs.groupBy("block", "seed", F.col("e.albums").alias("album")).agg(F.round(F.sum(value), 4).alias("score"))
+    return top_per(scored, ["block", "seed"], k, F.desc("score"), F.asc("album")).drop("block")
 
 
 def related_pairs(tags: DataFrame, item: str, tag: str) -> DataFrame:
