@@ -422,3 +422,21 @@ def test_word_hashes_take_little_memory(monkeypatch):
     whole, of_whole = ngram_join.word_hashes(texts)
     assert (hashes == whole).all() and (counts == of_whole).all() and counts.tolist() == [len(t.split()) for t in texts]
     assert [len(x) for x in ngram_join.word_hashes([])] == [0, 0]
+
+
+def test_line_bands_are_shuffled_once(spark):
+    """op6: lines that no other is near cost a row for each of their bands, and no more; lines that are near are found among them."""
+    from tests.test_growth import _shuffled
+    from tidemark.llm.shared import WorkTables
+
+    rng = random.Random(6)
+    lines = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=60)) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate([*lines, lines[7] + "!"])), "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    work = WorkTables(spark, "test-lines")
+    try:
+        rows, shuffled = _shuffled(spark, lambda: line_dedup.line_components(line_dedup._lines(frame.withColumnRenamed("doc_id", "id")), work)[1])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 2 and len({r.component for r in rows}) == 1
+    assert shuffled < 1.7 * len(lines) * line_dedup.BANDS

@@ -32,6 +32,8 @@ SHINGLE, BANDS, ROWS, PERCENT = 9, 10, 4, 80
 PROBES = 5
 #: Up to so many candidate lines (two longs each) are sent to all executors; beyond, lines are shuffled to them.
 BROADCAST_LINES = 500_000
+#: Marks of lost lines are sent to all executors up to so many bytes; beyond, documents are shuffled to them.
+BROADCAST_MARKS = 16_000_000
 #: Bands of up to so many lines are compared in pairs; the lines of larger ones first by their rarest shingles.
 FEW = 32
 #: A line or band that holds more than one row in so many is looked up by broadcast: there are at most as many of these.
@@ -177,13 +179,16 @@ def _merged(parts: DataFrame, links: DataFrame, work: WorkTables) -> DataFrame:
 
 def line_components(lines: DataFrame, work: WorkTables) -> tuple[DataFrame, DataFrame]:
     """Of every different line: key, id, lines; and the components of near ones: node, component (both keys)."""
-    signed = work.keep(_signatures(lines))
-    rows = signed.select("key", "id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
+    signatures = work.keep(_signatures(lines))
+    # Few bands are shared: the rows of a band meet once, with nothing but their keys, and only those of shared bands go on.
+    met = signatures.select("key", F.explode("bands").alias("band")).withColumn("m", F.count("*").over(Window.partitionBy("band")))
+    rows = work.keep(met.where("m > 1").select("key", "band"))
+    signed = work.keep(signatures.select("key", "id", "lines"))
+    work.drop(signatures)
     # Of a line and its edited copies, the line itself shares the most bands.
-    near = work.keep(rows.join(shared, "band").groupBy("key", "id").agg(F.collect_list("band").alias("bands")))
-    texts = work.keep(_texts(near, lines))
-    rows = work.keep(near.select("key", F.size("bands").alias("degree"), F.explode("bands").alias("band")))
+    near = work.keep(rows.groupBy("key").agg(F.count("*").cast("int").alias("degree")))
+    texts = work.keep(_texts(signed.join(near, "key"), lines))
+    rows = work.keep(rows.join(near, "key"))
     work.drop(near)
     hot = F.count("*") > F.lit(max(HOT_LEAST, rows.count() // HOT_SHARE))
     leaders = rows.groupBy("band").agg(F.max(F.struct("degree", "key")).alias("l"), hot.alias("hub")).select(F.col("band").alias("v"), F.col("l.key").alias("lead"), "hub")
@@ -231,7 +236,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines = _lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     found = _gone(lines, work)
     work.only(found)
-    gone = found.alias("gone")
+    few = (found.agg(F.sum(F.length("mask") + 40)).first()[0] or 0) <= BROADCAST_MARKS
+    gone = (F.broadcast(found) if few else found).alias("gone")
     split = F.split(F.col(text_col).cast("string"), _BREAK)
     some = F.col("gone.n").isNotNull()
     left = F.filter(split, lambda _, i: F.substring(F.col("gone.mask"), i + 1, F.lit(1)) != F.lit(b"1"))
