@@ -440,3 +440,28 @@ def test_line_bands_are_shuffled_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(rows) == 2 and len({r.component for r in rows}) == 1
     assert shuffled < 1.7 * len(lines) * line_dedup.BANDS
+
+
+def test_line_marks_lose_no_near_pair(spark):
+    """op6: pairs that counts and marks leave are all near ones, and few that are far; far lines are not cut into sets."""
+    from tidemark.llm.shared import WorkTables
+
+    rng, size = random.Random(8), line_dedup.SHINGLE
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzäß ", k=n))
+    shingles = lambda t: {t[i : i + size] for i in range(len(t) - size + 1)} or {t}
+    lines, pairs = ["ab", "ab" * 40, "ab" * 90], [(1, 2)]
+    for n in (5, 12, 60, 300, 3000):
+        for share in (0, 0.02, 0.05, 0.1, 0.2, 0.4, 1):
+            line = letters(n)
+            cut = int(n * share)
+            lines += [line, line[: n - cut] + letters(cut)]
+            pairs.append((len(lines) - 2, len(lines) - 1))
+    near = {(a, b) for a, b in pairs if len(x := shingles(lines[a])) and 10 * len(x & (y := shingles(lines[b]))) >= 8 * len(x | y)}
+    frame = line_dedup._lines(spark.createDataFrame(list(enumerate(lines)), "id long, text string")).withColumn("key", F.col("id"))
+    work = WorkTables(spark, "test-marks")
+    texts = work.keep(line_dedup._texts(frame, frame))
+    marks = work.keep(line_dedup._marks(texts))
+    wanted = spark.createDataFrame(pairs, "a long, b long")
+    left = {tuple(r) for r in line_dedup._maybe(wanted, marks).select("a", "b").collect()}
+    assert near <= left and len(left - near) <= 8 < len(pairs) - len(near)
+    assert {tuple(r) for r in line_dedup._links(wanted, texts, marks).collect()} == near

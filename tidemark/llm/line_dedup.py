@@ -34,6 +34,8 @@ PROBES = 5
 BROADCAST_LINES = 500_000
 #: Marks of lost lines are sent to all executors up to so many bytes; beyond, documents are shuffled to them.
 BROADCAST_MARKS = 16_000_000
+#: Longs of marks of a line: 64 bits each.
+WORDS = 32
 #: Bands of up to so many lines are compared in pairs; the lines of larger ones first by their rarest shingles.
 FEW = 32
 #: A line or band that holds more than one row in so many is looked up by broadcast: there are at most as many of these.
@@ -70,10 +72,13 @@ def _signatures(lines: DataFrame) -> DataFrame:
     shingles = _shingles(different, "key", "id", "lines").withColumn("bin", F.pmod("h", F.lit(bins)))
     minima = [F.expr(f"min(h) FILTER (WHERE bin = {n})").alias(f"m{n}") for n in range(bins)]
     signed = shingles.groupBy("key").agg(F.max("id").alias("id"), F.max("lines").alias("lines"), *minima)
-    signed = signed.withColumn("least", F.least(*(f"m{n}" for n in range(bins))))
-    filled = [F.coalesce(*(F.col(f"m{k}") for k in _probes(n, bins)), "least") for n in range(bins)]
-    bands = F.array(*(F.xxhash64(F.lit(b), *(filled[b * ROWS + r] for r in range(ROWS))) for b in range(BANDS)))
-    return signed.select("key", "id", "lines", bands.alias("bands"))
+    # Minima are one array: written out for each bin, borrowing would be a very long method.
+    signed = signed.select("key", "id", "lines", F.array(*(f"m{n}" for n in range(bins))).alias("m"))
+    probes = F.array(*(F.array(*map(F.lit, _probes(n, bins))) for n in range(bins)))
+    borrowed = lambda n: (F.get("m", F.get(F.get(probes, n), F.lit(p))) for p in range(1, PROBES + 1))
+    filled = signed.select("key", "id", "lines", F.transform("m", lambda m, n: F.coalesce(m, *borrowed(n), F.array_min("m"))).alias("m"))
+    bands = F.array(*(F.xxhash64(F.lit(b), *(F.get("m", F.lit(b * ROWS + r)) for r in range(ROWS))) for b in range(BANDS)))
+    return filled.select("key", "id", "lines", bands.alias("bands"))
 
 
 def _probes(n: int, bins: int) -> list[int]:
@@ -81,13 +86,18 @@ def _probes(n: int, bins: int) -> list[int]:
     return [n, *random.Random(n).sample([k for k in range(bins) if k != n], PROBES)]
 
 
-def _set(line: Column) -> Column:
-    """The different shingles (hashes) of one line, as an array."""
+def _hashes(line: Column) -> Column:
+    """The shingles (hashes) of one line, as an array; repeated ones are repeated there."""
     n = F.length(line)
-    of = lambda data: F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(F.substring(data, i * 4 + 1, F.lit(4 * SHINGLE))))
+    of = lambda data: F.transform(F.sequence(F.lit(1), 4 * (n - SHINGLE) + 1, F.lit(4)), lambda at: F.xxhash64(F.substring(data, at, F.lit(4 * SHINGLE))))
     # The array around the encoded line makes it once for all places.
-    every = F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), of))
-    return F.when(n <= SHINGLE, F.array(F.xxhash64(line))).otherwise(F.array_distinct(every))
+    every = F.get(F.transform(F.array(F.encode(line, "UTF-32")), of), F.lit(0))
+    return F.when(n <= SHINGLE, F.array(F.xxhash64(line))).otherwise(every)
+
+
+def _set(line: Column) -> Column:
+    """The different shingles (hashes) of one line, as an array."""
+    return F.array_distinct(_hashes(line))
 
 
 def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
@@ -95,18 +105,41 @@ def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
 
     Lines are kept and not their sets, which take eight times as much to write and to shuffle.
     """
-    found = lines.select("id", "key", "line").join(broadcast_if_small(wanted.select("id", "key"), BROADCAST_LINES), ["id", "key"]).dropDuplicates(["key"])
-    return found.select("key", "line", F.size(_set(F.col("line"))).cast("long").alias("n"))
+    found = lines.select("id", "key", "line").join(broadcast_if_small(wanted.select("id", "key"), BROADCAST_LINES), ["id", "key"])
+    return found.dropDuplicates(["key"]).select("key", "line", F.size(_set(F.col("line"))).cast("long").alias("n"))
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys whose sets are near, compared exactly."""
-    side = lambda k: texts.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"), F.col("n").alias(f"n_{k}"))
+def _marks(texts: DataFrame) -> DataFrame:
+    """key, n (how many different shingles), marks (WORDS longs): every shingle sets one bit of its line's marks."""
+    shingles = _shingles(texts.withColumnRenamed("n", "different"), "key", "different")
+    bits = shingles.select("key", "different", F.pmod("h", F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, cast(shiftright(h, 32) & 63 as int))").alias("bit"))
+    words = [F.expr(f"coalesce(bit_or(bit) FILTER (WHERE word = {w}), 0L)").alias(f"w{w}") for w in range(WORDS)]
+    summed = bits.groupBy("key").agg(F.max("different").alias("n"), *words)
+    return summed.select("key", "n", F.array(*(f"w{w}" for w in range(WORDS))).alias("marks"))
+
+
+def _maybe(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b: pairs without those that can't be near by their counts and marks; no near pair is lost.
+
+    A shingle that both lines have sets the same bit in both, so there are at least as many shingles that only one has
+    as there are bits that differ.
+    """
+    side = lambda k: marks.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("marks").alias(f"marks_{k}"))
     alike = PERCENT * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
-    both = F.size(F.array_intersect(_set(F.col("line_a")), _set(F.col("line_b"))))
+    every = F.col("n_a") + F.col("n_b")
+    differ = sum((F.bit_count(F.get("marks_a", F.lit(w)).bitwiseXOR(F.get("marks_b", F.lit(w)))) for w in range(WORDS)), F.lit(0))
+    # If d shingles are in one line only, (every - d) / 2 are in both.
+    room = (100 + PERCENT) * (every - differ) >= 2 * PERCENT * every
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(alike).where(room).select("a", "b", "n_a", "n_b")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys whose sets are near, compared exactly."""
+    side = lambda k: texts.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"))
+    both = F.size(F.array_intersect(_hashes(F.col("line_a")), _hashes(F.col("line_b"))))
     # Of intersection size x the union is n_a + n_b - x, so x is wanted only once.
     near = (100 + PERCENT) * both >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").where(alike).where(near).select("a", "b")
+    return _maybe(pairs, marks).join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
 
 
 def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -123,10 +156,10 @@ def _star(rows: DataFrame, leaders: DataFrame, apart: Column | None = None) -> D
     return met.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
 
 
-def _across(rows: DataFrame, texts: DataFrame, work: WorkTables) -> DataFrame:
+def _across(rows: DataFrame, texts: DataFrame, marks: DataFrame, work: WorkTables) -> DataFrame:
     """Pairs (a, b) from different components that may be near: all pairs of a band that can be.
 
-    rows: band, key, c. texts: key, line, n. Pairs of large bands come from a join on shingles, rarest first: of n shingles
+    rows: band, key, c. texts: key, line. marks: key, n. Pairs of large bands come from a join on shingles, rarest first: of n shingles
     near lines share one among the first n - ceil(0.8 n) + 1, their prefix, and at the first one they share, enough must
     stand behind it. A pair is made at this first one only, and only if what both prefixes share leaves room for enough
     beyond them. This join doesn't ask for a common band, so it may find pairs that no band has.
@@ -135,12 +168,12 @@ def _across(rows: DataFrame, texts: DataFrame, work: WorkTables) -> DataFrame:
     alike = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
     apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & alike
     pair = (F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    few = work.keep(rows.join(counts.where(F.col("m") <= FEW), "band", "left_semi").join(texts.select("key", "n"), "key"))
+    few = work.keep(rows.join(counts.where(F.col("m") <= FEW), "band", "left_semi").join(marks.select("key", "n"), "key"))
     direct = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & apart).select(*pair)
     crowd = work.keep(rows.join(counts.where(F.col("m") > FEW), "band", "left_semi").select("key", "c").distinct())
     if not crowd.limit(1).count():
         return direct.distinct()
-    shingles = work.keep(texts.join(crowd, "key").select("key", "c", F.explode(_set(F.col("line"))).alias("h")))
+    shingles = work.keep(texts.select("key", "line").join(crowd, "key").select("key", "c", F.explode(_set(F.col("line"))).alias("h")))
     most = max(HOT_LEAST, shingles.count() // HOT_SHARE)
     hot = [r[0] for r in shingles.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > most).select("h").collect()]  # HOT_SHARE hashes at most
     # Shingles of hot ones come last, by hash; those of all others are counted where they meet.
@@ -188,12 +221,13 @@ def line_components(lines: DataFrame, work: WorkTables) -> tuple[DataFrame, Data
     # Of a line and its edited copies, the line itself shares the most bands.
     near = work.keep(rows.groupBy("key").agg(F.count("*").cast("int").alias("degree")))
     texts = work.keep(_texts(signed.join(near, "key"), lines))
+    marks = work.keep(_marks(texts))
     rows = work.keep(rows.join(near, "key"))
     work.drop(near)
     hot = F.count("*") > F.lit(max(HOT_LEAST, rows.count() // HOT_SHARE))
     leaders = rows.groupBy("band").agg(F.max(F.struct("degree", "key")).alias("l"), hot.alias("hub")).select(F.col("band").alias("v"), F.col("l.key").alias("lead"), "hub")
     pairs = work.keep(_star(rows, work.keep(leaders)))
-    parts = work.keep(components(work.keep(_links(pairs, texts)), work))
+    parts = work.keep(components(work.keep(_links(pairs, texts, marks)), work))
     # Each band that still has several components draws another leader, by hash: a line meets many of its group before
     # the rest is compared in pairs.
     rows = work.keep(_mixed(rows, parts))
@@ -201,12 +235,12 @@ def line_components(lines: DataFrame, work: WorkTables) -> tuple[DataFrame, Data
         return signed, parts
     drawn = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", "band"), "key", "c")).alias("l"), hot.alias("hub")).select(F.col("band").alias("v"), F.col("l.key").alias("lead"), F.col("l.c").alias("lead_c"), "hub")
     again = work.keep(_star(rows, work.keep(drawn), F.col("c") != F.col("lead_c")).join(pairs, ["a", "b"], "left_anti"))
-    closer = work.keep(_links(again, texts))
+    closer = work.keep(_links(again, texts, marks))
     if closer.limit(1).count():
         parts = _merged(parts, closer, work)
         rows = work.keep(_mixed(rows, parts))
-    across = work.keep(_across(rows, texts, work).join(pairs.union(again), ["a", "b"], "left_anti"))
-    more = work.keep(_links(across, texts))
+    across = work.keep(_across(rows, texts, marks, work).join(pairs.union(again), ["a", "b"], "left_anti"))
+    more = work.keep(_links(across, texts, marks))
     if more.limit(1).count():
         parts = _merged(parts, more, work)
     return signed, parts
@@ -215,12 +249,15 @@ def line_components(lines: DataFrame, work: WorkTables) -> tuple[DataFrame, Data
 def _gone(lines: DataFrame, work: WorkTables) -> DataFrame:
     """id, n, mask: for every document that loses lines, how many, and a text with 1 at the places of these, 0 before."""
     signed, parts = line_components(lines, work)
-    keyed = signed.join(parts, signed.key == parts.node, "left").select("key", "id", "lines", F.coalesce("component", "key").alias("c"))
-    several = keyed.groupBy("c").agg(F.min("id").alias("kept"), F.sum("lines").alias("total")).where("total > 1").select("c", "kept")
+    # A line that has no copies and is near no other stays: most go no further than this.
+    several = signed.join(parts, signed.key == parts.node, "left").where("lines > 1 or node is not null")
+    keyed = work.keep(several.select("key", "id", "lines", F.coalesce("component", "key").alias("c")))
+    kept = keyed.groupBy("c").agg(F.min("id").alias("kept"))
     total = signed.agg(F.sum("lines")).first()[0] or 0
     hub = F.col("lines") > max(HOT_LEAST, total // HOT_SHARE)
-    values = work.keep(keyed.join(several, "c").select(F.col("key").alias("v"), "c", "kept", hub.alias("hub")))
-    crowd = work.keep(looked_up(lines.select("id", "place", "key"), "key", values).select("id", "place", "c", F.col("id").eqNullSafe(F.col("kept")).alias("first")))
+    values = work.keep(keyed.join(kept, "c").select(F.col("key").alias("v"), "c", "kept", hub.alias("hub")))
+    placed = work.keep(lines.select("id", "place", "key"))
+    crowd = work.keep(looked_up(placed, "key", values).select("id", "place", "c", F.col("id").eqNullSafe(F.col("kept")).alias("first")))
     first = crowd.where("first").groupBy("c").agg(F.min("place").alias("first_place"))
     stays = crowd.where("first").join(first, "c").where(F.col("place") == F.col("first_place")).select("id", "place").distinct()
     places = crowd.select("id", "place").join(stays, ["id", "place"], "left_anti").groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places"))
